@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import keep
+from .vocab import word_ids
 
 VOCABULARY = "word_bpe_49k.json"
 PIECES_A_TASK = 4096
@@ -39,71 +40,13 @@ class Capacity:
         return np.array([self.tokens, self.documents, self.attention], float)
 
 
-class WordIds:
-    """Token ids by word: the vocabulary never joins across ASCII white space, so each word is encoded once and remembered."""
-
-    def __init__(self, path: str, most: int = 600_000) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids, self.used = np.zeros(4096, np.uint16), 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.slot) + len(words) > self.most:
-            self._clear()
-        found = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        n, counts = len(self.slot), np.array([len(x) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x], np.uint16)
-        while n + len(words) > len(self.start):
-            self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.start[n : n + len(words)] = self.used + np.cumsum(counts) - counts
-        self.count[n : n + len(words)] = counts
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.slot.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in order, and the number of ids of each word."""
-        known = self.slot
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                self._clear()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-        at = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        counts = self.count[at]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.start[at] - (ends - counts), counts) + np.arange(total)], counts
-
-
-_LOADED: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
-
-
 def _pieces(path: str, tokens: int, separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(path)
+        table = word_ids(path)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = np.append(encode((text or b"").split())[0].astype("<u4"), np.uint32(separator)).astype("<u4")
+                ids = np.append(table.ids_at(table.slots((text or b"").split())), separator).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), tokens)):
                     part = ids[start : start + tokens]
                     rows.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())))

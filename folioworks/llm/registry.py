@@ -8,10 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, simhash, toxicity
+from . import exact, fertility, mixing, packing, phrases, simhash, toxicity
 from .scratch import table
 
 
+def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pieces = public_tokenizers.path(fertility.RANKS), public_tokenizers.path(fertility.PIECES)
+    return fertility.fertility_rules(table(spark, sf_dir, "documents"), ranks, pieces)
+
+
+def op3_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrases.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", phrases.digest(F.col("kept_text")).alias("kept_sha256"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.VOCABULARY))
 
@@ -32,6 +42,27 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = f"""
+WITH split AS (
+    SELECT doc_id, row_number() OVER () AS line, regexp_extract_all(coalesce(text, ''), '{mixing.WORD}') AS words FROM documents
+), positions AS (
+    SELECT doc_id, line, unnest(words) AS word, generate_subscripts(words, 1) AS at, words FROM split
+), windows AS (
+    SELECT doc_id, line, at, word,
+           CASE WHEN at + {phrases.WINDOW - 1} <= len(words) THEN md5(array_to_string(words[at:at + {phrases.WINDOW - 1}], ' ')) END AS window_text
+    FROM positions
+), counted AS (
+    SELECT doc_id, line, at, word, window_text IS NOT NULL AND count(*) OVER (PARTITION BY window_text) > 1 AS again FROM windows
+), marked AS (
+    SELECT doc_id, line, at, word, bool_or(again) OVER (PARTITION BY line ORDER BY at ROWS BETWEEN {phrases.WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone
+    FROM counted
+), kept AS (
+    SELECT line, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY at) FILTER (NOT gone), '') AS text FROM marked GROUP BY line
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (line)
+"""
+
 OP7_SQL = f"""
 WITH sized AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}'))::BIGINT AS size FROM documents
@@ -71,6 +102,8 @@ FROM lowered WINDOW same AS (PARTITION BY body)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op2_tokeniser_fertility,
+        op3_repeated_phrases,
         op5_best_fit_packing,
         op6_toxic_spans,
         op7_systematic_mix,
@@ -81,4 +114,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_systematic_mix": OP7_SQL, "op8_exact_groups": OP8_SQL}
+    return {"op3_repeated_phrases": OP3_SQL, "op7_systematic_mix": OP7_SQL, "op8_exact_groups": OP8_SQL}

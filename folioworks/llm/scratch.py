@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioworks.session import ship_package
+
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a Python worker holds few whole texts at once."""
+    """Keep Arrow batches small, so that a Python worker holds few whole texts at once, and give the workers this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 

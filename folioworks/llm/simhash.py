@@ -67,7 +67,8 @@ def _cells(fp: Column) -> Column:
 
 def links(distinct: DataFrame) -> DataFrame:
     """distinct: fp long, once each. Pairs a, b that connect what lies within two bits; a or b may be a value between two fingerprints."""
-    members = distinct.select("fp", _cells(F.col("fp")).alias("cell"))
+    spread = distinct.repartition("fp")  # each row gives 33
+    members = spread.select("fp", _cells(F.col("fp")).alias("cell"))
     cells = keep(members.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
     pairs = cells.filter("n = 2").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b").distinct()
     crowd = members.join(cells.filter("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct()
