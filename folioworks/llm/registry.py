@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fertility, mixing, packing, phrases, simhash, toxicity
+from . import exact, fertility, licences, mixing, packing, phrases, quality, quotes, simhash, toxicity
 from .scratch import table
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no quotes, so its turns are first written as mail that quotes the two turns before."""
+    linked = quotes.reply_order(quotes.as_mail(table(spark, sf_dir, "conversations")))
+    return linked.select(
+        F.col("thread").alias("conv_id"), F.col("seq").alias("turn"), "parent_seq", "root_seq", "depth", "n_quotes", "n_linked", F.md5("clean_text").alias("clean_md5")
+    )
+
+
 def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pieces = public_tokenizers.path(fertility.RANKS), public_tokenizers.path(fertility.PIECES)
     return fertility.fertility_rules(table(spark, sf_dir, "documents"), ranks, pieces)
@@ -22,6 +30,10 @@ def op3_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", phrases.digest(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.VOCABULARY))
 
@@ -38,26 +50,56 @@ def op8_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.licence_scan(docs, licences.fit(docs))
+    names = F.array_join(F.transform("families", lambda x: F.concat(x["family"], F.lit(":"), x["n"])), ",")
+    return found.select("doc_id", "n_paragraphs", F.size("families").alias("n_families"), names.alias("families"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE said AS (
+    SELECT conv_id, turn, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), plain AS (
+    SELECT *, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS body FROM said
+), first_said AS (
+    SELECT conv_id, body, min(turn) AS source FROM plain GROUP BY ALL
+), links AS (
+    SELECT m.conv_id, m.turn, m.text, f1.source AS parent_seq,
+           (coalesce(p1.body, '') <> '')::BIGINT + (p1.turn IS NOT NULL AND coalesce(p2.body, '') <> '')::BIGINT AS n_quotes
+    FROM plain m LEFT JOIN plain p1 ON p1.conv_id = m.conv_id AND p1.turn = m.turn - 1
+    LEFT JOIN plain p2 ON p2.conv_id = m.conv_id AND p2.turn = m.turn - 2
+    LEFT JOIN first_said f1 ON f1.conv_id = m.conv_id AND f1.body = p1.body AND p1.body <> ''
+), walk AS (
+    SELECT conv_id, turn, turn AS root_seq, 0 AS depth FROM links WHERE parent_seq IS NULL
+    UNION ALL
+    SELECT l.conv_id, l.turn, w.root_seq, w.depth + 1 FROM walk w JOIN links l ON l.conv_id = w.conv_id AND l.parent_seq = w.turn
+)
+SELECT conv_id, turn, parent_seq, root_seq, depth::BIGINT AS depth, n_quotes, n_quotes AS n_linked,
+       md5(regexp_replace(coalesce(text, ''), '^\n+|\n+$', '', 'g')) AS clean_md5
+FROM links JOIN walk USING (conv_id, turn)
+"""
+
 OP3_SQL = f"""
 WITH split AS (
     SELECT doc_id, row_number() OVER () AS line, regexp_extract_all(coalesce(text, ''), '{mixing.WORD}') AS words FROM documents
 ), positions AS (
-    SELECT doc_id, line, unnest(words) AS word, generate_subscripts(words, 1) AS at, words FROM split
+    SELECT doc_id, line, unnest(words) AS word, generate_subscripts(words, 1) AS place, words FROM split
 ), windows AS (
-    SELECT doc_id, line, at, word,
-           CASE WHEN at + {phrases.WINDOW - 1} <= len(words) THEN md5(array_to_string(words[at:at + {phrases.WINDOW - 1}], ' ')) END AS window_text
+    SELECT doc_id, line, place, word,
+           CASE WHEN place + {phrases.WINDOW - 1} <= len(words) THEN md5(array_to_string(words[place:place + {phrases.WINDOW - 1}], ' ')) END AS window_text
     FROM positions
 ), counted AS (
-    SELECT doc_id, line, at, word, window_text IS NOT NULL AND count(*) OVER (PARTITION BY window_text) > 1 AS again FROM windows
+    SELECT doc_id, line, place, word, window_text IS NOT NULL AND count(*) OVER (PARTITION BY window_text) > 1 AS again FROM windows
 ), marked AS (
-    SELECT doc_id, line, at, word, bool_or(again) OVER (PARTITION BY line ORDER BY at ROWS BETWEEN {phrases.WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone
+    SELECT doc_id, line, place, word, bool_or(again) OVER (PARTITION BY line ORDER BY place ROWS BETWEEN {phrases.WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone
     FROM counted
 ), kept AS (
-    SELECT line, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY at) FILTER (NOT gone), '') AS text FROM marked GROUP BY line
+    SELECT line, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY place) FILTER (NOT gone), '') AS text FROM marked GROUP BY line
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM split LEFT JOIN kept USING (line)
@@ -102,16 +144,19 @@ FROM lowered WINDOW same AS (PARTITION BY body)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_quotation_links,
         op2_tokeniser_fertility,
         op3_repeated_phrases,
+        op4_boosted_quality,
         op5_best_fit_packing,
         op6_toxic_spans,
         op7_systematic_mix,
         op8_exact_groups,
+        op9_licence_scan,
         op10_simhash_groups,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_repeated_phrases": OP3_SQL, "op7_systematic_mix": OP7_SQL, "op8_exact_groups": OP8_SQL}
+    return {"op1_quotation_links": OP1_SQL, "op3_repeated_phrases": OP3_SQL, "op7_systematic_mix": OP7_SQL, "op8_exact_groups": OP8_SQL}
