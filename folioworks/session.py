@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -44,3 +45,13 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-package-')}/{here.name}", "zip", here.parent, here.name)
     context.addPyFile(archive)
     _SHIPPED.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables: in spark.checkpoint.dir, which the cluster shares, or in local mode a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
