@@ -31,7 +31,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream, with a time that watermarks take."""
     schema = v.table(spark, sf_dir, "events").schema
     # A pattern, as the file stream takes a table that is one file only so.
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -49,16 +49,15 @@ def _collected(spark: SparkSession, out: DataFrame, name: str, mode: str = "appe
     return spark.read.parquet(f"{path}/out").drop("batch_id")
 
 
-def _staged(spark: SparkSession, rows: DataFrame, name: str, by: str = "ts") -> DataFrame:
-    """A batch view as a stream of four batches in the order of a column: the file stream goes by the times of the files."""
+def _staged(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """A batch view written as files and read as a stream.
+
+    The file stream orders by the times of files, not by their rows, so all files that are there come as one batch.
+    """
     path = shared_folder(spark, name)
     timed = rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
-    place = F.col(by).cast("double")
-    cuts = timed.select(place.alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.01)
-    bounds = [float("-inf"), *cuts, float("inf")]
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        timed.filter((place > low) & (place <= high)).write.mode("append").parquet(path)
-    return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    timed.write.parquet(path)
+    return spark.readStream.schema(timed.schema).parquet(path)
 
 
 def stream_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +115,7 @@ def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     path = shared_folder(spark, "conversion")
-    pages = _staged(spark, v.doc_pages(spark, sf_dir), "doc_pages", by="doc_id")
+    pages = _staged(spark, v.doc_pages(spark, sf_dir), "doc_pages")
     jobs.stream_conversion(pages, path, f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/paragraphs").drop("batch_id")
 

@@ -64,7 +64,7 @@ class _Admission(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("file", "present boolean, status string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         present, now = self.state.get() if self.state.exists() else (False, "pending")
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         out = []
@@ -126,7 +126,7 @@ class _Transitions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last", "status string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.state.get()[0] if self.state.exists() else None
         batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
         out = []
@@ -163,7 +163,7 @@ class _Timeouts(StatefulProcessor):
             self.handle.deleteTimer(self.state.get()[1])
             self.state.clear()
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
         out = []
         for ts, seq, now in zip(batch["ts"], batch["seq"], batch["status"], strict=True):
@@ -173,13 +173,13 @@ class _Timeouts(StatefulProcessor):
             self._end()
             if now == "processing":
                 due = at + self.limit_ms
-                if due <= timer.getCurrentWatermarkInMs():
-                    due = timer.getCurrentWatermarkInMs() + 1
+                if due <= timerValues.getCurrentWatermarkInMs():
+                    due = timerValues.getCurrentWatermarkInMs() + 1
                 self.state.update((int(seq), int(due)))
                 self.handle.registerTimer(due)
         yield pd.DataFrame(out, columns=["user_id", "filename", "seq"])
 
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = [(*key, int(self.state.get()[0]))] if self.state.exists() else []
         self.state.clear()
         yield pd.DataFrame(out, columns=["user_id", "filename", "seq"])
