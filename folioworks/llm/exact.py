@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import fresh, keep
 
 HEAD_BYTES = 64
 _KEYED = "id long, norm string, head binary, tag long, sha binary"
@@ -116,11 +116,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_groups keeps, with all their columns; nulls and ties as there."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    left_id, left_sha, own, nth = fresh(docs, "__id", "__sha", "__own", "__nth")
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(left_id), F.col("text_sha256").alias(left_sha))
     lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    mine = docs.withColumn("__own", F.sha2(lowered.cast("binary"), 256))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy(F.col(id_col).cast("long"), "__own").orderBy(F.lit(1)))
-    return mine.join(kept, same, "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mine = docs.withColumn(own, F.sha2(lowered.cast("binary"), 256))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(left_id)) & (F.col(own) == F.col(left_sha))
+    place = F.row_number().over(Window.partitionBy(F.col(id_col).cast("long"), own).orderBy(F.lit(1)))
+    return mine.join(kept, same, "left_semi").withColumn(nth, place).filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import fresh, keep
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -82,13 +82,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Rows alike in identifier, source and size share their copies evenly, so repeated rows are safe.
     """
+    names = fresh(docs, "__id", "__source", "__size", "__copies", "__alike", "__own_id", "__own_source", "__own_size", "__nth", "__times", "__one")
+    id_, source, size, copies, alike, own_id, own_source, own_size, nth, times, one = names
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    keys = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")]
-    due = plan.groupBy(*keys).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__alike")).filter("__copies > 0")
+    keys = [F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size)]
+    due = plan.groupBy(*keys).agg(F.sum("copies").alias(copies), F.count("*").alias(alike)).filter(F.col(copies) > 0)
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    own = docs.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_source": F.col(source_col).cast("string"), "__own_size": words})
-    nth = F.row_number().over(Window.partitionBy("__own_id", "__own_source", "__own_size").orderBy(F.lit(1)))
-    same = F.col("__own_id").eqNullSafe(F.col("__id")) & F.col("__own_source").eqNullSafe(F.col("__source")) & (F.col("__own_size") == F.col("__size"))
-    times = F.expr("cast(__copies div __alike + if(__nth <= __copies % __alike, 1, 0) as int)")
-    placed = own.join(due, same).withColumn("__nth", nth).withColumn("__times", times).filter("__times > 0")
-    return placed.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.withColumns({own_id: F.col(id_col).cast("long"), own_source: F.col(source_col).cast("string"), own_size: words})
+    place = F.row_number().over(Window.partitionBy(own_id, own_source, own_size).orderBy(F.lit(1)))
+    same = F.col(own_id).eqNullSafe(F.col(id_)) & F.col(own_source).eqNullSafe(F.col(source)) & (F.col(own_size) == F.col(size))
+    share = F.floor(F.col(copies) / F.col(alike)) + F.when(F.col(nth) <= F.pmod(copies, alike), 1).otherwise(0)
+    placed = own.join(due, same).withColumn(nth, place).withColumn(times, share.cast("int")).filter(F.col(times) > 0)
+    return placed.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

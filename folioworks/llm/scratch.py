@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,13 +34,32 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder now, and return the stored rows; Spark's cleaner removes them after use."""
+def keep(df: DataFrame, sweep: bool = False) -> DataFrame:
+    """Write df to the shared checkpoint folder now, and return the stored rows; Spark's cleaner removes them after use.
+
+    The cleaner acts when the driver collects garbage. A long chain of large shuffles can ask for a sweep, so that the
+    files of its finished steps go before the next step writes its own.
+    """
     _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    if sweep:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+    return stored
 
 
 def stage_folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder, for the tables that stages hand on."""
     _checkpoint_folder(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stages-{uuid.uuid4().hex}"
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out

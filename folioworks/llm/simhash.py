@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import keep
+from .scratch import fresh, keep
 
 SEED = 42
 SHINGLE = 3
@@ -98,5 +98,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows that repeat an identifier are one document and stay or go together. Rows with a null identifier stay.
     """
-    dropped = near_groups(docs, id_col, text_col).filter("doc_id > component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    (gone,) = fresh(docs, "__id")
+    dropped = near_groups(docs, id_col, text_col).filter("doc_id > component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col(id_col).cast("long") == F.col(gone), "left_anti")

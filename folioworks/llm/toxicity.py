@@ -125,30 +125,34 @@ class SpanModel:
 
 def _offending(docs: list[tuple[list[bytes], int]], support: int, precision: float) -> set[bytes]:
     """Words and beginnings that stand in many surroundings of toxic documents and hardly in others."""
-    known: dict[bytes, list[bytes]] = {}
-
     def forms(word: bytes) -> list[bytes]:
-        if word not in known:
-            known[word] = [f for f in _features(word) if f[:1] in b"wp"]
-        return known[word]
+        return [f for f in _features(word) if f[:1] in b"wp"]
 
     counts: dict[bytes, int] = defaultdict(int)
     for words, label in docs:
         if label:
             for f in {f for w in set(words) for f in forms(w)}:
                 counts[f] += 1
-    often = {f for f, n in counts.items() if n >= support}
+    often = {f: n for f, n in counts.items() if n >= support}
+    del counts
+    known: dict[bytes, tuple[bytes, ...]] = {}
+
+    def told(word: bytes) -> tuple[bytes, ...]:
+        if word not in known:
+            known[word] = tuple(f for f in forms(word) if f in often)
+        return known[word]
+
     clean: dict[bytes, int] = defaultdict(int)
     for words, label in docs:
         if not label:
-            for f in {f for w in set(words) for f in forms(w)} & often:
+            for f in {f for w in set(words) for f in told(w)}:
                 clean[f] += 1
-    often = {f for f in often if counts[f] >= precision * (counts[f] + clean[f])}
+    telling = {f for f, n in often.items() if n >= precision * (n + clean[f])}
     around: dict[bytes, dict[tuple, int]] = defaultdict(dict)
     for words, label in docs:
         for word, i in {w: i for i, w in enumerate(words)}.items():
-            for f in forms(word):
-                if f in often:
+            for f in told(word):
+                if f in telling:
                     around[f].setdefault((words[i - 1] if i else b"", words[i + 1] if i + 1 < len(words) else b""), label)
     return {f for f, seen in around.items() if sum(seen.values()) >= max(support, precision * len(seen))}
 
