@@ -292,7 +292,7 @@ def job_outcome(spark, sf_dir):
     return convert.job_outcome(v.page_timings(spark, sf_dir))
 
 
-@_query("""SELECT o.o_orderkey AS seq, sum(p.pages) OVER w AS used, sum(p.pages) OVER w > 5 AS over FROM orders o JOIN
+@_query("""SELECT o.o_orderkey AS seq, (sum(p.pages) OVER w)::BIGINT AS used, sum(p.pages) OVER w > 5 AS over FROM orders o JOIN
 (SELECT l_orderkey, count(*) AS pages FROM lineitem GROUP BY 1) p ON p.l_orderkey = o.o_orderkey
 WINDOW w AS (PARTITION BY o_custkey, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def page_quota(spark, sf_dir):

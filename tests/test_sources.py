@@ -39,3 +39,12 @@ def test_users_table(spark, tmp_path):
 def test_write_paragraphs(spark, tmp_path):
     files.write_paragraphs(spark.createDataFrame([("u", "x")], "user_id string, text string"), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).columns == ["user_id", "text", "user_bucket"]
+
+
+def test_status_rows_are_appended(spark, tmp_path):
+    from folioworks.operators import status
+
+    row = spark.createDataFrame([("u", "f", "done", None, 1)], "user_id string, filename string, status string, ts timestamp, seq long")
+    for _ in range(2):
+        status.write_status(row, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
