@@ -19,13 +19,14 @@ def training_texts(docs: DataFrame, labels: DataFrame, target: str, most_of: dic
     This bounded sample is all that reaches the driver; null labels, ids and texts are left out, and equal texts count once.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.select(F.col("doc_id").alias("__id"), F.col(target).cast("int").alias("__label"))
+    usable = usable.select(F.col("doc_id").cast("long").alias("__id"), F.col(target).cast("int").alias("__label"))
     picked = None
     for label, most in most_of.items():
         some = usable.filter(F.col("__label") == label).orderBy(F.xxhash64("__id"), "__id").limit(most)
         picked = some if picked is None else picked.union(some)
     # The picked ids are bounded by most_of, so this side can be broadcast.
-    rows = docs.join(F.broadcast(picked), docs[id_col] == F.col("__id")).select("__id", F.col(text_col).alias("__text"), "__label")
+    texts_of = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    rows = texts_of.join(F.broadcast(picked), "__id").select("__id", "__text", "__label")
     texts: dict[str, int] = {}
     for _, text, label in sorted((r for r in rows.collect() if r[1] is not None), key=lambda r: (r[0], r[2])):
         texts.setdefault(text, label)

@@ -139,7 +139,7 @@ def test_toxicity_without_labels(docs_of, spark):
 def test_training_leaves_the_held_out_fold(spark, docs_of):
     import zlib
 
-    docs = docs_of([(i, f"text {i}") for i in range(200)])
+    docs = docs_of([(i, f"text {i}") for i in range(200)], extra=True)
     labels = spark.createDataFrame([(i, 1, 1) for i in range(200)], "doc_id long, quality int, toxic int")
     texts = [int(t.split()[1]) for t, _ in labelled.training_texts(docs, labels, "toxic", {1: 50})]
     assert len(texts) == 50 and all(zlib.crc32(str(i).encode()) % 5 for i in texts)
