@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from .scratch import keep
 
+SALTS = 16
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with facts (one row a key), where very many rows may share a key: rows are dealt by a salt of column by too."""
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [key, "salt"]).drop("salt")
+
 
 def components(links: DataFrame) -> DataFrame:
     """links: a long, b long. Returns node, label (the smallest node that can be reached).
 
     Every round takes the smallest label among neighbours and then the label of that label, so a chain of n nodes needs
-    about log n rounds. Rounds are written to the checkpoint folder, so a lost executor costs one round at most.
+    about log n rounds. Labels are looked up once each and handed to their nodes by a salted join, since most nodes of a
+    large component soon have one label. Rounds are written to the checkpoint folder: a lost executor costs one at most.
     """
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
     edges = keep(both)
@@ -20,8 +29,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = keep(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        target = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = keep(hooked.join(target, "label").select("node", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("old")).alias("moved")))
+        heads = hooked.select("label").distinct().join(hooked.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
+        jumped = spread_join(hooked, heads, "label", "node")
+        moved = keep(jumped.select("node", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("old")).alias("moved")).repartition("node"))
         labels = moved.select("node", "label")
         if moved.filter("moved").isEmpty():
             return labels

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, spread_join
 from .scratch import fresh, keep
 
 SEED = 42
@@ -87,9 +87,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = keep(fingerprints(docs, id_col, text_col))
     nodes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     label = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    linked = nodes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of = keep(linked.join(smallest, "label").select("fp", "component_id"))
+    linked = keep(nodes.join(label, "fp"))
+    smallest = linked.groupBy("label").agg(F.min("first_id").alias("least_id"))
+    found = spread_join(linked, smallest, "label", "fp").select("fp", "least_id")
+    of = keep(nodes.join(found, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
