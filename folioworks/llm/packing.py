@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from .vocab import word_ids
 
 VOCABULARY = "word_bpe_49k.json"
 PIECES_A_TASK = 4096
+DOCS_A_LOOKUP = 32
 
 
 @dataclass(frozen=True)
@@ -45,11 +47,19 @@ def _pieces(path: str, tokens: int, separator: int):
         table = word_ids(path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = np.append(table.ids_at(table.slots((text or b"").split())), separator).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), tokens)):
-                    part = ids[start : start + tokens]
-                    rows.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())))
+            docs = batch.column(0).to_pylist()
+            texts = [(t or b"").split() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for first in range(0, len(docs), DOCS_A_LOOKUP):
+                some = texts[first : first + DOCS_A_LOOKUP]
+                at = table.slots(list(chain.from_iterable(some)))
+                flat, ends = table.ids_at(at), np.concatenate([[0], np.cumsum(table.count[0, at])])
+                past = np.cumsum([len(x) for x in some])
+                for i, words in enumerate(some):
+                    own = flat[ends[past[i] - len(words)] : ends[past[i]]]
+                    ids = np.append(own, separator).astype("<u4")
+                    for piece, start in enumerate(range(0, len(ids), tokens)):
+                        part = ids[start : start + tokens]
+                        rows.append((docs[first + i], piece, start, len(part), zlib.crc32(part.tobytes())))
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
