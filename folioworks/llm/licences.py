@@ -212,8 +212,10 @@ def classify(model: LicenceModel, text: bytes, least: float = 0.5, alike: float
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
     """Train with lines of at most sample_docs documents of the corpus, in hash order of their ids."""
-    some = docs.select(F.col(id_col).alias("__id"), F.substring(text_col, 1, 20_000).alias("__text")).filter("__text is not null")
-    rows = some.orderBy(F.xxhash64("__id"), "__id").limit(sample_docs).collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")
+    # Ids are chosen first: else every task would send its candidates' texts to the driver.
+    some = texts.select("__id").filter("__id is not null").orderBy(F.xxhash64("__id"), "__id").limit(sample_docs).distinct()
+    rows = texts.join(F.broadcast(some), "__id").select("__id", "__text").limit(sample_docs).collect()
     return train(sorted({line for r in rows for line in r[1].split("\n") if line.strip()}))
 
 
