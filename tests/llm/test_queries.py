@@ -39,3 +39,44 @@ def test_pipeline_stages(spark, tmp_path):
             assert exact.exact_groups(docs).filter("group_size > 1").count() == 0
     assert counts[0] >= counts[1] >= counts[2] > 0
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage after the model against plain Python over the rows that it was given."""
+    import public_tokenizers
+
+    from folioworks.llm import packing, toxicity
+    from tests.llm.test_mixing import plain_targets
+    from tests.llm.test_packing import plain_pieces
+    from tests.llm.test_simhash import plain_components, plain_fingerprint
+
+    given, tables = table(spark, SF, "documents"), {}
+    labels = table(spark, SF, "labels")
+    rejected = {r["doc_id"] for r in toxicity.verdicts(given, labels).filter("predicted = 1").collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, given, SF).write.parquet(str(tmp_path / name))
+        given = spark.read.parquet(str(tmp_path / name))
+        tables[name] = given.collect()
+    whole = table(spark, SF, "documents").collect()
+    clean = {r["doc_id"]: r["text"] for r in whole if r["doc_id"] not in rejected}
+    assert {r["doc_id"]: r["text"] for r in tables["toxicity"]} == clean
+    last = {}
+    for doc, text in sorted(clean.items()):
+        last[(text or "").encode().lower()] = doc
+    assert sorted(r["doc_id"] for r in tables["exact_dedup"]) == sorted(last.values())
+    by_fp = {}
+    for doc in last.values():
+        by_fp.setdefault(plain_fingerprint(clean[doc]), []).append(doc)
+    stay = set(plain_components(by_fp).values())
+    near = tables["simhash_near_dedup"]
+    assert {r["doc_id"] for r in near} == stay and len(near) == len(stay)
+    sizes, taken = {}, {}
+    for r in near:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len((r["text"] or "").encode().split())
+    for r in tables["source_mix"]:
+        taken[r["source"]] = taken.get(r["source"], 0) + len((r["text"] or "").encode().split())
+    longest = max(len((r["text"] or "").split()) for r in near)
+    assert all(abs(taken.get(s, 0) - t) <= longest + 0.05 * t for s, t in plain_targets(sizes).items())
+    pieces = sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in tables["best_fit_packing"])
+    assert pieces == plain_pieces([(r["doc_id"], r["text"]) for r in tables["source_mix"]], packing.Capacity().tokens)
+    assert public_tokenizers.path(packing.VOCABULARY)
