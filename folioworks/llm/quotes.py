@@ -65,16 +65,19 @@ def reply_order(messages: DataFrame, thread_col: str = "conv_id", seq_col: str =
     body = lines.filter("level = 0").groupBy("thread", "seq").agg(F.array_sort(F.collect_list(F.struct("line", "body"))).alias("parts"))
     clean = body.select("thread", "seq", F.regexp_replace(F.concat_ws("\n", F.transform("parts", lambda x: x["body"])), r"^\n+|\n+\z", "").alias("clean_text"))
     joined = keep(once.select("thread", "seq").join(replies, ["thread", "seq"], "left").join(clean, ["thread", "seq"], "left"))
-    depth = F.when(F.col("parent_seq").isNull(), 0).otherwise(1).cast("long")
-    state = keep(joined.select("thread", "seq", F.coalesce("parent_seq", "seq").alias("root"), depth.alias("depth")))
-    while True:
-        above = state.select("thread", F.col("seq").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        moved = state.join(above, ["thread", "root"]).select("thread", "seq", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
-        moved = keep(moved)
-        state = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
-            break
     zero = F.lit(0).cast("long")
+    place = [F.col("thread"), F.col("seq")]
+    ended = joined.filter("parent_seq is null").select(*place, F.col("seq").alias("root"), zero.alias("depth"))
+    open_ = joined.filter("parent_seq is not null").select(*place, F.col("parent_seq").alias("root"), (zero + 1).alias("depth"))
+    while True:  # only messages whose root is not known yet take part in a round
+        known = ended.withColumn("done", F.lit(True)).union(open_.withColumn("done", F.lit(False)))
+        above = known.select("thread", F.col("seq").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), "done")
+        moved = keep(open_.join(above, ["thread", "root"]).select(*place, F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), "done"))
+        ended = ended.union(moved.filter("done").drop("done"))
+        open_ = moved.filter("not done").drop("done")
+        if open_.isEmpty():
+            break
+    state = ended
     return joined.join(state, ["thread", "seq"]).select(
         "thread",
         "seq",
