@@ -4,35 +4,36 @@ A passage repeats if one of its windows of 35 words starts more than once in the
 
 1. Anchors. Of the word 8-grams in each window the one with the smallest hash is its anchor, so equal windows have equal
    anchors and about one 8-gram in fourteen is one. Anchors that occur once can't stand in a repeated window.
-2. Contexts. The stretch of words whose windows share one repeated anchor is its context. Equal contexts are counted
-   together, which shrinks copies and common passages before anything else is compared.
-3. Confirmation. The windows of the distinct contexts are counted by a 128-bit hash, weighted by their context's count.
-   Runs of windows that occur twice or more are the confirmed passages.
-4. Location. Documents are dealt into shards; each shard gets the passages whose contexts occur in it, compiles them into
-   an automaton over word numbers, and streams all its documents through it. Words under a match are removed.
-
-A passage goes to each shard once, however many of its documents have it, so a passage that a third of all rows share
-is no larger a group than any other.
+2. Contexts. The stretch of words whose windows share one repeated anchor is its context. Where all contexts of an anchor
+   are equal, all their windows repeat; that settles copies and the inside of common passages.
+3. Confirmation. The windows of the other contexts are counted by anchor and hash; those that occur twice or more repeat.
+   Only numbers are shuffled: texts stay out of steps 1 to 3 but for one join with the anchors that a text has.
+4. Location. Documents are dealt into shards; each shard compiles the confirmed passages of its documents into an automaton
+   over word numbers, and streams all its documents through it. Words under a match are removed.
+
+Counts are combined before they are shuffled, and shards hold a fixed number of documents, so a passage that a third of
+all rows share is no larger a group than any other.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import keep, sweep
 
 WINDOW = 35
 GRAM = 8
-DOCS_A_SHARD = 1000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+DOCS_A_SHARD = 500
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -48,27 +49,52 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return meet(at[:-rest], at[rest:]) if rest else at
 
 
-def anchors(docs: list[list[bytes]], window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each document with a window: its index, the anchor hashes, and the first and last window that each anchors."""
-    counts = np.array([len(d) for d in docs], np.int64)
-    total = int(counts.sum())
-    if total < window:
-        return
-    words = np.fromiter((xxhash.xxh64_intdigest(w) for d in docs for w in d), np.uint64, total)
-    grams = np.zeros(total - gram + 1, np.uint64)
-    for j in range(gram):
-        grams = grams * _MIX + words[j : len(grams) + j]
-    grams ^= grams >> np.uint64(29)
-    grams *= np.uint64(0xBF58476D1CE4E5B9)
-    grams ^= grams >> np.uint64(32)
-    chosen = _sliding_min(grams, window - gram + 1)  # by the start of the window; those across two texts are not used
-    start = np.cumsum(counts) - counts
-    for i in np.flatnonzero(counts >= window):
-        a, n = int(start[i]), int(counts[i]) - window + 1
-        own = chosen[a : a + n]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        last = np.append(first[1:], n) - 1
-        yield int(i), grams[own[first]].view(np.int64), first, last
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+class Rolling:
+    """Hashes of stretches of words, from running sums modulo 2**64: equal words, equal hash, wherever they stand."""
+
+    def __init__(self, docs: list[list[bytes]]) -> None:
+        self.counts = np.array([len(d) for d in docs], np.int64)
+        self.start = np.cumsum(self.counts) - self.counts
+        n = int(self.counts.sum())
+        words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(docs)), np.uint64, n)
+        powers = np.full(n + 1, _BASE, np.uint64)
+        back = np.full(n + 1, _BACK, np.uint64)
+        powers[0] = back[0] = 1
+        self.powers = np.multiply.accumulate(powers)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * np.multiply.accumulate(back)[:n], out=self.sums[1:])
+
+    def of(self, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+        """Hashes of the words from first up to past, as places in all words of the batch."""
+        value = (self.sums[past] - self.sums[first]) * self.powers[first]
+        value ^= value >> np.uint64(29)
+        value *= np.uint64(0xBF58476D1CE4E5B9)
+        return value ^ (value >> np.uint64(32))
+
+
+def anchors(docs: list[list[bytes]], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """For all anchors of a batch: the index of the document, the hash, and the first and last window that it anchors."""
+    rolling = Rolling(docs)
+    n = len(rolling.sums) - 1
+    if n < window:
+        return (np.zeros(0, np.int64),) * 4
+    place = np.arange(n - gram + 1)
+    grams = rolling.of(place, place + gram)
+    chosen = _sliding_min(grams, window - gram + 1)  # by the start of the window
+    owner = np.repeat(np.arange(len(docs)), rolling.counts)[: len(chosen)]
+    inside = np.arange(len(chosen)) + window <= (rolling.start + rolling.counts)[owner]  # windows across two texts are none
+    at = np.flatnonzero(inside)
+    chosen, owner = chosen[at], owner[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    doc = owner[first]
+    return doc, grams[chosen[first]].view(np.int64), at[first] - rolling.start[doc], at[last] - rolling.start[doc]
 
 
 def _batches(rows: Iterable[tuple], types: list[pa.DataType], names: list[str], size: int = 4000) -> Iterator[pa.RecordBatch]:
@@ -90,61 +116,50 @@ def _texts(column: pa.Array) -> list[list[bytes]]:
     return [(t or b"").split() for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _anchor_rows(window: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for part in range(0, batch.num_rows, 100):
-                for i, hashes, first, last in anchors(_texts(batch.column(1)[part : part + 100]), window, gram):
-                    n = len(hashes)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes), pa.array(np.full(n, keys[part + i], np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                        names=["anchor", "key", "first", "last"],
-                    )
-
-    return run
-
-
-def _context_rows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                shard, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                for i, words in enumerate(_texts(batch.column(0))):
-                    for x in spans[i]:
-                        yield shard[i], b" ".join(words[x["first"] : x["last"] + window]).decode()
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts on their way through a shuffle: its own compression works on blocks of many columns and saves far less."""
+    zipper = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        bodies = [zipper.compress(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], names=["doc_id", "key", "body"])
 
-        yield from _batches(rows(), [pa.int32(), pa.string()], ["shard", "context"])
 
-    return run
+def _unzipped(column: pa.Array) -> list[bytes]:
+    zipper = zstandard.ZstdDecompressor()
+    return [zipper.decompress(x) if x is not None else b"" for x in column.to_pylist()]
 
 
-def _window_rows(window: int):
+def _anchor_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                ids, counts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                for i, words in enumerate(_texts(batch.column(1))):
-                    for at in range(len(words) - window + 1):
-                        digest = xxhash.xxh3_128_digest(b" ".join(words[at : at + window]))
-                        yield ids[i], at, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), counts[i]
-
-        yield from _batches(rows(), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], ["context_id", "at", "high", "low", "n"], 20_000)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            doc, hashes, first, last = anchors(_texts(batch.column(1)), window, gram)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes, pa.int64()), pa.array(keys[doc], pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
+                names=["anchor", "key", "first", "last"],
+            )
 
     return run
 
 
-def _passage_rows(window: int):
+def _context_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                shard, starts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                for i, words in enumerate(_texts(batch.column(1))):
-                    at = np.sort(np.array(starts[i], np.int64))
-                    for run_of in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                        yield shard[i], b" ".join(words[int(run_of[0]) : int(run_of[-1]) + window]).decode()
-
-        yield from _batches(rows(), [pa.int32(), pa.string()], ["shard", "passage"])
+        for batch in batches:
+            rolling = Rolling([t.split() for t in _unzipped(batch.column(1))])
+            spans = batch.column(2)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
+            flat = spans.flatten()
+            anchor, first, last = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            begin = rolling.start[doc] + first
+            whole = rolling.of(begin, begin + (last - first) + window)
+            many = (last - first + 1).astype(np.int64)
+            each = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(rolling.of(each, each + window).view(np.int64)))
+            keys = batch.column(0).to_numpy()[doc]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor, pa.int64()), pa.array(keys, pa.int64()), pa.array(first.astype(np.int32)), pa.array((whole ^ many.view(np.uint64)).view(np.int64)), windows],
+                names=["anchor", "key", "first", "context", "windows"],
+            )
 
     return run
 
@@ -157,8 +172,7 @@ class Automaton:
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         self.ready = False
 
-    def add(self, passage: bytes) -> None:
-        words = passage.split()
+    def add(self, words: list[bytes]) -> None:
         self.trie.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in words), len(words))
 
     def covered(self, words: list[bytes]) -> np.ndarray:
@@ -175,23 +189,45 @@ class Automaton:
         return np.cumsum(under[:-1]) > 0
 
 
-def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple]:
-        shard, automaton = None, Automaton()
-        for batch in batches:
-            shards, passages, ids = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            for i, text in enumerate(batch.column(3).cast(pa.binary()).to_pylist()):
-                if shards[i] != shard:
-                    shard, automaton = shards[i], Automaton()
-                if passages[i]:
-                    automaton.add(text)
-                    continue
-                words = (text or b"").split()
-                gone = automaton.covered(words) if words else np.zeros(0, bool)
-                left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                yield ids[i], len(words), len(words) - len(left), b" ".join(left).decode()
+def _shard_rows(window: int, docs: list[tuple[int, int | None, bytes]], ranges: dict[int, list[tuple[int, int]]]) -> Iterator[tuple]:
+    """docs of one shard: key, id, text; ranges: confirmed windows (first and last start) by key."""
+    automaton, seen = Automaton(), set()
+    for key, _, text in docs:
+        if key not in ranges or key in seen:
+            continue
+        seen.add(key)
+        words, low, high = text.split(), None, None
+        for a, b in [*sorted(ranges[key]), (1 << 60, 1 << 60)]:
+            if low is not None and a > high + 1:
+                automaton.add(words[low : high + window])
+                low = None
+            low, high = (a, b) if low is None else (low, max(high, b))
+    for _, doc, text in docs:
+        words = text.split()
+        gone = automaton.covered(words) if words else np.zeros(0, bool)
+        left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+        yield doc, len(words), len(words) - len(left), b" ".join(left).decode()
+
+
+def _kept_rows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            shard, docs, ranges = None, [], {}
+            for batch in batches:
+                shards, keys, ids, found, is_text = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))
+                for i, text in enumerate(_unzipped(batch.column(3))):
+                    if shards[i] != shard:
+                        yield from _shard_rows(window, docs, ranges)
+                        shard, docs, ranges = shards[i], [], {}
+                    if is_text[i]:
+                        docs.append((keys[i], ids[i], text))
+                    else:
+                        ranges.setdefault(keys[i], []).extend((x["first"], x["last"]) for x in found[i])
+            yield from _shard_rows(window, docs, ranges)
+
+        yield from _batches(rows(), [pa.int64(), pa.int64(), pa.int64(), pa.string()], ["doc_id", "n_words", "n_removed", "kept_text"], 500)
 
-    yield from _batches(rows(), [pa.int64(), pa.int64(), pa.int64(), pa.string()], ["doc_id", "n_words", "n_removed", "kept_text"], 500)
+    return run
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,27 +237,46 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
     another; repeated rows are texts of their own. A null text has no words; texts shorter than the window lose none.
     Words are what ASCII white space separates. Extra columns are not read; an empty table gives no rows.
     """
-    n = max(1, -(-docs.count() // DOCS_A_SHARD))
-    key = F.xxhash64("doc_id", "text")
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = keyed.withColumn("key", key).withColumn("shard", F.pmod("key", F.lit(n)).cast("int"))
-    found = keyed.filter(F.length("text") >= 2 * window - 1).select("key", "text").mapInArrow(_anchor_rows(window, gram), "anchor long, key long, first int, last int")
+    spark = docs.sparkSession
+    shards = max(1, -(-docs.count() // DOCS_A_SHARD))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
+    shard = F.pmod("key", F.lit(shards)).cast("int")
+    long = keyed.filter(F.length("text") >= 2 * window - 1).select("key", "text")
+    found = long.mapInArrow(_anchor_rows(window, gram), "anchor long, key long, first int, last int")
     again = keep(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
-    spans = keep(found.join(again, "anchor").groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
-    near = keyed.select("key", "shard", "text").join(spans, "key").select("text", "shard", "spans")
-    contexts = near.mapInArrow(_context_rows(window), "shard int, context string")
-    placed = keep(contexts.groupBy("shard", "context").agg(F.count("*").alias("n")))
-    distinct = keep(placed.groupBy("context").agg(F.sum("n").alias("n")).select(F.monotonically_increasing_id().alias("context_id"), "context", "n"))
-    windows = distinct.select("context_id", "context", "n").mapInArrow(_window_rows(window), "context_id long, at int, high long, low long, n long")
-    confirmed = windows.groupBy("high", "low").agg(F.sum("n").alias("total")).filter("total > 1").select("high", "low")
-    starts = keep(windows.join(confirmed, ["high", "low"]).groupBy("context_id").agg(F.collect_set("at").alias("starts")))
-    known = distinct.join(starts, "context_id").select("context", "starts")
-    passages = placed.select("shard", "context").join(known, "context").select("shard", "context", "starts").mapInArrow(_passage_rows(window), "shard int, passage string").distinct()
-    none = F.lit(None).cast("long")
-    stream = passages.select("shard", F.lit(True).alias("is_passage"), none.alias("doc_id"), F.col("passage").alias("text"))
-    stream = stream.union(keyed.select("shard", F.lit(False), "doc_id", "text"))
-    dealt = stream.repartition("shard").sortWithinPartitions("shard", F.col("is_passage").desc())
-    return dealt.mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept_text string")
+    sweep(spark)
+    spans = keep(found.join(again, "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("spans")))
+    sweep(spark)
+    zipped = "doc_id long, key long, body binary"
+    near = keyed.filter(F.length("text") >= 2 * window - 1).select("doc_id", "key", "text").mapInArrow(_zipped, zipped)
+    near = near.join(spans, "key").select("key", "body", "spans")
+    contexts = keep(near.mapInArrow(_context_rows(window), "anchor long, key long, first int, context long, windows array<long>"))
+    del near, spans, found, again
+    sweep(spark)
+    pair = ["anchor", "context"]
+    distinct = keep(contexts.groupBy(*pair).agg(F.count("*").alias("n"), F.any_value("windows").alias("windows")))
+    sweep(spark)
+    mixed = keep(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"))
+    open_ = distinct.join(mixed, "anchor", "left_semi").select(*pair, "n", F.posexplode("windows").alias("at", "hash"))
+    counted = open_.groupBy("anchor", "hash").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "hash")
+    starts = open_.join(counted, ["anchor", "hash"]).groupBy(*pair).agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    has = lambda x: F.array_contains("starts", x)
+    edges = [F.filter("starts", lambda x: ~has(x - 1)), F.filter("starts", lambda x: ~has(x + 1))]
+    part = starts.select(*pair, F.zip_with(*edges, lambda x, y: F.struct(x.alias("first"), y.alias("last"))).alias("runs"))
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.size("windows") - 1).alias("last")))
+    runs = distinct.join(mixed, "anchor", "left_anti").select(*pair, whole.alias("runs")).union(part)
+    moved = F.transform("runs", lambda r: F.struct((F.col("first") + r["first"]).alias("first"), (F.col("first") + r["last"]).alias("last")))
+    settled = keep(runs)
+    del distinct, mixed, open_, counted, starts, part, runs
+    sweep(spark)
+    ranges = contexts.select(*pair, "key", "first").join(settled, pair).select("key", moved.alias("ranges"))
+    none = F.lit(None)
+    stream = ranges.select(shard.alias("shard"), "key", none.cast("long").alias("doc_id"), none.cast("binary").alias("body"), "ranges", F.lit(False).alias("is_text"))
+    packed = keyed.select("doc_id", "key", "text").mapInArrow(_zipped, zipped)
+    whole = packed.select(shard, "key", "doc_id", "body", none.cast("array<struct<first: int, last: int>>"), F.lit(True))
+    dealt = stream.union(whole).repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(_kept_rows(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(column: Column) -> Column:

@@ -34,18 +34,20 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def keep(df: DataFrame, sweep: bool = False) -> DataFrame:
-    """Write df to the shared checkpoint folder now, and return the stored rows; Spark's cleaner removes them after use.
+def keep(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder now, and return the stored rows; Spark's cleaner removes them after use."""
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    The cleaner acts when the driver collects garbage. A long chain of large shuffles can ask for a sweep, so that the
-    files of its finished steps go before the next step writes its own.
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files and checkpoints of finished steps now.
+
+    It acts when the driver collects garbage, which a driver with little to do may not do before a chain of large
+    shuffles has filled the disks. Call it when no variable holds the frames of the steps any more.
     """
-    _checkpoint_folder(df.sparkSession)
-    stored = df.checkpoint(eager=True)
-    if sweep:
-        gc.collect()
-        df.sparkSession._jvm.System.gc()
-    return stored
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def stage_folder(spark: SparkSession) -> str:
