@@ -91,8 +91,14 @@ def reply_order(messages: DataFrame, thread_col: str = "conv_id", seq_col: str =
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
-    """conversations as mail: each turn quotes the turn before it, and that one's predecessor a level deeper."""
-    turns = conversations.select("conv_id", "turn", "role", "text")
+    """conversations as mail: each turn quotes the turn before it, and that one's predecessor a level deeper.
+
+    Rows that repeat a conv_id and turn are one turn, the one with the smallest text (null only if all are) and its smallest
+    role, before turns are joined: else every copy would quote every copy. Null conv_ids and turns are left out.
+    """
+    said = conversations.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn")
+    first = F.min(F.struct(F.col("text").isNull().alias("unsaid"), "text", "role"))
+    turns = keep(said.agg(first.alias("first")).select("conv_id", "turn", "first.role", "first.text"))
 
     def earlier(back: int) -> DataFrame:
         return turns.select("conv_id", (F.col("turn") + back).alias("turn"), F.col("role").alias(f"role{back}"), F.col("text").alias(f"text{back}"))

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
-from folioworks.llm import quotes
+import duckdb
+
+from folioworks.llm import quotes, registry
+from tests.test_oracle import canonical
 
 SCHEMA = "conv_id long, turn long, text string, line string, seq int, thread string"
 
@@ -41,3 +44,18 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, 0, "a")], "conv_id long, turn long, text string")
     text = quotes.reply_order(df)._jdf.queryExecution().toString()
     assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
+
+
+def test_repeated_turns_are_one_before_they_are_quoted(spark, tmp_path):
+    """The query against its SQL where (conv_id, turn) repeats, with other roles, other texts and null texts."""
+    rows = [(1, 0, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "user", "reply"), (1, 1, None, "reply"), (1, 1, "user", None), (1, 2, "user", "z\ny"), (1, 2, "tool", "c\nd"), (1, 3, "user", "end")]
+    rows += [(2, 0, "user", None), (2, 0, "assistant", None), (2, 1, "user", "q"), (2, 1, "user", "p"), (2, 2, "user", None), (None, 0, "user", "a"), (None, 0, "user", "a"), (3, None, "user", "a")]
+    rows += [(4, i, f"role{k % 3}", f"text {i} {k % 50}" if k % 7 else None) for i in range(3) for k in range(400)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = registry.queries()["op1_quotation_links"](spark, str(tmp_path)).toPandas()
+    assert canonical(got) == canonical(con.execute(registry.OP1_SQL).df())
+    assert [tuple(x) for x in got[(got.conv_id == 1) & (got.turn == 1)][["parent_seq", "n_quotes"]].values] == [(0, 1)]
+    mails = quotes.as_mail(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert mails.count() == 10
