@@ -4,8 +4,9 @@ A sparse multinomial logistic regression over word unigrams and bigrams assigns
 than 40 words in overlapping stretches of 40) to a licence family or to the class of everything else. It is trained
 here: families from short public notices in several wordings with random neighbours, the other class from a bounded
 sample of the corpus's own lines, from licences outside the list and from prose about licences. The scores are
-calibrated by a temperature fitted on examples that training did not see. A prediction counts only if the paragraph
-also contains most of the word bigrams of one of the family's templates; what passes one test alone is 'unknown'.
+calibrated by a temperature fitted on examples that training did not see. A family counts only if the paragraph also
+contains most of the word bigrams of one of its templates; a paragraph that names several licences has several families,
+each scored without the names of the others. What passes one test alone is 'unknown'.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ TEMPLATES = {
     "cc0": ["dedicated to the public domain under cc0 1.0", "released under cc0 1.0 universal"],
     "proprietary": ["all rights reserved", "proprietary and confidential unauthorized copying of this file is strictly prohibited"],
 }
+# What stands before a licence's name, and can stand before several names.
+HEADS = ["licensed under the", "licensed under a", "released under the", "spdx license identifier"]
 # Wordings around a notice, other licences, and prose with the same words.
 OPENINGS = ["this work is", "this document is", "this file is", "the text is", "copyright 2021 the authors", "unless stated otherwise this is", ""]
 CLOSINGS = ["see the license for details", "you may not use this file except in compliance with the license", "see license file", ""]
@@ -73,6 +76,13 @@ def stretches(words: list) -> Iterator[list]:
         yield words[i : i + STRETCH]
 
 
+@dataclass
+class Notice:
+    quality: tuple[float, int]  # share and number of the template's bigrams
+    words: range
+    own: set[int]  # words without those that can stand before several names
+
+
 @dataclass
 class LicenceModel:
     classes: list[str]
@@ -82,6 +92,9 @@ class LicenceModel:
     pair_weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    templates: list[tuple[int, frozenset[int]]] = field(default_factory=list)  # class and pairs
+    head_pairs: frozenset[int] = frozenset()
+    head_words: frozenset[int] = frozenset()
     seen: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
 
     def numbers(self, word: bytes) -> tuple[int, ...]:
@@ -112,6 +125,50 @@ class LicenceModel:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def likeness(self, parts: list[list[int]]) -> np.ndarray:
+        """Largest share of any template's bigrams that each stretch has."""
+        count = np.array([len(p) for p in parts], np.int64)
+        flat = np.fromiter((n for p in parts for n in p), np.int64, int(count.sum()))
+        owner = np.repeat(np.arange(len(parts)), count)
+        pair = self.pairs[flat[:-1], flat[1:]] * (owner[:-1] == owner[1:])
+        hit = np.flatnonzero(pair)
+        wide = len(self.pair_weights)
+        whose, which = np.divmod(np.unique(owner[hit] * wide + pair[hit]), wide)
+        best = np.zeros(len(parts))
+        for _, pairs in self.templates:
+            has = np.zeros(wide)
+            has[list(pairs)] = 1
+            best = np.maximum(best, np.bincount(whose, has[which], len(parts)) / len(pairs))
+        return best
+
+    def notices(self, part: list[int], alike: float) -> dict[int, Notice]:
+        """Families with a template that a stretch has to the share alike.
+
+        The best template goes first and takes its bigrams with it, so that a notice is not one of a related family too;
+        only the words before a licence's name can stand before several names.
+        """
+        left = dict(enumerate(self.pairs[part[:-1], part[1:]].tolist()))
+        found: dict[int, Notice] = {}
+        while True:
+            have = set(left.values())
+            k, wanted = max(self.templates, key=lambda t: (len(have & t[1]) / len(t[1]), len(have & t[1])))
+            quality, named = (len(have & wanted) / len(wanted), len(have & wanted)), (have & wanted) - self.head_pairs
+            if quality[0] < alike or not named:
+                return found
+            at = [p for p, n in left.items() if n in named]
+            first, last = min(((a, b) for a in at for b in at if {left[p] for p in at if a <= p <= b} == named), key=lambda x: x[1] - x[0])
+            taken = [p for p in at if first <= p <= last]
+            own = {w for p in taken for w in (p, p + 1) if part[w] not in self.head_words}
+            while first and left.get(first - 1) in self.head_pairs:
+                first -= 1
+            before = found.get(k)
+            if before is None:
+                found[k] = Notice(quality, range(first, last + 2), own)
+            else:  # once more in this stretch
+                found[k] = Notice(before.quality, range(min(first, before.words.start), max(last + 2, before.words.stop)), own | before.own)
+            for p in taken:
+                del left[p]
+
 
 def _examples(lines: list[str], seed: int) -> list[tuple[list[str], str]]:
     pick, rows = random.Random(seed), []
@@ -150,6 +207,10 @@ def train(lines: list[str], seed: int = 7, rounds: int = 250, penalty: float = 1
     flat, owner = np.array([n for p in coded for n in p], np.int64), np.repeat(np.arange(len(rows)), count)
     joined = pairs[flat[:-1], flat[1:]] * (owner[:-1] == owner[1:])
     scale = 1 / np.sqrt(np.maximum(np.bincount(owner, flat > 0, len(rows)), 1))
+    model.templates = [(classes.index(f), frozenset(int(pairs[number[a], number[b]]) for a, b in t)) for f, ts in _BIGRAMS.items() for t in ts]
+    heads = [[number[w] for w in tokens(x)] for x in HEADS]
+    model.head_words = frozenset(n for x in heads for n in x)
+    model.head_pairs = frozenset(int(pairs[a, b]) for x in heads for a, b in zip(x, x[1:], strict=False))
     held = [model.word_weights, model.pair_weights, model.bias]
     past = [np.full_like(x, 1e-8) for x in held]
     for _ in range(rounds):  # AdaGrad on the full sample
@@ -177,39 +238,79 @@ def train(lines: list[str], seed: int = 7, rounds: int = 250, penalty: float = 1
 
 
 def classify(model: LicenceModel, text: bytes, least: float = 0.5, alike: float = 0.7) -> tuple[int, dict[str, int]]:
-    """Paragraphs of a whole text, and how many of them each confirmed family has; 'unknown' for what only one test takes.
+    """Lines of a whole text, and how many of its paragraphs each confirmed family has; 'unknown' for what only one test takes.
 
-    Stretches without any bigram of the model are of no family: a template can't confirm them.
+    A paragraph can have several families. Overlapping stretches of a line with the same family count once. Stretches
+    without any bigram of the model are of no family: a template can't confirm them.
     """
     lines = [line for line in (line.split() for line in text.split(b"\n")) if line]
     coded = [[n for w in line for n in model.numbers(w)] for line in lines]
     ends = np.cumsum([len(x) for x in coded])
     flat = np.fromiter((n for x in coded for n in x), np.int64, int(ends[-1]) if len(ends) else 0)
     paired = np.flatnonzero(model.pairs[flat[:-1], flat[1:]])
-    parts, owner, raw = [], [], []
+    parts, owner = [], []
     for i in np.unique(np.searchsorted(ends, paired, side="right")).tolist():
-        for part in stretches(lines[i]):
-            parts.append([n for w in part for n in model.numbers(w)])
+        for part in stretches(coded[i]):
+            parts.append(part)
             owner.append(i)
-            raw.append(part)
     counts: dict[str, int] = {}
-    if parts:
-        chance = model.probabilities(parts)
-        top = chance[:, 1:].argmax(axis=1) + 1
-        taken: dict[int, str] = {}
-        for j in np.flatnonzero(1 - chance[:, 0] >= 0.2):
-            family = model.classes[top[j]]
-            sure = chance[j, top[j]] >= least
-            same = _similar(tokens(b" ".join(raw[j]).decode()), family) >= alike
-            if sure and same:
-                taken[owner[j]] = family
-            elif sure or same:
-                taken.setdefault(owner[j], "unknown")
-        for family in taken.values():
+    if not parts:
+        return len(lines), counts
+    chance, close = model.probabilities(parts), model.likeness(parts) >= alike
+    sure: dict[int, dict[int, Notice]] = {}  # stretch: families that both tests take
+    half: dict[int, dict[int, Notice | None]] = {}  # stretch: families that one test takes
+    for j in np.flatnonzero(1 - chance[:, 0] >= 0.2).tolist():
+        sure[j], half[j] = _tests(model, parts[j], chance[j], bool(close[j]), least, alike)
+
+    def beside(j: int) -> list[int]:
+        return [i for i in (j - 1, j + 1) if i in sure and owner[i] == owner[j]]
+
+    def cut(j: int, k: int, notice: Notice | None) -> bool:
+        """Whether a neighbour shows that this is the part of another family's notice that the stretch has."""
+        others = [(i, o) for i in beside(j) for f, o in (sure[i] | half[i]).items() if f != k and o]
+        return notice is not None and any(o.quality > notice.quality and any(w + (j - i) * STEP in o.own for w in notice.own) for i, o in others)
+
+    parted = [(held, j, k) for held in (sure, half) for j in held for k, notice in held[j].items() if cut(j, k, notice)]
+    for held, j, k in parted:
+        del held[j][k]
+    for j in half:  # what a neighbour's notice leaves in this stretch is no second one
+        gone = {w + (i - j) * STEP for i in beside(j) for o in sure[i].values() for w in o.words}
+        if half[j] and gone:
+            part = [0 if w in gone else n for w, n in enumerate(parts[j])]
+            still = _tests(model, part, model.probabilities([part])[0], True, least, alike)[1]
+            half[j] = {k: o for k, o in half[j].items() if k in still}
+    for order in (sorted(half), sorted(half, reverse=True)):  # nor what goes on from a confirmed notice of the same family
+        going: dict[int, set[int]] = {}
+        for j in order:
+            near = [i for i in (j - 1, j, j + 1) if i in half and owner[i] == owner[j]]
+            going[j] = half[j].keys() & {k for i in near for k in (*sure[i], *going.get(i, ()))}
+        for j in order:
+            half[j] = {k: o for k, o in half[j].items() if k not in going[j]}
+    found = [(model.classes[k], j) for j, at in sure.items() for k in at] + [("unknown", j) for j, at in half.items() if at]
+    last: dict[str, int] = {}
+    for family, j in sorted(found):
+        i = last.get(family)
+        if i is None or j - i > 1 or owner[i] != owner[j]:
+            last[family] = j
             counts[family] = counts.get(family, 0) + 1
     return len(lines), counts
 
 
+def _tests(model: LicenceModel, part: list[int], chance: np.ndarray, close: bool, least: float, alike: float) -> tuple[dict[int, Notice], dict[int, Notice | None]]:
+    """Families of a stretch that both tests take, and those that one test takes."""
+    notices = model.notices(part, alike) if close else {}
+    top = int(chance[1:].argmax()) + 1
+    both: dict[int, Notice] = {}
+    one: dict[int, Notice | None] = {top: None} if top not in notices and chance[top] >= least else {}
+    for k, notice in notices.items():
+        score = chance[k]
+        if len(notices) > 1 and score < least:  # the classes share one sum of chances, so each is asked without the others' names
+            names = {w for f, o in notices.items() if f != k for w in o.own} - notice.own
+            score = model.probabilities([[0 if w in names else n for w, n in enumerate(part)]])[0, k]
+        (both if score >= least else one)[k] = notice
+    return both, one
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
     """Train with lines of at most sample_docs documents of the corpus, in hash order of their ids."""
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")

@@ -159,3 +159,30 @@ def test_licences(spark, docs_of, odd_rows):
     assert licences.licence_scan(docs_of(odd_rows, extra=True), model).count() == len(odd_rows)
     assert licences.licence_scan(docs_of([]), model).count() == 0
     assert licences.fit(docs_of([])).classes[0] == licences.OTHER
+
+
+def licence_model(spark):
+    texts = table(spark, "/root/testdata/sf0.01", "documents").filter("text is not null").orderBy("doc_id").limit(200).collect()
+    return licences.train(sorted({line for r in texts for line in r["text"].split("\n") if line.strip()}))
+
+
+def test_every_licence_of_a_line(spark):
+    model = licence_model(spark)
+
+    def found(text):
+        return licences.classify(model, text.encode())[1]
+
+    def filled(*notices):
+        return " ".join([" ".join([*(f"wort{i}" for i in range(1250)), n]) for n in notices] + [f"wort{i}" for i in range(1250)])
+
+    mit, gpl, cc = "This file is released under the MIT License.", "Licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."
+    for order in ((mit, gpl, cc), (cc, mit, gpl), (gpl, cc, mit)):
+        assert found(filled(*order)) == {"cc-by-nc": 1, "gpl-3.0": 1, "mit": 1}
+    assert found(filled(mit, mit, mit)) == {"mit": 3}
+    for at in range(45):  # however stretches cut a notice, it is one
+        assert found(" ".join([*(f"wort{i}" for i in range(at)), gpl, *(f"wort{i}" for i in range(60))])) == {"gpl-3.0": 1}
+    for line in ("Licensed under the MIT License or Apache License, Version 2.0.", "SPDX-License-Identifier: MIT OR Apache-2.0"):
+        assert found(line) == {"apache-2.0": 1, "mit": 1}
+    assert found("Licensed under the GNU General Public License version 2 or the GNU General Public License version 3") == {"gpl-2.0": 1, "gpl-3.0": 1}
+    lgpl = "the GNU Lesser General Public License as published by the Free Software Foundation, either version 3"
+    assert found(lgpl) == {"lgpl": 1} and found(cc) == {"cc-by-nc": 1}
