@@ -5,8 +5,9 @@ than 40 words in overlapping stretches of 40) to a licence family or to the clas
 here: families from short public notices in several wordings with random neighbours, the other class from a bounded
 sample of the corpus's own lines, from licences outside the list and from prose about licences. The scores are
 calibrated by a temperature fitted on examples that training did not see. A family counts only if the paragraph also
-contains most of the word bigrams of one of its templates; a paragraph that names several licences has several families,
-each scored without the names of the others. What passes one test alone is 'unknown'.
+contains most of the word bigrams of one of its templates; a paragraph that names several licences has several families.
+Every paragraph is compared with the templates; where one matches, the classifier judges the whole paragraph or the notice
+with up to 5 words on each side, without the names of other families. What passes one test alone is 'unknown'.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 STRETCH, STEP = 40, 20
 SAMPLE_DOCS = 400
+NEIGHBOURS = 5  # words on each side of a notice that it is scored with
 
 # Short public notices by family.
 TEMPLATES = {
@@ -259,7 +261,7 @@ def classify(model: LicenceModel, text: bytes, least: float = 0.5, alike: float
     chance, close = model.probabilities(parts), model.likeness(parts) >= alike
     sure: dict[int, dict[int, Notice]] = {}  # stretch: families that both tests take
     half: dict[int, dict[int, Notice | None]] = {}  # stretch: families that one test takes
-    for j in np.flatnonzero(1 - chance[:, 0] >= 0.2).tolist():
+    for j in np.flatnonzero((chance[:, 1:].max(axis=1) >= least) | close).tolist():
         sure[j], half[j] = _tests(model, parts[j], chance[j], bool(close[j]), least, alike)
 
     def beside(j: int) -> list[int]:
@@ -304,9 +306,10 @@ def _tests(model: LicenceModel, part: list[int], chance: np.ndarray, close: bool
     one: dict[int, Notice | None] = {top: None} if top not in notices and chance[top] >= least else {}
     for k, notice in notices.items():
         score = chance[k]
-        if len(notices) > 1 and score < least:  # the classes share one sum of chances, so each is asked without the others' names
+        if score < least:  # prose around a notice and the names of others outvote it: it is asked as it was trained, with few neighbours
             names = {w for f, o in notices.items() if f != k for w in o.own} - notice.own
-            score = model.probabilities([[0 if w in names else n for w, n in enumerate(part)]])[0, k]
+            near = range(max(notice.words.start - NEIGHBOURS, 0), min(notice.words.stop + NEIGHBOURS, len(part)))
+            score = model.probabilities([[0 if w in names else part[w] for w in near]])[0, k]
         (both if score >= least else one)[k] = notice
     return both, one
 

@@ -186,3 +186,19 @@ def test_every_licence_of_a_line(spark):
     assert found("Licensed under the GNU General Public License version 2 or the GNU General Public License version 3") == {"gpl-2.0": 1, "gpl-3.0": 1}
     lgpl = "the GNU Lesser General Public License as published by the Free Software Foundation, either version 3"
     assert found(lgpl) == {"lgpl": 1} and found(cc) == {"cc-by-nc": 1}
+
+
+def test_no_notice_in_prose_is_dropped(spark):
+    model = licence_model(spark)
+    texts = table(spark, "/root/testdata/sf0.01", "documents").filter("text is not null").orderBy("doc_id").limit(200).collect()
+    prose = [w for r in texts for line in r["text"].split("\n") if len(line.split()) > licences.STRETCH for w in line.split()]
+    pick, confirmed, told = random.Random(3), 0, 0
+    for family, notices in licences.TEMPLATES.items():
+        for notice in notices:
+            for _ in range(10):
+                at = pick.randrange(len(prose) - 300)
+                text = " ".join([*prose[at : at + 150], notice, *prose[at + 150 : at + 300]])
+                got = licences.classify(model, text.encode())[1]
+                assert got and got.keys() <= {family, "unknown"}, (family, notice, got)
+                confirmed, told = confirmed + (family in got), told + 1
+    assert confirmed >= 0.85 * told
