@@ -17,17 +17,25 @@ def training_texts(docs: DataFrame, labels: DataFrame, target: str, most_of: dic
     """Texts and labels outside the held-out fold: at most most_of[label] documents of each label, in hash order of their ids.
 
     This bounded sample is all that reaches the driver; null labels, ids and texts are left out, and equal texts count once.
+    Repeated label rows count once, and an id with several rows in docs has the smallest of its texts.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.select(F.col("doc_id").cast("long").alias("__id"), F.col(target).cast("int").alias("__label"))
+    usable = usable.select(F.col("doc_id").cast("long").alias("__id"), F.col(target).cast("int").alias("__label")).distinct()
     picked = None
     for label, most in most_of.items():
         some = usable.filter(F.col("__label") == label).orderBy(F.xxhash64("__id"), "__id").limit(most)
         picked = some if picked is None else picked.union(some)
     # The picked ids are bounded by most_of, so this side can be broadcast.
-    texts_of = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    rows = texts_of.join(F.broadcast(picked), "__id").select("__id", "__text", "__label")
+    rows = one_text(docs, picked.groupBy("__id").agg(F.sort_array(F.collect_set("__label")).alias("__labels")), id_col, text_col)
     texts: dict[str, int] = {}
-    for _, text, label in sorted((r for r in rows.collect() if r[1] is not None), key=lambda r: (r[0], r[2])):
+    for _, text, label in sorted(((r["__id"], r["__text"], label) for r in rows.collect() for label in r["__labels"]), key=lambda r: (r[0], r[2])):
         texts.setdefault(text, label)
     return list(texts.items())
+
+
+def one_text(docs: DataFrame, picked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of picked, a bounded table with one row an __id, with __text, the smallest text that docs has for the id; none without a text."""
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")
+    # Joined first, so that only texts of picked ids are grouped; each task keeps one of an id's texts before any travels.
+    least = texts.join(F.broadcast(picked.select("__id")), "__id").groupBy("__id").agg(F.min("__text").alias("__text"))
+    return least.join(F.broadcast(picked), "__id")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .labelled import one_text
+
 STRETCH, STEP = 40, 20
 SAMPLE_DOCS = 400
 NEIGHBOURS = 5  # words on each side of a notice that it is scored with
@@ -315,12 +317,12 @@ def _tests(model: LicenceModel, part: list[int], chance: np.ndarray, close: bool
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
-    """Train with lines of at most sample_docs documents of the corpus, in hash order of their ids."""
+    """Train with lines of at most sample_docs documents of the corpus, in hash order of their ids; rows of one id count once."""
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")
     # Ids are chosen first: else every task would send its candidates' texts to the driver.
-    some = texts.select("__id").filter("__id is not null").orderBy(F.xxhash64("__id"), "__id").limit(sample_docs).distinct()
-    rows = texts.join(F.broadcast(some), "__id").select("__id", "__text").limit(sample_docs).collect()
-    return train(sorted({line for r in rows for line in r[1].split("\n") if line.strip()}))
+    some = texts.select("__id").filter("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample_docs)
+    rows = one_text(docs, some, id_col, text_col).collect()
+    return train(sorted({line for r in rows for line in r["__text"].split("\n") if line.strip()}))
 
 
 def licence_scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -202,3 +202,18 @@ def test_no_notice_in_prose_is_dropped(spark):
                 assert got and got.keys() <= {family, "unknown"}, (family, notice, got)
                 confirmed, told = confirmed + (family in got), told + 1
     assert confirmed >= 0.85 * told
+
+
+def test_repeated_ids_take_one_place_in_a_sample(spark, docs_of, monkeypatch):
+    import zlib
+
+    often = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)  # not in the held-out fold
+    docs = docs_of([(i, f"text {i}") for i in range(100)] + [(often, f"text {often} again {i % 9}") for i in range(3000)] + [(often, None)], extra=True)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(100)] + [(often, 1, often % 2)] * 3000, "doc_id long, quality int, toxic int")
+    kept = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    got = labelled.training_texts(docs, labels, "toxic", {0: 200, 1: 200})
+    assert sorted(got) == sorted((f"text {i}", i % 2) for i in kept)
+    assert len(labelled.training_texts(docs, labels, "toxic", {0: 20, 1: 20})) == 40
+    monkeypatch.setattr(licences, "train", lambda lines: lines)
+    assert licences.fit(docs, sample_docs=200) == sorted(f"text {i}" for i in range(100))
+    assert len(licences.fit(docs, sample_docs=30)) == 30
