@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import Scratch
 
 SALTS = 16
 
@@ -16,22 +16,25 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFra
     return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [key, "salt"]).drop("salt")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, store: Scratch) -> DataFrame:
     """links: a long, b long. Returns node, label (the smallest node that can be reached).
 
     Every round takes the smallest label among neighbours and then the label of that label, so a chain of n nodes needs
     about log n rounds. Labels are looked up once each and handed to their nodes by a salted join, since most nodes of a
-    large component soon have one label. Rounds are written to the checkpoint folder: a lost executor costs one at most.
+    large component soon have one label. Rounds are written to the store: a lost executor costs one at most.
     """
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
-    edges = keep(both)
-    labels = keep(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    edges = store.keep(both)
+    labels = store.keep(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    labels_at = labels  # the table that holds the labels
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = keep(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        hooked = store.keep(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         heads = hooked.select("label").distinct().join(hooked.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
         jumped = spread_join(hooked, heads, "label", "node")
-        moved = keep(jumped.select("node", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("old")).alias("moved")).repartition("node"))
+        moved = store.keep(jumped.select("node", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("old")).alias("moved")))
+        store.drop(labels_at, hooked)
+        labels_at = moved
         labels = moved.select("node", "label")
         if moved.filter("moved").isEmpty():
             return labels

@@ -4,7 +4,8 @@ Each text is normalised (A-Z lowered, null counts as empty). The leading bytes,
 identifier form a sort key; Spark samples splitters of that key, deals the rows into ranges and sorts each range on
 disk where memory ends. Equal texts are then neighbours, and one pass compares every text in full with the one
 before it. The identifier is part of the splitters, so a text that a third of all rows share spreads over many
-ranges; the runs at the edges of ranges (two keys a range at most) are settled against each other afterwards.
+ranges; the runs at the edges of ranges (two keys a range at most) are settled against each other afterwards, by the
+SHA-256 digests of their texts.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import fresh, keep
+from .scratch import Scratch, fresh, sliced
 
-HEAD_BYTES = 64
+HEAD_BYTES = 16
 _KEYED = "id long, norm string, head binary, tag long, sha binary"
 _RUNS = "id long, keep_id long, group_size long, sha binary, leads boolean, edge boolean, slot int"
 
 
 def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         norm = pc.ascii_lower(pc.fill_null(batch.column(1), ""))
         raw = norm.cast(pa.binary()).to_pylist()
         sha = [hashlib.sha256(x).digest() for x in raw]
@@ -78,7 +79,7 @@ class _Runs:
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs = _Runs()
-    for batch in batches:
+    for batch in sliced(batches):
         doc, text, head, tag, sha = (batch.column(i).to_pylist() for i in range(5))
         for i in range(batch.num_rows):
             runs.add((head[i], tag[i]), text[i], sha[i], doc[i])
@@ -93,12 +94,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of equal texts the row with the largest identifier stays; among repeated rows of one identifier exactly one stays.
     A null text counts as empty and an empty text is a text like any other. A null identifier sorts below all others;
-    it is kept only where no row of the group has one. Other columns of docs are not read. An empty table gives no rows.
+    it is kept only where no row of the group has one. A very long text is compared whole; a task holds two texts and the
+    identifiers of one run. Other columns of docs are not read. An empty table gives no rows.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_normalised, _KEYED)
     ranged = keyed.repartitionByRange("head", "tag", "id")
     ordered = ranged.sortWithinPartitions("head", "tag", "norm", F.col("id").desc_nulls_last())
-    rows = keep(ordered.mapInArrow(_compared, _RUNS))
+    rows = Scratch(docs.sparkSession).keep(ordered.mapInArrow(_compared, _RUNS))
     winner = F.max(F.struct("keep_id", "slot")).alias("win")
     # Two keys a range at most are at its edges, so this side is bounded by the number of ranges.
     edges = rows.filter("edge").groupBy(F.col("sha").alias("edge_sha")).agg(winner, F.sum(F.col("leads").cast("long") * F.col("group_size")).alias("total"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import sliced
 from .vocab import WordIds, word_ids
 
 RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -105,7 +106,7 @@ _OUT = (
 def _judged(ranks: str, pieces: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_ids(pieces, ranks)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, text, lang in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = text or b""

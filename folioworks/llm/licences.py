@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import one_text
+from .scratch import sliced
 
 STRETCH, STEP = 40, 20
 SAMPLE_DOCS = 400
@@ -335,7 +336,7 @@ def licence_scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("family", pa.string()), ("n", pa.int64())]))
-        for batch in batches:
+        for batch in sliced(batches):
             found = [classify(shared.value, t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             named = [[{"family": f, "n": n} for f, n in sorted(c.items())] for _, c in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(named, kind)], names=["doc_id", "n_paragraphs", "families"])

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import fresh, keep
+from .scratch import Scratch, fresh
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -29,7 +29,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     Sources by code point, null last, take the weights in turn; share times all words are given out by weight, no source
     gets more than most times its own, and what it can't take goes to the others by weight. Ordered by the words a unit
     of weight can take, the sources that reach their limit come first; level is what a unit of weight gets if exactly the
-    sources before a row are at their limit, and the first row that stays below its limit has the final level.
+    sources before a row are at their limit, and the first row that stays below its limit has the final level. All sources
+    pass through one task, a row of three numbers each: this is meant for sources by the million, not for one a document.
     """
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     turn = F.pmod(place - 1, F.lit(len(weights)))
@@ -53,22 +54,24 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     """One row per row of docs: doc_id, source, size, source_size, target, copies, taken; the same on every run.
 
     Size is the number of words between ASCII white space; a null or empty text has none. A null source is a source of
-    its own. Repeated rows take neighbouring ranks. Extra columns are not read; an empty table gives no rows.
+    its own. Rows tied in size take ranks by identifier, repeated rows neighbouring ranks. A very long text counts all its words. Extra columns are not read; an empty table gives no rows.
     """
+    store = Scratch(docs.sparkSession)
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size")))
+    sized = store.keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    dealt = keep(sized.repartitionByRange("source", "size", "doc_id").sortWithinPartitions("source", "size", "doc_id").withColumn("at", F.monotonically_increasing_id()))
+    dealt = store.keep(sized.repartitionByRange("source", "size", "doc_id").sortWithinPartitions("source", "size", "doc_id").withColumn("at", F.monotonically_increasing_id()))
     span = F.shiftright("at", 33).alias("span")
     spans = dealt.groupBy("source", span).agg(F.min("at").alias("low"), F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     base = spans.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     facts = base.join(targets.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).select(F.col("source").alias("from"), F.col("span").alias("part"), "low", "base", "source_size", "target")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    rows = dealt.withColumn("here", F.shiftright("at", 33)).join(keep(facts), F.col("source").eqNullSafe(F.col("from")) & (F.col("here") == F.col("part")))
+    rows = dealt.withColumn("here", F.shiftright("at", 33)).join(store.keep(facts), F.col("source").eqNullSafe(F.col("from")) & (F.col("here") == F.col("part")))
     rank = (F.col("base") + F.col("at") - F.col("low") + 1).cast("double")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(rank * F.col("each") + F.col("offset")) - F.floor((rank - 1) * F.col("each") + F.col("offset"))
+    store.drop(sized)
     return (
         rows.withColumn("each", each)
         .withColumn("offset", offset)

@@ -15,12 +15,11 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import Scratch, sliced
 from .vocab import word_ids
 
 VOCABULARY = "word_bpe_49k.json"
@@ -45,7 +44,7 @@ class Capacity:
 def _pieces(path: str, tokens: int, separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_ids(path)
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             docs = batch.column(0).to_pylist()
             texts = [(t or b"").split() for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -104,9 +103,11 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
 
 def _packed(capacity: Capacity):
-    def run(pieces: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = best_fit(pieces["length"].to_numpy(), capacity)
-        return pieces.assign(sequence_id=pieces["task"] * (1 << 32) + bins, offset=offsets).drop(columns=["task"])
+    def run(pieces: pa.Table) -> pa.Table:
+        """Arrow columns go through as they are, so that a null identifier leaves the others exact."""
+        bins, offsets = best_fit(pieces.column("length").to_numpy(), capacity)
+        sequences = pieces.column("task").to_numpy() * (1 << 32) + bins
+        return pieces.drop_columns(["task"]).append_column("sequence_id", pa.array(sequences, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
     return run
 
@@ -118,13 +119,15 @@ def pack(docs: DataFrame, vocabulary: str, capacity: Capacity = Capacity(), sepa
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text counts as empty; every document has its separator, so each row of docs gives one piece at least, also
-    where rows repeat. Extra columns are not read; an empty table gives no rows. Whole pieces are sequences of their own.
+    where rows repeat. A very long text is cut into as many pieces as it needs. Pieces of one length are packed in no
+    particular order. Extra columns are not read; an empty table gives no rows. Whole pieces are sequences of their own.
     """
-    pieces = keep(token_pieces(docs, vocabulary, capacity.tokens, separator, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    store = Scratch(docs.sparkSession)
+    pieces = store.keep(token_pieces(docs, vocabulary, capacity.tokens, separator, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     full = pieces.filter(F.col("length") == capacity.tokens)
     part = pieces.filter(F.col("length") < capacity.tokens)
     tasks = max(1, -(-part.count() // PIECES_A_TASK))
     dealt = part.withColumn("task", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(tasks))).drop("row")
-    fitted = dealt.groupBy("task").applyInPandas(_packed(capacity), _OUT)
+    fitted = dealt.groupBy("task").applyInArrow(_packed(capacity), _OUT)
     alone = full.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return fitted.unionByName(alone)

@@ -1,39 +1,45 @@
 """Repeated passages found with sharded Aho-Corasick automata.
 
-A passage repeats if one of its windows of 35 words starts more than once in the table. Finding them takes four steps:
+A passage repeats if one of its windows of 35 words starts more than once in the table. The texts are dealt once into
+shards of about two megabytes and stored; every later step reads them there.
 
 1. Anchors. Of the word 8-grams in each window the one with the smallest hash is its anchor, so equal windows have equal
-   anchors and about one 8-gram in fourteen is one. Anchors that occur once can't stand in a repeated window.
-2. Contexts. The stretch of words whose windows share one repeated anchor is its context. Where all contexts of an anchor
-   are equal, all their windows repeat; that settles copies and the inside of common passages.
-3. Confirmation. The windows of the other contexts are counted by anchor and hash; those that occur twice or more repeat.
-   Only numbers are shuffled: texts stay out of steps 1 to 3 but for one join with the anchors that a text has.
-4. Location. Documents are dealt into shards; each shard compiles the confirmed passages of its documents into an automaton
-   over word numbers, and streams all its documents through it. Words under a match are removed.
-
-Counts are combined before they are shuffled, and shards hold a fixed number of documents, so a passage that a third of
-all rows share is no larger a group than any other.
+   anchors and about one 8-gram in fourteen is one. The stretch of words whose windows share an anchor is its context.
+   Anchors that occur once can't stand in a repeated window.
+2. Confirmation. Where all contexts of an anchor are equal, all their windows repeat; that settles copies and the inside
+   of common passages. Of the other contexts each different one has its windows hashed once and counted by anchor and
+   hash with the number of times that the context occurs; those that occur twice or more repeat.
+3. Passages. Maximal runs of repeated windows are cut out of the first text that has them, once for each different run.
+4. Location. A shard gets the different passages that its documents' contexts call for, whichever text they were cut
+   from, and compiles them into automata over word numbers, each of a bounded number of words. All documents are
+   streamed through the automata of their shard, and words under a match are removed. No place in a document is known
+   to this step: the automata find every occurrence, word by word.
+
+Passages travel to documents, so one that a third of all rows share is sent once a shard, and no shard gets more
+documents for it. Counts are combined before they are shuffled. A window counts as repeated if anchor and window hash
+(64 bits each) agree: n different contexts of one anchor give a false pair with a chance of about 100 n**2 / 2**64.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep, sweep
+from .scratch import Scratch, sliced
 
 WINDOW = 35
 GRAM = 8
-DOCS_A_SHARD = 500
+BYTES_A_SHARD = 2 << 20
+BYTES_A_PART = 512 << 20  # of the stored texts: a task of a later step reads one part
+WORDS_AN_AUTOMATON = 500_000
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -76,16 +82,15 @@ class Rolling:
         return value ^ (value >> np.uint64(32))
 
 
-def anchors(docs: list[list[bytes]], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(rolling: Rolling, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """For all anchors of a batch: the index of the document, the hash, and the first and last window that it anchors."""
-    rolling = Rolling(docs)
     n = len(rolling.sums) - 1
     if n < window:
         return (np.zeros(0, np.int64),) * 4
     place = np.arange(n - gram + 1)
     grams = rolling.of(place, place + gram)
     chosen = _sliding_min(grams, window - gram + 1)  # by the start of the window
-    owner = np.repeat(np.arange(len(docs)), rolling.counts)[: len(chosen)]
+    owner = np.repeat(np.arange(len(rolling.counts)), rolling.counts)[: len(chosen)]
     inside = np.arange(len(chosen)) + window <= (rolling.start + rolling.counts)[owner]  # windows across two texts are none
     at = np.flatnonzero(inside)
     chosen, owner = chosen[at], owner[at]
@@ -97,69 +102,71 @@ def anchors(docs: list[list[bytes]], window: int = WINDOW, gram: int = GRAM) ->
     return doc, grams[chosen[first]].view(np.int64), at[first] - rolling.start[doc], at[last] - rolling.start[doc]
 
 
-def _batches(rows: Iterable[tuple], types: list[pa.DataType], names: list[str], size: int = 4000) -> Iterator[pa.RecordBatch]:
-    part: list[tuple] = []
-
-    def made() -> pa.RecordBatch:
-        columns = list(zip(*part, strict=True)) if part else [()] * len(types)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    for row in rows:
-        part.append(row)
-        if len(part) >= size:
-            yield made()
-            part.clear()
-    yield made()
-
-
 def _texts(column: pa.Array) -> list[list[bytes]]:
     return [(t or b"").split() for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts on their way through a shuffle: its own compression works on blocks of many columns and saves far less."""
-    zipper = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        bodies = [zipper.compress(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], names=["doc_id", "key", "body"])
-
+def _anchor_rows(window: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            shards, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            docs = _texts(batch.column(2))
+            rolling = Rolling(docs)
+            doc, hashes, first, last = anchors(rolling, window, gram)
+            begin = rolling.start[doc] + first
+            whole = rolling.of(begin, begin + (last - first) + window) ^ (last - first).view(np.uint64)
+            columns = [pa.array(hashes, pa.int64()), pa.array(whole.view(np.int64)), pa.array(shards[doc]), pa.array(rows[doc]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "context", "shard", "row", "first", "last"])
 
-def _unzipped(column: pa.Array) -> list[bytes]:
-    zipper = zstandard.ZstdDecompressor()
-    return [zipper.decompress(x) if x is not None else b"" for x in column.to_pylist()]
+    return run
 
 
-def _anchor_rows(window: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            doc, hashes, first, last = anchors(_texts(batch.column(1)), window, gram)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes, pa.int64()), pa.array(keys[doc], pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                names=["anchor", "key", "first", "last"],
-            )
+def _asked(texts: pa.Table, asked: pa.Table) -> Iterator[tuple[list[bytes], list[dict]]]:
+    """The words of each text of a shard that rows of asked name, with these rows."""
+    by_row: dict[int, list[dict]] = {}
+    for x in asked.to_pylist():
+        by_row.setdefault(x["row"], []).append(x)
+    if by_row:
+        rows, bodies = texts.column("row").to_pylist(), texts.column("text")
+        for i, row in enumerate(rows):
+            if row in by_row:
+                yield (bodies[i].as_py() or "").encode().split(), by_row[row]
+
+
+def _window_rows(window: int):
+    def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        """Hashes of all windows of the contexts that are asked for."""
+        out: list[tuple] = []
+        for words, found in _asked(texts, asked):
+            rolling = Rolling([words])
+            for x in found:
+                at = np.arange(x["first"], x["last"] + 1)
+                out.append((x["anchor"], x["context"], x["n"], x["shard"], x["row"], x["first"], x["last"], rolling.of(at, at + window).view(np.int64)))
+        columns = list(zip(*out, strict=True)) if out else [()] * 8
+        names = ["anchor", "context", "n", "shard", "row", "first", "last", "windows"]
+        types = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return run
 
 
-def _context_rows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rolling = Rolling([t.split() for t in _unzipped(batch.column(1))])
-            spans = batch.column(2)
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
-            flat = spans.flatten()
-            anchor, first, last = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            begin = rolling.start[doc] + first
-            whole = rolling.of(begin, begin + (last - first) + window)
-            many = (last - first + 1).astype(np.int64)
-            each = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(rolling.of(each, each + window).view(np.int64)))
-            keys = batch.column(0).to_numpy()[doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor, pa.int64()), pa.array(keys, pa.int64()), pa.array(first.astype(np.int32)), pa.array((whole ^ many.view(np.uint64)).view(np.int64)), windows],
-                names=["anchor", "key", "first", "context", "windows"],
-            )
+def _passage_rows(window: int):
+    def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        """The words of each run of repeated windows; ats: windows of the context that repeat, null if all do."""
+        out: list[tuple] = []
+        for words, found in _asked(texts, asked):
+            for x in found:
+                ats = range(x["last"] - x["first"] + 1) if x["ats"] is None else sorted(x["ats"])
+                low = None
+                for at, after in zip(ats, [*ats[1:], None], strict=True):
+                    low = at if low is None else low
+                    if after != at + 1:
+                        body = b" ".join(words[x["first"] + low : x["first"] + at + window])
+                        out.append((x["anchor"], x["context"], xxhash.xxh64_intdigest(body) - (1 << 63), body.decode()))
+                        low = None
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        names = ["anchor", "context", "passage", "body"]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True)], names=names)
 
     return run
 
@@ -167,116 +174,106 @@ def _context_rows(window: int):
 class Automaton:
     """Passages as sequences of word numbers; words that no passage has are number 0."""
 
-    def __init__(self) -> None:
+    def __init__(self, passages: list[list[bytes]]) -> None:
         self.number: dict[bytes, int] = {}
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        self.ready = False
-
-    def add(self, words: list[bytes]) -> None:
-        self.trie.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in words), len(words))
-
-    def covered(self, words: list[bytes]) -> np.ndarray:
-        """True for each word that lies under an occurrence of a passage."""
-        under = np.zeros(len(words) + 1, np.int64)
-        if not self.ready:
-            self.trie.make_automaton()
-            self.ready = True
-        if self.number:
-            number = self.number.get
-            for end, length in self.trie.iter(tuple(number(w, 0) for w in words)):
-                under[end - length + 1] += 1
-                under[end + 1] -= 1
-        return np.cumsum(under[:-1]) > 0
-
-
-def _shard_rows(window: int, docs: list[tuple[int, int | None, bytes]], ranges: dict[int, list[tuple[int, int]]]) -> Iterator[tuple]:
-    """docs of one shard: key, id, text; ranges: confirmed windows (first and last start) by key."""
-    automaton, seen = Automaton(), set()
-    for key, _, text in docs:
-        if key not in ranges or key in seen:
-            continue
-        seen.add(key)
-        words, low, high = text.split(), None, None
-        for a, b in [*sorted(ranges[key]), (1 << 60, 1 << 60)]:
-            if low is not None and a > high + 1:
-                automaton.add(words[low : high + window])
-                low = None
-            low, high = (a, b) if low is None else (low, max(high, b))
-    for _, doc, text in docs:
-        words = text.split()
-        gone = automaton.covered(words) if words else np.zeros(0, bool)
-        left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-        yield doc, len(words), len(words) - len(left), b" ".join(left).decode()
+        for words in passages:
+            self.trie.add_word(tuple([self.number.setdefault(w, len(self.number) + 1) for w in words]), len(words))
+        self.trie.make_automaton()
+
+    def mark(self, words: list[bytes], under: np.ndarray) -> None:
+        """Add 1 to under where an occurrence of a passage starts, and take 1 where it has ended."""
+        found = list(self.trie.iter(tuple(map(self.number.get, words, repeat(0)))))
+        if found:
+            ends, lengths = np.array(found).T
+            np.add.at(under, ends - lengths + 1, 1)
+            np.add.at(under, ends + 1, -1)
+
+
+def _automata(passages: list[list[bytes]], most: int) -> Iterator[Automaton]:
+    """One after the other, each of about most words, so that memory is bounded whatever a shard calls for."""
+    part, size = [], 0
+    for words in passages:
+        part.append(words)
+        size += len(words)
+        if size >= most:
+            yield Automaton(part)
+            part, size = [], 0
+    if part:
+        yield Automaton(part)
+
+
+def _kept_rows(most: int):
+    def run(texts: pa.Table, passages: pa.Table) -> pa.Table:
+        docs = _texts(texts.column("text"))
+        under = [np.zeros(len(words) + 1, np.int32) for words in docs]
+        for automaton in _automata(_texts(passages.column("body")), most):
+            for words, marks in zip(docs, under, strict=True):
+                automaton.mark(words, marks)
+        removed, left = [], []
+        for words, marks in zip(docs, under, strict=True):
+            gone = np.cumsum(marks[:-1]) > 0
+            removed.append(int(gone.sum()))
+            left.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed[-1] else words).decode())
+        columns = [texts.column("doc_id"), pa.array([len(x) for x in docs], pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())]
+        return pa.table(columns, names=["doc_id", "n_words", "n_removed", "kept_text"])
 
+    return run
 
-def _kept_rows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            shard, docs, ranges = None, [], {}
-            for batch in batches:
-                shards, keys, ids, found, is_text = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))
-                for i, text in enumerate(_unzipped(batch.column(3))):
-                    if shards[i] != shard:
-                        yield from _shard_rows(window, docs, ranges)
-                        shard, docs, ranges = shards[i], [], {}
-                    if is_text[i]:
-                        docs.append((keys[i], ids[i], text))
-                    else:
-                        ranges.setdefault(keys[i], []).extend((x["first"], x["last"]) for x in found[i])
-            yield from _shard_rows(window, docs, ranges)
-
-        yield from _batches(rows(), [pa.int64(), pa.int64(), pa.int64(), pa.string()], ["doc_id", "n_words", "n_removed", "kept_text"], 500)
 
-    return run
+def _dealt(store: Scratch, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """shard, row (a number of its own), doc_id, text: all rows of docs, stored by shard.
+
+    The shard is a hash of the row and of the part of the table that it is read from, so rows that repeat by the million
+    spread over shards too, and a row that is read once more goes to the same shard.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // BYTES_A_SHARD))
+    parts = max(min(shards, int(store.spark.conf.get("spark.sql.shuffle.partitions"))), -(-size // BYTES_A_PART))
+    shard = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(shards)).cast("int")
+    dealt = texts.withColumn("shard", shard).repartition(parts, "shard").withColumn("row", F.monotonically_increasing_id())
+    return store.keep_dealt(dealt.select("shard", "row", "doc_id", "text"), "shard", parts)
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space).
 
     A word goes if a window of the given number of words that covers it starts anywhere else too, in the same text or
-    another; repeated rows are texts of their own. A null text has no words; texts shorter than the window lose none.
-    Words are what ASCII white space separates. Extra columns are not read; an empty table gives no rows.
+    another; repeated rows are texts of their own, and all places of a repeated window go, ties having no first one. A
+    null text has no words; texts shorter than the window lose none. A very long text is one row of its shard: its words
+    must fit a worker, while automata stay bounded. Words are what ASCII white space separates. Extra columns are not
+    read; an empty table gives no rows; null identifiers are kept as they are.
     """
-    spark = docs.sparkSession
-    shards = max(1, -(-docs.count() // DOCS_A_SHARD))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
-    shard = F.pmod("key", F.lit(shards)).cast("int")
-    long = keyed.filter(F.length("text") >= 2 * window - 1).select("key", "text")
-    found = long.mapInArrow(_anchor_rows(window, gram), "anchor long, key long, first int, last int")
-    again = keep(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
-    sweep(spark)
-    spans = keep(found.join(again, "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("spans")))
-    sweep(spark)
-    zipped = "doc_id long, key long, body binary"
-    near = keyed.filter(F.length("text") >= 2 * window - 1).select("doc_id", "key", "text").mapInArrow(_zipped, zipped)
-    near = near.join(spans, "key").select("key", "body", "spans")
-    contexts = keep(near.mapInArrow(_context_rows(window), "anchor long, key long, first int, context long, windows array<long>"))
-    del near, spans, found, again
-    sweep(spark)
-    pair = ["anchor", "context"]
-    distinct = keep(contexts.groupBy(*pair).agg(F.count("*").alias("n"), F.any_value("windows").alias("windows")))
-    sweep(spark)
-    mixed = keep(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"))
-    open_ = distinct.join(mixed, "anchor", "left_semi").select(*pair, "n", F.posexplode("windows").alias("at", "hash"))
-    counted = open_.groupBy("anchor", "hash").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "hash")
-    starts = open_.join(counted, ["anchor", "hash"]).groupBy(*pair).agg(F.array_sort(F.collect_set("at")).alias("starts"))
-    has = lambda x: F.array_contains("starts", x)
-    edges = [F.filter("starts", lambda x: ~has(x - 1)), F.filter("starts", lambda x: ~has(x + 1))]
-    part = starts.select(*pair, F.zip_with(*edges, lambda x, y: F.struct(x.alias("first"), y.alias("last"))).alias("runs"))
-    whole = F.array(F.struct(F.lit(0).alias("first"), (F.size("windows") - 1).alias("last")))
-    runs = distinct.join(mixed, "anchor", "left_anti").select(*pair, whole.alias("runs")).union(part)
-    moved = F.transform("runs", lambda r: F.struct((F.col("first") + r["first"]).alias("first"), (F.col("first") + r["last"]).alias("last")))
-    settled = keep(runs)
-    del distinct, mixed, open_, counted, starts, part, runs
-    sweep(spark)
-    ranges = contexts.select(*pair, "key", "first").join(settled, pair).select("key", moved.alias("ranges"))
-    none = F.lit(None)
-    stream = ranges.select(shard.alias("shard"), "key", none.cast("long").alias("doc_id"), none.cast("binary").alias("body"), "ranges", F.lit(False).alias("is_text"))
-    packed = keyed.select("doc_id", "key", "text").mapInArrow(_zipped, zipped)
-    whole = packed.select(shard, "key", "doc_id", "body", none.cast("array<struct<first: int, last: int>>"), F.lit(True))
-    dealt = stream.union(whole).repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(_kept_rows(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    store = Scratch(docs.sparkSession)
+    texts = _dealt(store, docs, id_col, text_col)
+    long = texts.filter(F.length("text") >= 2 * window - 1)
+    by_shard = long.groupBy("shard")
+    found = store.keep(long.select("shard", "row", "text").mapInArrow(_anchor_rows(window, gram), "anchor long, context long, shard int, row long, first int, last int"))
+    mixed = (F.min("context") != F.max("context")).alias("mixed")
+    again = store.keep(found.groupBy("anchor").agg(F.count("*").alias("n"), mixed).filter("n > 1").select("anchor", "mixed"))
+    contexts = store.keep(found.join(again, "anchor"))
+    store.drop(found, again)
+    place = F.min(F.struct("row", "shard", "first", "last"))
+    kinds = store.keep(contexts.groupBy("anchor", "context", "mixed").agg(F.count("*").alias("n"), place.alias("at")).select("anchor", "context", "mixed", "n", "at.*"))
+    opened = by_shard.cogroup(kinds.filter("mixed").groupBy("shard")).applyInArrow(_window_rows(window), "anchor long, context long, n long, shard int, row long, first int, last int, windows array<long>")
+    opened = store.keep(opened)
+    own = ["anchor", "context", "shard", "row", "first", "last"]
+    windows = opened.select(*own, "n", F.posexplode("windows").alias("at", "hash"))
+    counted = store.keep(windows.groupBy("anchor", "hash").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "hash"))
+    repeated = windows.drop("n").join(counted, ["anchor", "hash"]).groupBy(*own).agg(F.collect_list("at").alias("ats"))
+    whole = kinds.filter("not mixed").select(*own, F.lit(None).cast("array<int>").alias("ats"))
+    asked = store.keep(whole.unionByName(repeated))
+    store.drop(kinds, opened, counted)
+    cut = store.keep(by_shard.cogroup(asked.groupBy("shard")).applyInArrow(_passage_rows(window), "anchor long, context long, passage long, body string"))
+    store.drop(asked)
+    bodies = store.keep(cut.groupBy("anchor", "passage").agg(F.min("body").alias("body")))
+    needs = store.keep(contexts.join(cut.select("anchor", "context", "passage"), ["anchor", "context"]).select("shard", "anchor", "passage").distinct())
+    store.drop(contexts, cut)
+    passages = store.keep(needs.join(bodies, ["anchor", "passage"]).select("shard", "body"))
+    store.drop(needs, bodies)
+    kept = texts.groupBy("shard").cogroup(passages.groupBy("shard"))
+    return kept.applyInArrow(_kept_rows(WORDS_AN_AUTOMATON), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(column: Column) -> Column:

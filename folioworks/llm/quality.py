@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .fertility import base_counts
 from .labelled import held_out, training_texts
+from .scratch import sliced
 
 LOW_DOCS, HIGH_DOCS = 1500, 2500
 THRESHOLD = 0.3
@@ -142,7 +143,7 @@ def quality(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = np.array([statistics(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(rows), pa.float64())], names=["doc_id", "score"])
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import Scratch
 
 MARKS = r"^(?:[ \t]*>)+[ \t]?"
 ATTRIBUTION = r"(?i)^\s*(?:(?:on|am|le|el)\b.*\b)?(?:wrote|schrieb|a écrit|escribió)\s*:\s*$"
@@ -38,12 +38,13 @@ def reply_order(messages: DataFrame, thread_col: str = "conv_id", seq_col: str =
 
     Ordering by thread, root_seq, depth, seq reads each conversation in reply order. A message that quotes nothing known
     is a root. A quoted passage with several sources goes to the earliest; quotes of later messages are not linked.
-    Rows that repeat a thread and seq are one message, the one with the smallest text. A null text has no lines. Null
-    threads or seqs are left out. Extra columns are not read; an empty table gives no rows.
+    Rows that repeat a thread and seq are one message, the one with the smallest text. A null text has no lines; a very
+    long one has all its lines. Null threads or seqs are left out. Extra columns are not read; an empty table gives no rows.
     """
+    store = Scratch(messages.sparkSession)
     keyed = messages.select(F.col(thread_col).cast("long").alias("thread"), F.col(seq_col).cast("long").alias("seq"), F.col(text_col).alias("text"))
     once = keyed.filter("thread is not null and seq is not null").groupBy("thread", "seq").agg(F.min("text").alias("text"))
-    lines = keep(passages(once))
+    lines = store.keep(passages(once))
     parts = lines.groupBy("thread", "seq", "passage").agg(
         F.min("level").alias("level"),
         F.array_sort(F.collect_list(F.struct("line", "body"))).alias("parts"),
@@ -64,7 +65,7 @@ def reply_order(messages: DataFrame, thread_col: str = "conv_id", seq_col: str =
     )
     body = lines.filter("level = 0").groupBy("thread", "seq").agg(F.array_sort(F.collect_list(F.struct("line", "body"))).alias("parts"))
     clean = body.select("thread", "seq", F.regexp_replace(F.concat_ws("\n", F.transform("parts", lambda x: x["body"])), r"^\n+|\n+\z", "").alias("clean_text"))
-    joined = keep(once.select("thread", "seq").join(replies, ["thread", "seq"], "left").join(clean, ["thread", "seq"], "left"))
+    joined = store.keep(once.select("thread", "seq").join(replies, ["thread", "seq"], "left").join(clean, ["thread", "seq"], "left"))
     zero = F.lit(0).cast("long")
     place = [F.col("thread"), F.col("seq")]
     ended = joined.filter("parent_seq is null").select(*place, F.col("seq").alias("root"), zero.alias("depth"))
@@ -72,7 +73,7 @@ def reply_order(messages: DataFrame, thread_col: str = "conv_id", seq_col: str =
     while True:  # only messages whose root is not known yet take part in a round
         known = ended.withColumn("done", F.lit(True)).union(open_.withColumn("done", F.lit(False)))
         above = known.select("thread", F.col("seq").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), "done")
-        moved = keep(open_.join(above, ["thread", "root"]).select(*place, F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), "done"))
+        moved = store.keep(open_.join(above, ["thread", "root"]).select(*place, F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), "done"))
         ended = ended.union(moved.filter("done").drop("done"))
         open_ = moved.filter("not done").drop("done")
         if open_.isEmpty():
@@ -94,20 +95,19 @@ def as_mail(conversations: DataFrame) -> DataFrame:
     """conversations as mail: each turn quotes the turn before it, and that one's predecessor a level deeper.
 
     Rows that repeat a conv_id and turn are one turn, the one with the smallest text (null only if all are) and its smallest
-    role, before turns are joined: else every copy would quote every copy. Null conv_ids and turns are left out.
+    role. Null conv_ids and turns are left out; a turn whose predecessor is missing or null quotes nothing. A very long turn
+    is quoted whole. Every turn is sent to itself and the two turns after it, where one aggregation picks what is quoted:
+    one shuffle, which splits a long conversation by turn.
     """
-    said = conversations.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn")
-    first = F.min(F.struct(F.col("text").isNull().alias("unsaid"), "text", "role"))
-    turns = keep(said.agg(first.alias("first")).select("conv_id", "turn", "first.role", "first.text"))
-
-    def earlier(back: int) -> DataFrame:
-        return turns.select("conv_id", (F.col("turn") + back).alias("turn"), F.col("role").alias(f"role{back}"), F.col("text").alias(f"text{back}"))
+    said = conversations.filter("conv_id is not null and turn is not null").select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    sent = said.withColumn("back", F.explode(F.array(*[F.lit(i) for i in range(3)]))).withColumn("turn", F.col("turn") + F.col("back"))
+    first = F.struct(F.col("text").isNull().alias("unsaid"), "text", "role")
+    near = sent.groupBy("conv_id", "turn").agg(*[F.min(F.when(F.col("back") == i, first)).alias(f"at{i}") for i in range(3)]).filter("at0 is not null")
 
     def quoted(text: str, mark: str) -> Column:
         return F.concat(F.lit(mark), F.replace(F.col(text), F.lit("\n"), F.lit(f"\n{mark}")))
 
-    last, older = quoted("text1", "> "), quoted("text2", "> > ")
-    intro = F.concat(F.lit("On an earlier turn the "), F.col("role1"), F.lit(" wrote:"))
-    head = F.concat_ws("\n", intro, older, last, F.lit(""), F.col("text"))
-    joined = turns.join(earlier(1), ["conv_id", "turn"], "left").join(earlier(2), ["conv_id", "turn"], "left")
-    return joined.select("conv_id", "turn", F.when(F.col("text1").isNotNull(), head).otherwise(F.col("text")).alias("text"))
+    last, older = quoted("at1.text", "> "), quoted("at2.text", "> > ")
+    intro = F.concat(F.lit("On an earlier turn the "), F.col("at1.role"), F.lit(" wrote:"))
+    head = F.concat_ws("\n", intro, older, last, F.lit(""), F.col("at0.text"))
+    return near.select("conv_id", "turn", F.when(F.col("at1.text").isNotNull(), head).otherwise(F.col("at0.text")).alias("text"))

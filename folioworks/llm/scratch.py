@@ -1,20 +1,26 @@
-"""Reading input tables, and cutting lineage in the folder that the cluster shares."""
+"""Reading input tables, and intermediate tables as Parquet in the folder that the cluster shares."""
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from folioworks.session import ship_package
 
+ROWS_A_SLICE, BYTES_A_SLICE = 500, 16 << 20
+#: Drops a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a Python worker holds few whole texts at once, and give the workers this package."""
+    """Give the workers this package. Settings of the session stay as they are."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,38 +28,106 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS_A_SLICE, size: int = BYTES_A_SLICE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of bounded rows and bytes (one row at least), so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        each = max(1, min(rows, int(size * batch.num_rows / max(batch.nbytes, 1))))
+        if not batch.num_rows:
+            yield batch
+        for first in range(0, batch.num_rows, each):
+            yield batch.slice(first, each)
+
+
+_ROOTS: dict[str, str] = {}
+_OWNED: list[tuple[object, object]] = []  # Hadoop file system and path of folders that are still there
+_NAMED: list[tuple[SparkSession, str]] = []  # tables that a catalog knows
+
+
+def _root(spark: SparkSession) -> str:
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
         if not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    context.setCheckpointDir(folder)
+        if context.applicationId not in _ROOTS:
+            _ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="spark-scratch-")
+        found = _ROOTS[context.applicationId]
+    return found.rstrip("/")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder now, and return the stored rows; Spark's cleaner removes them after use."""
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _path(spark: SparkSession, folder: str) -> tuple[object, object]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files and checkpoints of finished steps now.
+def discard() -> None:
+    """Delete all intermediate tables of this application. Frames that operators returned before can't be read any more."""
+    while _NAMED:
+        spark, name = _NAMED.pop()
+        with suppress(Exception):  # the driver's JVM may have ended
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    while _OWNED:
+        files, path = _OWNED.pop()
+        with suppress(Exception):
+            files.delete(path, True)
 
-    It acts when the driver collects garbage, which a driver with little to do may not do before a chain of large
-    shuffles has filled the disks. Call it when no variable holds the frames of the steps any more.
+
+atexit.register(discard)
+
+
+class Scratch:
+    """The intermediate tables of one operator, in a folder of their own.
+
+    Each is written at once, which cuts lineage: a lost executor costs the step that runs, not those before. Tables are
+    deleted as soon as a step says that no later one reads them; what the operator's result still reads goes with
+    discard(), which also runs when the application ends.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.paths = spark, f"{_root(spark)}/folioworks-{uuid.uuid4().hex}", {}
+        _OWNED.append(_path(spark, self.folder))
+
+    @contextmanager
+    def _tidy(self) -> Iterator[None]:
+        before = self.spark.conf.get(_TIDY, None)
+        self.spark.conf.set(_TIDY, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(_TIDY)
+            else:
+                self.spark.conf.set(_TIDY, before)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write df now, and return the stored rows."""
+        folder = f"{self.folder}/{len(self.paths)}"
+        with self._tidy():
+            df.write.option("compression", "zstd").parquet(folder)
+        stored = self.spark.read.schema(df.schema).parquet(folder)
+        self.paths[id(stored)] = (folder, stored)
+        return stored
+
+    def keep_dealt(self, df: DataFrame, column: str, parts: int) -> DataFrame:
+        """Write df dealt into parts by a hash of column, so that later steps on that column find its rows together without a shuffle."""
+        folder, name = f"{self.folder}/{len(self.paths)}", f"folioworks_{uuid.uuid4().hex}"
+        with self._tidy():
+            df.write.format("parquet").option("compression", "zstd").option("path", folder).bucketBy(parts, column).saveAsTable(name)
+        _NAMED.append((self.spark, name))
+        stored = self.spark.table(name)
+        self.paths[id(stored)] = (folder, stored)
+        return stored
+
+    def drop(self, *stored: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for df in stored:
+            files, path = _path(self.spark, self.paths[id(df)][0])
+            files.delete(path, True)
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, for the tables that stages hand on."""
-    _checkpoint_folder(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stages-{uuid.uuid4().hex}"
+    """A new folder for the tables that pipeline stages hand on; it goes with discard()."""
+    return Scratch(spark).folder
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

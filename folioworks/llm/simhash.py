@@ -3,14 +3,18 @@
 A fingerprint is cut into 16 segments of 4 bits; the number of set bits in each gives a point in a grid. Two
 fingerprints that differ in d bits have points at a Manhattan distance of d at most, so points further apart than two
 need no comparison. Points within two of each other share a grid cell at distance one from both: each point is put in
-its own cell and those one step away (33 at most), cells are matched by an equi-join, and candidates are compared bit
-by bit. A cell with more than two fingerprints is not expanded into pairs: its members are matched on the values one
-bit away from each, which two fingerprints share exactly if they differ in two bits or fewer, and linked through them.
+its own cell and those one step away (31 on average), cells are matched by an equi-join, and the two fingerprints of a
+cell are compared bit by bit. A cell with more fingerprints is not expanded into pairs: its members go to a finer grid
+of 32 segments of 2 bits, and those of its crowded cells to one of 64 segments of one bit. There a cell is a value one
+bit away from its members, which two fingerprints share exactly if they differ in two bits or fewer, so members are
+linked through it. Random fingerprints fill about 2**32 cells of the first grid and 2**48 of the second, so cells are
+crowded by true neighbours alone up to about 10**8 and 10**12 different fingerprints.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -20,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, spread_join
-from .scratch import fresh, keep
+from .scratch import Scratch, fresh, sliced
 
 SEED = 42
 SHINGLE = 3
-SEGMENTS = 16
-_WIDTH = 64 // SEGMENTS
+WIDTHS = (4, 2, 1)  # bits a segment of the grids, coarse to fine
+ROWS_A_TASK = 20_000
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -46,7 +50,7 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         values = np.array([simhash(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
@@ -56,42 +60,58 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _cells(fp: Column) -> Column:
-    """The grid cell of a fingerprint, and the cells one step away; each packed into a long, three bits a segment."""
-    counts = [F.bit_count(F.shiftrightunsigned(fp, _WIDTH * i).bitwiseAND(F.lit((1 << _WIDTH) - 1))).cast("long") for i in range(SEGMENTS)]
-    own = sum((F.shiftleft(c, 3 * i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
-    up = [F.when(c < _WIDTH, own + F.lit(1 << 3 * i)) for i, c in enumerate(counts)]
-    down = [F.when(c > 0, own - F.lit(1 << 3 * i)) for i, c in enumerate(counts)]
-    return F.explode(F.array_compact(F.array(own, *up, *down)))
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """distinct: fp long, once each. Pairs a, b that connect what lies within two bits; a or b may be a value between two fingerprints."""
-    spread = distinct.repartition("fp")  # each row gives 33
-    members = spread.select("fp", _cells(F.col("fp")).alias("cell"))
-    cells = keep(members.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
-    pairs = cells.filter("n = 2").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b").distinct()
-    crowd = members.join(cells.filter("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct()
-    bits = [F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)]
-    between = keep(crowd.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(b) for b in bits])).alias("mid")))
-    shared = between.groupBy("mid").agg(F.count("*").alias("n")).filter("n > 1").select("mid")
-    return pairs.union(between.join(shared, "mid").filter("fp <> mid").select("fp", "mid"))
+def _cells(fp: Column, width: int) -> Column:
+    """The grid cell of a fingerprint, and the cells one step away; each packed into a long. With one bit a segment a cell is a fingerprint."""
+    room = width if width < 4 else 3  # bits that a count up to width needs
+    counts = [F.bit_count(F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for i in range(64 // width)]
+    step = [F.lit(1 << room * i if room * i < 63 else -(1 << 63)).cast("long") for i in range(len(counts))]
+    own = reduce(Column.bitwiseOR, [F.shiftleft(c, room * i) for i, c in enumerate(counts)])
+    up = [F.when(c < width, own.bitwiseXOR((F.shiftleft(c, room * i)).bitwiseXOR(F.shiftleft(c + 1, room * i)))) for i, c in enumerate(counts)]
+    down = [F.when(c > 0, own.bitwiseXOR((F.shiftleft(c, room * i)).bitwiseXOR(F.shiftleft(c - 1, room * i)))) for i, c in enumerate(counts)]
+    if width == 1:
+        return F.array(fp, *[fp.bitwiseXOR(x) for x in step])
+    return F.array_compact(F.array(own, *up, *down))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows (stored) in a number of tasks that follows their number: each gives up to 65, which their size does not tell."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_A_TASK))
+    return rows.repartition(parts, "fp")
+
+
+def links(distinct: DataFrame, store: Scratch) -> DataFrame:
+    """distinct: fp long, once each, stored. Pairs a, b that connect what lies within two bits; a or b may be a value between two fingerprints."""
+    found = None
+    for width in WIDTHS:
+        members = _spread(distinct).select("fp", F.explode(_cells(F.col("fp"), width)).alias("cell"))
+        cells = store.keep(members.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
+        if width > 1:
+            pairs = cells.filter("n = 2").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b").distinct()
+            distinct = store.keep(members.join(cells.filter("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct())
+        else:
+            pairs = members.join(cells.select("cell"), "cell").filter("fp <> cell").select(F.col("fp").alias("a"), F.col("cell").alias("b"))
+        found = pairs if found is None else found.union(pairs)
+    return found
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its component).
 
     Fingerprints at two or fewer differing bits are linked. Texts without words have fingerprint zero and are linked
-    like any other. A null identifier is ignored in the minimum. Extra columns are not read; an empty table gives no rows.
+    like any other; a very long text has all its shingles counted. A null identifier is ignored in the minimum. Repeated
+    rows are in one component; a bit that is set in exactly half of the shingles is 0. Extra columns are not read; an
+    empty table gives no rows.
     """
-    rows = keep(fingerprints(docs, id_col, text_col))
-    nodes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    label = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    linked = keep(nodes.join(label, "fp"))
+    store = Scratch(docs.sparkSession)
+    rows = store.keep(fingerprints(docs, id_col, text_col))
+    nodes = store.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    label = components(links(nodes.select("fp"), store), store).withColumnRenamed("node", "fp")
+    linked = store.keep(nodes.join(label, "fp"))
     smallest = linked.groupBy("label").agg(F.min("first_id").alias("least_id"))
     found = spread_join(linked, smallest, "label", "fp").select("fp", "least_id")
-    of = keep(nodes.join(found, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = store.keep(nodes.join(found, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
+    joined = spread_join(rows, of, "fp", "doc_id")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -104,9 +104,9 @@ class WordIds:
 
     def _clear(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.short = np.zeros((1024, SHORT), np.uint16)  # the ids of words with few, for quick reading
+        self.short = np.zeros((1024, SHORT), np.uint32)  # the ids of words with few, for quick reading
         self.start, self.count = np.zeros(1024, np.int64), np.zeros((1 + len(self.others), 1024), np.int32)
-        self.ids, self.used = np.zeros(4096, np.uint16), 0
+        self.ids, self.used = np.zeros(4096, np.uint32), 0
         self.uses = np.zeros(1024, np.int32)  # calls that had the word
         if self.folds:
             self._store([b""], np.zeros(0, np.int64), np.zeros(1, np.int64))

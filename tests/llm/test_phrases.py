@@ -39,10 +39,32 @@ def test_odd_rows(docs_of, odd_rows):
     check(docs_of, odd_rows)
 
 
-def test_many_shards(docs_of, monkeypatch):
-    monkeypatch.setattr(phrases, "DOCS_A_SHARD", 5)
+def test_many_shards_and_small_automata(docs_of, monkeypatch):
+    monkeypatch.setattr(phrases, "BYTES_A_SHARD", 3_000)
+    monkeypatch.setattr(phrases, "WORDS_AN_AUTOMATON", 90)
     check(docs_of, rows_with_passages())
 
 
+def test_the_automata_find_the_places(docs_of, monkeypatch):
+    """Without their matches no word goes: no step before hands places on."""
+    monkeypatch.setattr(phrases.Automaton, "mark", lambda self, words, under: None)
+    run = phrases._kept_rows(1000)
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(60))
+    texts = pa.table({"shard": [0], "row": [5], "doc_id": [1], "text": [f"a b {text} c"]})
+    passages = pa.table({"shard": [0], "body": [text]})
+    assert run(texts, passages).column("n_removed").to_pylist() == [0]
+    monkeypatch.undo()
+    assert run(texts, passages).column("n_removed").to_pylist() == [60]
+    assert set(passages.column_names) == {"shard", "body"}
+
+
+def test_hash_repeats_spread(docs_of):
+    """A third of all rows the same, identifier included."""
+    words = " ".join(f"w{i}" for i in range(80))
+    check(docs_of, [(1, words)] * 40 + [(i, f"x{i} " * 50) for i in range(2, 80)])
+
+
 def test_empty_table(docs_of):
     assert phrases.drop_repeats(docs_of([])).count() == 0

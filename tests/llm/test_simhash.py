@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from folioworks.llm import simhash
+from folioworks.llm.scratch import Scratch
 from folioworks.llm.components import components
 
 
@@ -70,7 +71,8 @@ def test_crowded_cells(spark):
     centre = pick.getrandbits(64)
     fps = {centre ^ (1 << pick.randrange(64)) ^ (1 << pick.randrange(64)) ^ (1 << pick.randrange(64)) for _ in range(300)} | {pick.getrandbits(64) for _ in range(50)}
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    label = {r["node"]: r["label"] for r in components(simhash.links(spark.createDataFrame(signed, "fp long"))).collect()}
+    store = Scratch(spark)
+    label = {r["node"]: r["label"] for r in components(simhash.links(store.keep(spark.createDataFrame(signed, "fp long")), store), store).collect()}
     want = plain_components({f: [i] for i, f in enumerate(sorted(fps))})
     groups, seen = {}, {}
     for f in fps:
@@ -82,7 +84,7 @@ def test_crowded_cells(spark):
 
 def test_components_of_a_chain(spark):
     links = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(100, 101)], "a long, b long"))
-    assert {(r["node"], r["label"]) for r in components(links).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+    assert {(r["node"], r["label"]) for r in components(links, Scratch(spark)).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
 
 
 def test_stage_keeps_one(docs_of):
