@@ -5,7 +5,10 @@ the training sample, it stands in many different surroundings and practically on
 surroundings, so that copies of one text count once). A two-state chain over the tokens of a line is then fitted to
 these token labels by maximum likelihood, with features of the word, its beginnings and its ending, so unseen forms of
 an offending stem are tagged too. Scoring runs the forward-backward recursions over every line of every whole text;
-the marginals give the spans, and their sum per document goes through a logistic curve to the document's score. A chain is a line, cut after every 128 words where it is longer.
+the marginals give the spans, and their sum per document goes through a logistic curve to the document's score. A chain
+is a whole line. Long lines are worked on in blocks of 128 words side by side: the product of a block's transition matrices
+turns the message that enters it into the one that leaves it, forward and backward, so the marginals are those of the
+uncut line.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_texts
+from .scratch import sliced
 
 BUCKETS = 1 << 18
 TOXIC_DOCS, CLEAN_DOCS = 800, 2400
 FLOOR = 0.2
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CHAIN = 128
+BLOCK = 128
 _EDGE = b".,;:!?\"'()[]{}<>*_~`-"
 
 
@@ -42,44 +47,101 @@ def _features(word: bytes) -> list[bytes]:
 
 
 def _chains(text: bytes) -> list[list[bytes]]:
-    lines = [line.split() for line in text.split(b"\n")]
-    return [line[i : i + CHAIN] for line in lines for i in range(0, len(line), CHAIN)]
+    return [words for words in (line.split() for line in text.split(b"\n")) if words]
 
 
 def _buckets(word: bytes) -> list[int]:
     return [zlib.crc32(f) % BUCKETS for f in _features(word)]
 
 
-class Chains:
-    """Lines as chains over one flat token array, longest first, so that each step works on a shrinking block."""
+class _Side:
+    """Equal-sized work on many stretches of a flat token array, longest first, so that each step works on a shrinking block."""
 
-    def __init__(self, lengths: np.ndarray) -> None:
-        starts = np.cumsum(lengths) - lengths
-        order = np.argsort(-lengths, kind="stable")
-        self.starts, self.lengths = starts[order], lengths[order]
+    def __init__(self, starts: np.ndarray, lengths: np.ndarray) -> None:
+        self.order = np.argsort(-lengths, kind="stable")
+        self.starts, self.lengths = starts[self.order], lengths[self.order]
         longest = int(self.lengths[0]) if len(lengths) else 0
         self.active = np.searchsorted(-self.lengths, -np.arange(longest), side="left")
 
+    def steps(self) -> Iterator[tuple[int, np.ndarray]]:
+        """The number of stretches that have a t-th token, and these tokens."""
+        for t, n in enumerate(self.active):
+            yield n, self.starts[:n] + t
+
+
+class Chains:
+    """Lines as chains over one flat token array, cut into blocks that hand their messages on."""
+
+    def __init__(self, lengths: np.ndarray, block: int = BLOCK) -> None:
+        self.heads = np.cumsum(lengths) - lengths
+        blocks = -(-lengths // block)
+        owner = np.repeat(np.arange(len(lengths)), blocks)
+        self.first = np.cumsum(blocks) - blocks  # the first block of each chain
+        self.nth = np.arange(len(owner)) - self.first[owner]
+        starts = self.heads[owner] + self.nth * block
+        sizes = np.minimum(block, lengths[owner] - self.nth * block)
+        self.more = self.nth + 1 < blocks[owner]  # blocks with one behind
+        self.starts, self.sizes, self.blocks = starts, sizes, blocks
+        self.all = _Side(starts, sizes)
+
+    def _products(self, which: np.ndarray, emission: np.ndarray, trans: np.ndarray, forward: bool) -> np.ndarray:
+        """Logarithms of the matrices that turn the odds on one side of a block into those on the other."""
+        into, out, stay = np.exp(trans)
+        side = _Side(self.starts[which], self.sizes[which])
+        a, b, c, d = np.ones(len(which)), np.zeros(len(which)), np.zeros(len(which)), np.ones(len(which))
+        steps = list(side.steps())
+        for t, (n, at) in enumerate(steps) if forward else zip(reversed(range(len(steps))), reversed(steps), strict=True):
+            p, q = np.exp(np.minimum(emission[at], 0.0)), np.exp(-np.maximum(emission[at], 0.0))
+            if forward:
+                head = (self.nth[which[side.order[:n]]] == 0) & (t == 0)  # nothing goes before a chain's first token
+                left, right, low, high = np.where(head, 0.0, stay * p), np.where(head, p, into * p), np.where(head, 0.0, out * q), q
+            else:
+                left, right, low, high = stay * p, out * q, into * p, q
+            moved = left * a[:n] + right * c[:n], left * b[:n] + right * d[:n], low * a[:n] + high * c[:n], low * b[:n] + high * d[:n]
+            scale = np.maximum(np.maximum(moved[0], moved[1]), np.maximum(moved[2], moved[3]))
+            a[:n], b[:n], c[:n], d[:n] = (x / scale for x in moved)
+        back = np.empty(len(which), np.int64)
+        back[side.order] = np.arange(len(which))
+        with np.errstate(divide="ignore"):
+            return np.log(np.stack([a, b, c, d], axis=1)[back])
+
+    def _messages(self, emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds that enter each block forward (of the token before it) and backward (of its last token's future)."""
+        enter, leave = np.zeros(len(self.starts)), np.zeros(len(self.starts))
+        where = np.zeros(len(self.starts), np.int64)
+        left, right = np.flatnonzero(self.more), np.flatnonzero(self.nth > 0)
+        if not len(left):
+            return enter, leave
+        apply = lambda m, x: np.logaddexp(m[:, 0] + x, m[:, 1]) - np.logaddexp(m[:, 2] + x, m[:, 3])
+        where[left] = np.arange(len(left))
+        ahead = self._products(left, emission, trans, True)
+        long = np.flatnonzero(self.blocks > 1)
+        for k in range(1, int(self.blocks.max())):
+            at = self.first[long[self.blocks[long] > k]] + k
+            enter[at] = apply(ahead[where[at - 1]], enter[at - 1])
+        where[right] = np.arange(len(right))
+        behind = self._products(right, emission, trans, False)
+        for k in range(int(self.blocks.max()) - 1, 0, -1):
+            at = self.first[long[self.blocks[long] > k]] + k
+            leave[at - 1] = apply(behind[where[at]], leave[at])
+        return enter, leave
+
     def marginals(self, emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward log-odds of the offending state at each token; trans holds the weights of 0-1, 1-0 and 1-1."""
         into, out, stay = trans
         ahead, back = np.zeros_like(emission), np.zeros_like(emission)
+        enter, leave = self._messages(emission, trans)
+        order, started = self.all.order, self.nth[self.all.order] == 0
         odds = np.zeros(0)
-        for t, n in enumerate(self.active):
-            at = self.starts[:n] + t
-            here = emission[at]
-            if t:
-                prev = odds[:n]
-                here = here + np.logaddexp(into, stay + prev) - np.logaddexp(0.0, out + prev)
-            odds = here
-            ahead[at] = here
-        later = np.zeros(len(self.starts))
-        for t in range(len(self.active) - 1, 0, -1):
-            n = self.active[t]
-            at = self.starts[:n] + t
+        for t, (n, at) in enumerate(self.all.steps()):
+            prev = odds[:n] if t else enter[order[:n]]
+            here = emission[at] + np.logaddexp(into, stay + prev) - np.logaddexp(0.0, out + prev)
+            odds = here if t else np.where(started[:n], emission[at], here)
+            ahead[at] = odds
+        back[self.starts + self.sizes - 1] = leave
+        for n, at in reversed(list(self.all.steps())[1:]):
             nxt = emission[at] + back[at]
-            later[:n] = np.logaddexp(out, stay + nxt) - np.logaddexp(0.0, into + nxt)
-            back[at - 1] = later[:n]
+            back[at - 1] = np.logaddexp(out, stay + nxt) - np.logaddexp(0.0, into + nxt)
         return ahead, back
 
 
@@ -96,19 +158,23 @@ class SpanModel:
     level: float
     seen: dict[bytes, float] = field(default_factory=dict)
 
-    def emission(self, word: bytes) -> float:
-        value = self.seen.get(word)
-        if value is None:
+    def emissions(self, words: list[bytes]) -> np.ndarray:
+        """Log-odds of each word by itself; those of words that a worker has met are remembered, up to a bound."""
+        values = np.fromiter(map(self.seen.get, words, repeat(np.nan)), float, len(words))
+        missed = np.flatnonzero(np.isnan(values)).tolist()
+        if missed:
             if len(self.seen) > 500_000:
                 self.seen.clear()
-            value = self.seen[word] = self.bias + float(self.weights[_buckets(word)].sum())
-        return value
+            new = {words[i] for i in missed} - self.seen.keys()
+            self.seen.update((w, self.bias + float(self.weights[_buckets(w)].sum())) for w in new)
+            values[missed] = [self.seen[words[i]] for i in missed]
+        return values
 
     def token_marginals(self, texts: list[bytes]) -> list[np.ndarray]:
         """For each text the probability that each of its words offends."""
         lines = [_chains(t) for t in texts]
         flat = [w for doc in lines for line in doc for w in line]
-        emission = np.fromiter(map(self.emission, flat), float, len(flat))
+        emission = self.emissions(flat)
         counts = [[len(x) for x in doc] for doc in lines]
         chains = Chains(np.array([n for doc in counts for n in doc], np.int64))
         ahead, back = chains.marginals(emission, self.trans)
@@ -168,7 +234,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[floa
 
 
 def train(texts: list[tuple[str, int]], support: int = 10, precision: float = 0.95, rounds: int = 30, penalty: float = 2e-4, clean_lines: int = 6_000) -> SpanModel:
-    """texts: whole texts with label 1 (toxic) or 0. Without both labels the model gives every text the same score."""
+    """texts: whole texts with label 1 (toxic) or 0. Without both labels the model gives every text the same score.
+
+    Runs on the driver over the bounded sample: all lines with a marked word, and of the others clean_lines at most (in
+    order of a hash of their words), which bounds the clean lines that the chain is fitted to; scores use all lines.
+    """
     labels = np.array([y for _, y in texts], float)
     model = SpanModel(np.zeros(BUCKETS), -8.0, np.zeros(3), 0.0, -8.0 if not labels.sum() else 8.0 if labels.mean() == 1 else 0.0)
     if labels.sum() in (0, len(labels)):
@@ -200,7 +270,7 @@ def train(texts: list[tuple[str, int]], support: int = 10, precision: float = 0.
     owner, bucket = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets]), np.array([b for x in buckets for b in x])
     chains = Chains(np.array([len(line) for line, _ in rows], np.int64))
     first = np.zeros(len(kind), bool)
-    first[chains.starts] = True
+    first[chains.heads] = True
     second = np.flatnonzero(~first)
     size = len(kind)
     held = {"w": np.zeros(BUCKETS), "b": np.array(-4.0), "t": np.zeros(3)}
@@ -230,7 +300,7 @@ def train(texts: list[tuple[str, int]], support: int = 10, precision: float = 0.
 def _scored(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             scores, spans = [], []
             for text, p in zip(texts, model.token_marginals(texts), strict=True):
@@ -247,8 +317,9 @@ def _scored(shared, least: float):
 def toxicity(docs: DataFrame, model: SpanModel, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, score, spans (code point offsets of the words whose marginal reaches least).
 
-    A null text counts as empty; an empty text has no spans and the score of a text without offence. Repeated rows are
-    scored each, extra columns are not read, and an empty table gives no rows.
+    A null text counts as empty; an empty text has no spans and the score of a text without offence. A very long text, or
+    line, is scored whole. A word whose marginal is exactly least is in a span. Repeated rows are scored each, extra columns
+    are not read, null identifiers stay, and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -266,14 +337,19 @@ def verdicts(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
-    """The rows of docs whose score stays under threshold, with all their columns, in one pass without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
-    at = docs.columns.index("text")
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs whose score stays under threshold, with all their columns, in one pass without a shuffle.
+
+    A score equal to threshold goes. Null and empty texts have the score of a text without offence and stay; very long texts
+    are scored whole; repeated rows stay or go together; an empty table stays empty.
+    """
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(plain, labels, **how))
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array([model.score(p) < threshold for p in model.token_marginals(texts)], pa.bool_()))
 

@@ -105,6 +105,61 @@ def test_marginals_against_all_paths():
         at += n
 
 
+def plain_marginals(emission, trans):
+    """Forward-backward over one line, token by token, with normalised probabilities."""
+    into, out, stay = trans
+    step = np.exp(np.array([[0.0, into], [out, stay]]))
+    own = np.stack([np.ones(len(emission)), np.exp(emission)], axis=1)
+    ahead, back = np.zeros_like(own), np.ones_like(own)
+    for t in range(len(emission)):
+        ahead[t] = own[t] * (ahead[t - 1] @ step if t else 1.0)
+        ahead[t] /= ahead[t].sum()
+    for t in range(len(emission) - 2, -1, -1):
+        back[t] = step @ (own[t + 1] * back[t + 1])
+        back[t] /= back[t].sum()
+    both = ahead * back
+    return both[:, 1] / both.sum(axis=1)
+
+
+@pytest.mark.parametrize("block", [1, 3, 128])
+def test_blocks_equal_the_uncut_line(block):
+    rng = np.random.default_rng(block)
+    trans = np.array([-2.0, -0.5, 1.5])
+    lengths = np.array([1, 700, block, 2 * block, 2 * block + 1, 5, 300])
+    emission = rng.normal(-3, 3, lengths.sum())
+    emission[: len(emission) : 50] = 80
+    ahead, back = toxicity.Chains(lengths, block).marginals(emission, trans)
+    got, at = toxicity._sigmoid(ahead + back), 0
+    for n in lengths:
+        assert np.allclose(got[at : at + n], plain_marginals(emission[at : at + n], trans), atol=1e-9)
+        at += n
+
+
+def test_an_offending_pair_at_every_place():
+    """Two words that only together offend, at and around the edges of blocks: the same marginals wherever they stand."""
+    trans = np.array([-1.5, -0.5, 2.0])
+    for at in (126, 127, 128, 255, 256):
+        emission = np.full(400, -6.0)
+        emission[at : at + 2] = 0.4
+        ahead, back = toxicity.Chains(np.array([400])).marginals(emission, trans)
+        got = toxicity._sigmoid(ahead + back)
+        assert np.allclose(got, plain_marginals(emission, trans), atol=1e-9) and (got[at : at + 2] > 0.4).all()
+
+
+def test_toxicity_stage_on_odd_rows(spark, docs_of, odd_rows):
+    bad = [(100 + i, t) for i, (t, y) in enumerate(toxic_texts()) if y]
+    texts = toxic_texts()
+    labels = spark.createDataFrame([(1000 + i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    train = [(1000 + i, t) for i, (t, _) in enumerate(texts)]
+    docs = docs_of([*odd_rows, *train, *bad, *bad], extra=True)
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert sorted(i or -1 for i in ids if i is None or i < 100) == sorted(i or -1 for i, _ in odd_rows)
+    assert sum(i is not None and 100 <= i < 1000 for i in ids) <= 2
+    assert toxicity.drop_toxic(docs_of([], extra=True), labels).count() == 0
+
+
 def toxic_texts():
     pick = random.Random(9)
     words = [f"wort{i}" for i in range(500)]
