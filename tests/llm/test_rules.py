@@ -213,7 +213,7 @@ def test_licences(spark, docs_of, odd_rows):
     assert licences.classify(model, b"Licensed under the Frobnicate Public License, Version 2.0.")[1].keys() <= {"unknown"}
     assert licences.licence_scan(docs_of(odd_rows, extra=True), model).count() == len(odd_rows)
     assert licences.licence_scan(docs_of([]), model).count() == 0
-    assert licences.fit(docs_of([])).classes[0] == licences.OTHER
+    assert licences.fit(docs_of([])).classes[-1] == licences.OUTSIDE
 
 
 def licence_model(spark):
@@ -246,7 +246,7 @@ def test_every_licence_of_a_line(spark):
 def test_no_notice_in_prose_is_dropped(spark):
     model = licence_model(spark)
     texts = table(spark, "/root/testdata/sf0.01", "documents").filter("text is not null").orderBy("doc_id").limit(200).collect()
-    prose = [w for r in texts for line in r["text"].split("\n") if len(line.split()) > licences.STRETCH for w in line.split()]
+    prose = [w for r in texts for line in r["text"].split("\n") if len(line.split()) > 40 for w in line.split()]
     pick, confirmed, told = random.Random(3), 0, 0
     for family, notices in licences.TEMPLATES.items():
         for notice in notices:
@@ -256,7 +256,48 @@ def test_no_notice_in_prose_is_dropped(spark):
                 got = licences.classify(model, text.encode())[1]
                 assert got and got.keys() <= {family, "unknown"}, (family, notice, got)
                 confirmed, told = confirmed + (family in got), told + 1
-    assert confirmed >= 0.85 * told
+    assert confirmed >= 0.9 * told
+
+
+# Headers as they stand in public files.
+HEADERS = {
+    "gpl-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "gpl-2.0": " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "agpl": "it under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "apache-2.0": "// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "cc-by-sa": "Text is available under the Creative Commons Attribution-ShareAlike License 4.0; additional terms may apply.",
+}
+
+
+def test_wrapped_headers_and_two_in_a_paragraph(spark):
+    model = licence_model(spark)
+    for family, text in HEADERS.items():
+        assert licences.classify(model, text.encode()) == (1, {family: 1}), family
+    both = licences.classify(model, f"{HEADERS['mit']}\n{HEADERS['apache-2.0']}\n\n \n{HEADERS['isc']}".encode())
+    assert both == (2, {"mit": 1, "apache-2.0": 1, "isc": 1})
+    for text in ("Licensed under the Frobnicate Public License, Version 2.0.", "This work is licensed under the Marble Public License."):
+        assert licences.classify(model, text.encode())[1] == {"unknown": 1}
+
+
+def test_licence_scores_against_a_plain_sum(spark):
+    """Probabilities of random stretches, word by word and pair by pair."""
+    model, pick = licence_model(spark), random.Random(11)
+    words = sorted(model.words)
+    for _ in range(40):
+        lengths = [pick.randrange(1, 30) for _ in range(4)]
+        flat = np.array([model.words[pick.choice(words)] if pick.random() < 0.8 else 0 for _ in range(sum(lengths))])
+        starts = np.cumsum(lengths) - lengths
+        got = model.probabilities(model.features(flat, starts, np.array(lengths)), 4)
+        for row, a, n in zip(got, starts, lengths, strict=True):
+            part = flat[a : a + n].tolist()
+            total = model.bias + sum(model.word_weights[i] for i in {*part} - {0})
+            total = total + sum(model.pair_weights[i] for i in {int(model.pairs[x, y]) for x, y in zip(part, part[1:])} - {0})
+            assert np.allclose(row, 1 / (1 + np.exp(-(model.slope * total + model.level))))
 
 
 def test_repeated_ids_take_one_place_in_a_sample(spark, docs_of, monkeypatch):
