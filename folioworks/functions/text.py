@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of any script at both ends; plain trim takes ASCII spaces only.
-_EDGES = r"(?U)^\s+|\s+\z"
+#: White space of any script, and the four separators among the control characters, at both ends; plain trim takes ASCII spaces only.
+_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# Fixed value: what an e-mail address looks like.
+EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}\z"
+_PLACEHOLDER = r"\{\{(.*?)\}\}"
 RIGHT_TO_LEFT = ("ar",)
 
 
@@ -41,20 +44,25 @@ def initial(name: Column) -> Column:
 
 
 def normal_email(email: Column) -> Column:
-    return F.lower(F.trim(email))
+    return F.lower(full_strip(email))
 
 
 def is_email(email: Column) -> Column:
-    return email.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}\z")
+    return email.rlike(EMAIL)
 
 
 def comma_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), full_strip), lambda x: x != "")
 
 
 def fill_placeholders(template: Column, values: Column) -> Column:
-    """Replace {{name}} by the value of name, for a map of strings; unknown names stay."""
-    return F.aggregate(F.map_entries(values), template, lambda acc, e: F.replace(acc, F.concat(F.lit("{{"), e["key"], F.lit("}}")), e["value"]))
+    """Replace {{name}} by the value of name, for a map of strings, in one pass: values are not filled again.
+
+    Names without a value, or with a null one, stay as they are.
+    """
+    names = F.regexp_extract_all(template, F.lit(_PLACEHOLDER), 1)
+    found = F.transform(names, lambda n: F.coalesce(F.try_element_at(values, full_strip(n)), F.concat(F.lit("{{"), n, F.lit("}}"))))
+    return F.array_join(F.zip_with(F.split(template, _PLACEHOLDER, -1), found, lambda text, value: F.concat(text, F.coalesce(value, F.lit("")))), "")
 
 
 def plural_key(key: Column, count: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from folioworks.functions.text import normal_email
 
 # Rules of a strong text and the names of its bands.
-TEXT_RULES = (r".{8,}", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]")
+TEXT_RULES = (r"(?s).{8,}", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]")
 BANDS = ((25, "Weak"), (50, "Fair"), (75, "Good"), (100, "Strong"))
 
 
@@ -28,7 +28,7 @@ def public_user(users: DataFrame) -> DataFrame:
 
 def login_eligible(attempts: DataFrame, users: DataFrame) -> DataFrame:
     """Adds reason: no_user, no_password, or check where a password is there to be checked."""
-    known = users.select("email", F.lit(True).alias("known"), F.col("hashed_password").isNotNull().alias("has_password"))
+    known = users.groupBy("email").agg(F.lit(True).alias("known"), F.bool_or(F.col("hashed_password").isNotNull()).alias("has_password"))
     reason = F.when(F.col("known").isNull(), "no_user").when(~F.col("has_password"), "no_password").otherwise("check")
     return attempts.join(known, "email", "left").withColumn("reason", reason).drop("known", "has_password")
 
@@ -73,7 +73,7 @@ def update_profile(users: DataFrame, changes: DataFrame) -> DataFrame:
 
 def verify_emails(users: DataFrame, checked: DataFrame) -> DataFrame:
     """checked: event_id, email, outcome of its grant. Result: expired, none, not_found, already or verified."""
-    known = users.select("email", F.col("email_verified").alias("was"))
+    known = users.groupBy("email").agg(F.bool_or(F.coalesce("email_verified", F.lit(False))).alias("was"))
     result = F.when(F.col("outcome") != "valid", F.col("outcome")).when(F.col("was").isNull(), "not_found").when(F.col("was"), "already").otherwise("verified")
     return checked.join(known, "email", "left").withColumn("result", result).drop("was")
 

@@ -51,6 +51,13 @@ def current_files(uploads: DataFrame) -> DataFrame:
     return uploads.groupBy(*KEY).agg(F.max_by("size", order).alias("size"), F.max("ts").alias("last_modified"), F.count("*").alias("versions"))
 
 
+def live_files(uploads: DataFrame, deletes: DataFrame) -> DataFrame:
+    """Files that are there after all uploads and deletes: the latest version of those uploaded after their last deletion."""
+    last = deletes.groupBy(*KEY).agg(F.max(F.struct("ts", "seq")).alias("gone_at"))
+    left = uploads.join(last, list(KEY), "left").filter(F.col("gone_at").isNull() | (F.struct("ts", "seq") > F.col("gone_at")))
+    return current_files(left.drop("gone_at"))
+
+
 def ingest_uploads(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Current files, and the pending rows that the uploads add to the status log."""
     accepted = upload_admission(uploads).filter("reason is null")
@@ -94,15 +101,18 @@ def orphan_outputs(files: DataFrame, outputs: DataFrame, latest: DataFrame) -> D
     return lost.unionByName(bare)
 
 
-def delete_documents(files: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What stays of files (results and sidecars included), and code 200 or 404 for each deleted name."""
+def delete_documents(files: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What stays of files (results and sidecars included), code 200 or 404 for each deleted name, and the rows of deletes
+    that found their file with status pending: the state that a file without a status row is in, for the log.
+    """
     wanted = deletes.select(*KEY).distinct()
     name = F.col("filename")
     derived = F.array(name, F.concat(output_stem(name), F.lit(".docx")), F.concat(name, F.lit(".status")), F.concat(name, F.lit(".settings.json")))
     found = wanted.join(files.select(*KEY).distinct(), list(KEY), "left_semi")
     gone = found.select("user_id", F.explode(derived).alias("filename")).distinct()
     code = files_exist(wanted, files).select(*KEY, F.when(F.col("present"), 200).otherwise(404).alias("code"))
-    return files.join(gone, list(KEY), "left_anti"), code
+    reset = deletes.join(found, list(KEY), "left_semi").withColumn("status", F.lit("pending"))
+    return files.join(gone, list(KEY), "left_anti"), code, reset
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:

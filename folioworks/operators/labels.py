@@ -28,11 +28,11 @@ def flatten_labels(nested: DataFrame, lang: str) -> DataFrame:
 def resolve_labels(wanted: DataFrame, labels: DataFrame, fallback: str = FALLBACK) -> DataFrame:
     """wanted: lang, key, ... Adds value: of the language, else of the fallback language, else the key itself.
 
-    labels is the table of interface texts, bounded by what the interface shows, so it is broadcast.
+    Of several texts of one language and key the smallest counts, so rows of wanted never multiply.
     """
-    own = labels.select("lang", "key", F.col("value").alias("own"))
-    base = labels.filter(F.col("lang") == fallback).select("key", F.col("value").alias("base"))
-    joined = wanted.join(F.broadcast(own), ["lang", "key"], "left").join(F.broadcast(base), "key", "left")
+    own = labels.groupBy("lang", "key").agg(F.min("value").alias("own"))
+    base = own.filter(F.col("lang") == fallback).select("key", F.col("own").alias("base"))
+    joined = wanted.join(own, ["lang", "key"], "left").join(base, "key", "left")
     return joined.withColumn("value", F.coalesce("own", "base", "key")).drop("own", "base")
 
 

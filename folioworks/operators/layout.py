@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +19,17 @@ def number_pages(items: DataFrame, group: str, order: str) -> DataFrame:
     return items.withColumn("page", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("int"))
 
 
-def split_lines(pages: DataFrame) -> DataFrame:
-    """doc_id, page, line_no (from 1), kind (text or blank), text; an empty page is one blank line, trailing blanks stay."""
-    lines = pages.select("doc_id", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "raw"))
+def split_lines(pages: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """keys, page, line_no (from 1), kind (text or blank), text; an empty page is one blank line, trailing blanks stay."""
+    lines = pages.select(*keys, "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "raw"))
     text = full_strip(F.col("raw"))
-    return lines.select("doc_id", "page", (F.col("at") + 1).cast("int").alias("line_no"), F.when(text == "", "blank").otherwise("text").alias("kind"), text.alias("text"))
+    return lines.select(*keys, "page", (F.col("at") + 1).cast("int").alias("line_no"), F.when(text == "", "blank").otherwise("text").alias("kind"), text.alias("text"))
 
 
-def page_separators(pages: DataFrame) -> DataFrame:
+def page_separators(pages: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """A separator before each page after the first."""
     text = F.format_string("-- Page %d --", F.col("page"))
-    return pages.filter("page > 1").select("doc_id", "page", F.lit(0).alias("line_no"), F.lit("separator").alias("kind"), text.alias("text"))
+    return pages.filter("page > 1").select(*keys, "page", F.lit(0).alias("line_no"), F.lit("separator").alias("kind"), text.alias("text"))
 
 
 def paragraph_style(paragraphs: DataFrame) -> DataFrame:
@@ -39,10 +41,15 @@ def paragraph_style(paragraphs: DataFrame) -> DataFrame:
     return paragraphs
 
 
-def build_layout(pages: DataFrame) -> DataFrame:
-    """doc_id, seq, page, line_no, kind, text in the order of the document."""
-    order = Window.partitionBy("doc_id").orderBy("page", "line_no")
-    return split_lines(pages).unionByName(page_separators(pages)).withColumn("seq", F.row_number().over(order).cast("long"))
+def section_style(pages: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row a document: its section runs from right to left, whatever its paragraphs do."""
+    return pages.groupBy(*keys).agg(F.count_distinct("page").alias("pages")).select(*keys, "pages", F.lit("section").alias("kind"), F.lit(True).alias("rtl"))
+
+
+def build_layout(pages: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """keys, seq, page, line_no, kind, text in the order of the document."""
+    order = Window.partitionBy(*keys).orderBy("page", "line_no")
+    return split_lines(pages, keys).unionByName(page_separators(pages, keys)).withColumn("seq", F.row_number().over(order).cast("long"))
 
 
 def assemble_text(pages: DataFrame) -> DataFrame:

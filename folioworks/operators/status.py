@@ -53,11 +53,12 @@ def processing_elapsed(log: DataFrame, as_of: Column) -> DataFrame:
 
 
 def stale_jobs(log: DataFrame, as_of: Column, limit_s: int = TIME_LIMIT_S) -> DataFrame:
-    """Starts of processing that no other status followed within limit_s, up to as_of."""
+    """Starts of processing that no other status followed within limit_s, up to as_of; ran_s is in whole seconds, the limit is exact."""
     order = Window.partitionBy(*KEY).orderBy("ts", "seq")
     ended = F.least(F.coalesce(F.lead("ts").over(order), as_of), as_of)
-    ran = F.floor(ended.cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double")).cast("long")
-    return log.withColumn("ran_s", ran).filter(f"status = 'processing' and ran_s > {limit_s}").select(*KEY, "seq", "ran_s")
+    ran = F.unix_micros(ended.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    late = log.withColumn("ran", ran).filter(f"status = 'processing' and ran > {limit_s * 1_000_000}")
+    return late.select(*KEY, "seq", F.floor(F.col("ran") / 1_000_000).cast("long").alias("ran_s"))
 
 
 def write_status(changes: DataFrame, path: str) -> None:

@@ -11,7 +11,8 @@ from folioworks import views as v
 from folioworks.functions import text as fn
 from folioworks.operators import access, accounts, catalog, convert, labels, layout, metrics, status, tasks
 from folioworks.plans import streams
-from folioworks.session import ship_package
+from folioworks.session import shared_folder, ship_package
+from folioworks.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -38,6 +39,13 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.current_files(v.uploads(spark, sf_dir))
 
 
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are there at the end of the event log."""
+    return catalog.live_files(v.uploads(spark, sf_dir), v.deletes(spark, sf_dir))
+
+
+_LIVE = """files AS (SELECT user_id, filename, arg_max(size, (ts, seq)) AS size, max(ts) AS last_modified, count(*) AS versions FROM uploads u
+WHERE NOT EXISTS (SELECT 1 FROM file_events d WHERE d.kind = 'delete' AND d.user_id = u.user_id AND d.filename = u.filename AND (d.ts > u.ts OR d.ts = u.ts AND d.event_id > u.seq)) GROUP BY ALL)"""
 _FILES = "files AS (SELECT user_id, filename, arg_max(size, (ts, seq)) AS size, max(ts) AS last_modified, count(*) AS versions FROM uploads GROUP BY ALL)"
 
 
@@ -109,9 +117,9 @@ def ingest_uploads(spark, sf_dir):
     return catalog.ingest_uploads(v.uploads(spark, sf_dir))[0]
 
 
-@_query(f", {_FILES} SELECT f.*, coalesce(l.status, 'pending') AS status FROM files f LEFT JOIN latest l USING (user_id, filename)", ("uploads", "latest"))
+@_query(f", {_LIVE} SELECT f.*, coalesce(l.status, 'pending') AS status FROM files f LEFT JOIN latest l USING (user_id, filename)", ("uploads", "latest", "file_events"))
 def list_documents(spark, sf_dir):
-    return catalog.list_documents(_files(spark, sf_dir), status.latest_status(v.status_log(spark, sf_dir)))
+    return catalog.list_documents(_live(spark, sf_dir), status.latest_status(v.status_log(spark, sf_dir)))
 
 
 @_query(", keys AS (SELECT DISTINCT user_id, filename FROM file_events) SELECT k.*, coalesce(l.status, 'pending') AS status FROM keys k LEFT JOIN latest l USING (user_id, filename)", ("file_events", "latest"))
@@ -126,26 +134,25 @@ def files_exist(spark, sf_dir):
     return catalog.files_exist(asked, v.uploads(spark, sf_dir)).select("event_id", "present")
 
 
-@_query("SELECT f.user_id, f.filename, f.status FROM files_docs f WHERE f.size % 2 = 0 AND f.status IN ('pending', 'failed')", ("files_docs",))
+@_query("SELECT f.user_id, f.filename, f.status FROM files_docs f WHERE f.size >= 1000 AND f.status IN ('pending', 'failed')", ("files_docs",))
 def convertible(spark, sf_dir):
     files = v.files_docs(spark, sf_dir)
-    return catalog.convertible(files, files.filter("size % 2 = 0")).select("user_id", "filename", "status")
+    return catalog.convertible(files, files.filter("size >= 1000")).select("user_id", "filename", "status")
 
 
-@_query(f", {_FILES} SELECT f.user_id, f.filename, o.filename AS output FROM files f LEFT JOIN outputs o ON o.user_id = f.user_id "
-        "AND regexp_replace(o.filename, '\\.[^.]*$', '') = regexp_replace(f.filename, '\\.[^.]*$', '')", ("uploads", "outputs"))
+@_query(f", {_LIVE} SELECT f.user_id, f.filename, o.filename AS output FROM files f LEFT JOIN outputs o ON o.user_id = f.user_id "
+        "AND regexp_replace(o.filename, '\\.[^.]*$', '') = regexp_replace(f.filename, '\\.[^.]*$', '')", ("uploads", "outputs", "file_events"))
 def match_outputs(spark, sf_dir):
-    return catalog.match_outputs(_files(spark, sf_dir), v.outputs(spark, sf_dir)).select("user_id", "filename", "output")
+    return catalog.match_outputs(_live(spark, sf_dir), v.outputs(spark, sf_dir)).select("user_id", "filename", "output")
 
 
-@_query(f""", {_FILES}, ins AS (SELECT DISTINCT user_id, regexp_replace(filename, '\\.[^.]*$', '') AS stem FROM files),
-outs AS (SELECT *, regexp_replace(filename, '\\.[^.]*$', '') AS stem FROM outputs WHERE user_id NOT LIKE '%3')
+@_query(f""", {_LIVE}, ins AS (SELECT DISTINCT user_id, regexp_replace(filename, '\\.[^.]*$', '') AS stem FROM files),
+outs AS (SELECT *, regexp_replace(filename, '\\.[^.]*$', '') AS stem FROM outputs)
 SELECT user_id, filename, 'no_input' AS reason FROM outs o WHERE NOT EXISTS (SELECT 1 FROM ins i WHERE i.user_id = o.user_id AND i.stem = o.stem)
 UNION ALL SELECT f.user_id, f.filename, 'no_output' FROM files f JOIN latest l ON l.user_id = f.user_id AND l.filename = f.filename AND l.status = 'done'
-WHERE NOT EXISTS (SELECT 1 FROM outs o WHERE o.user_id = f.user_id AND o.stem = regexp_replace(f.filename, '\\.[^.]*$', ''))""", ("uploads", "outputs", "latest"))
+WHERE NOT EXISTS (SELECT 1 FROM outs o WHERE o.user_id = f.user_id AND o.stem = regexp_replace(f.filename, '\\.[^.]*$', ''))""", ("uploads", "outputs", "latest", "file_events"))
 def orphan_outputs(spark, sf_dir):
-    kept = v.outputs(spark, sf_dir).filter("user_id not like '%3'")
-    return catalog.orphan_outputs(_files(spark, sf_dir), kept, status.latest_status(v.status_log(spark, sf_dir)))
+    return catalog.orphan_outputs(_live(spark, sf_dir), v.outputs(spark, sf_dir), status.latest_status(v.status_log(spark, sf_dir)))
 
 
 @_query(f""", {_FILES}, stored AS (SELECT user_id, filename FROM files UNION ALL SELECT user_id, filename FROM outputs),
@@ -164,6 +171,22 @@ def delete_codes(spark, sf_dir):
     return catalog.delete_documents(_files(spark, sf_dir), v.file_events(spark, sf_dir).filter("kind = 'delete'"))[1].select("user_id", "filename", "code")
 
 
+@_query(f""", {_FILES} SELECT d.user_id, d.filename, d.event_id AS seq, d.ts, 'pending' AS status FROM file_events d
+WHERE d.kind = 'delete' AND EXISTS (SELECT 1 FROM files f WHERE f.user_id = d.user_id AND f.filename = d.filename)""", ("uploads", "file_events"))
+def delete_status(spark, sf_dir):
+    return catalog.delete_documents(_files(spark, sf_dir), v.deletes(spark, sf_dir))[2]
+
+
+@_query("SELECT user_id, filename, 'pending' AS status, ts, seq FROM uploads WHERE content_type = 'application/pdf' AND size <= 52428800", ("uploads",))
+def ingest_status(spark, sf_dir):
+    return catalog.ingest_uploads(v.uploads(spark, sf_dir))[1]
+
+
+@_query("SELECT user_id, filename, seq, CASE WHEN content_type NOT IN ('application/pdf', 'application/octet-stream') THEN 'onlyPdf' WHEN size > 52428800 THEN 'tooLarge' END AS reason FROM uploads", ("uploads",))
+def worker_admission(spark, sf_dir):
+    return catalog.upload_admission(v.uploads(spark, sf_dir), catalog.WORKER_TYPES).select("user_id", "filename", "seq", "reason")
+
+
 _SNAP = "SELECT user_id, filename, arg_max(status, (ts, seq)) AS status FROM status_log WHERE ts < TIMESTAMP '{}' GROUP BY ALL"
 
 
@@ -204,16 +227,19 @@ def processing_elapsed(spark, sf_dir):
     return status.processing_elapsed(v.status_log(spark, sf_dir), _at(AS_OF))
 
 
-@_query("""SELECT user_id, filename, seq, ran_s FROM (SELECT *, floor(epoch_us(least(coalesce(lead(ts) OVER (PARTITION BY user_id, filename ORDER BY ts, seq),
-TIMESTAMP '2024-02-01'), TIMESTAMP '2024-02-01')) / 1e6 - epoch_us(ts) / 1e6)::BIGINT AS ran_s FROM status_log) WHERE status = 'processing' AND ran_s > 600""", ("status_log",))
+_STALE = """(SELECT *, epoch_us(least(coalesce(lead(ts) OVER (PARTITION BY user_id, filename ORDER BY ts, seq), TIMESTAMP '2024-02-01'), TIMESTAMP '2024-02-01')) - epoch_us(ts) AS ran
+FROM status_log) WHERE status = 'processing' AND ran > 600000000"""
+
+
+@_query(f"SELECT user_id, filename, seq, ran // 1000000 AS ran_s FROM {_STALE}", ("status_log",))
 def stale_jobs(spark, sf_dir):
     return status.stale_jobs(v.status_log(spark, sf_dir), _at("2024-02-01 00:00:00"))
 
 
-@_query(f""", {_FILES}, last_options AS (SELECT user_id, filename, arg_max(options_json, (ts, seq)) AS options_json FROM options_log GROUP BY ALL)
-SELECT o.*, CASE WHEN f.filename IS NULL THEN 404 ELSE 200 END AS code FROM last_options o LEFT JOIN files f USING (user_id, filename)""", ("uploads", "options_log"))
+@_query(f""", {_LIVE}, last_options AS (SELECT user_id, filename, arg_max(options_json, (ts, seq)) AS options_json FROM options_log GROUP BY ALL)
+SELECT o.*, CASE WHEN f.filename IS NULL THEN 404 ELSE 200 END AS code FROM last_options o LEFT JOIN files f USING (user_id, filename)""", ("uploads", "options_log", "file_events"))
 def save_options(spark, sf_dir):
-    return status.save_options(v.options_log(spark, sf_dir), _files(spark, sf_dir))
+    return status.save_options(v.options_log(spark, sf_dir), _live(spark, sf_dir))
 
 
 # Tasks
@@ -281,9 +307,9 @@ def run_conversion(spark, sf_dir):
     return convert.run_conversion(v.doc_pages(spark, sf_dir))[0].select("doc_id", "seq", "page", "kind", "text")
 
 
-@_query("SELECT doc_id, count(*) AS attempts, count(DISTINCT page) AS pages, 0::BIGINT AS characters, round(sum(elapsed_s), 2) AS seconds FROM page_timings GROUP BY doc_id", ("page_timings",))
+@_query("SELECT doc_id, count(*) AS attempts, count(DISTINCT page) AS pages, coalesce(sum(length(text)), 0)::BIGINT AS characters, round(sum(elapsed_s), 2) AS seconds FROM page_results GROUP BY doc_id", ("page_results",))
 def job_summary(spark, sf_dir):
-    return convert.job_summary(v.page_timings(spark, sf_dir).withColumn("text", F.lit(None).cast("string")))
+    return convert.job_summary(v.page_results(spark, sf_dir))
 
 
 @_query("SELECT doc_id, count(*) AS attempts, count(DISTINCT page) AS pages, CASE WHEN bool_and(ok) THEN 'done' ELSE 'failed' END AS status, "
@@ -301,6 +327,47 @@ def page_quota(spark, sf_dir):
     return convert.page_quota(orders.join(pages, orders["seq"] == pages["l_orderkey"]), quota=5).select("seq", "used", "over")
 
 
+@_query("""SELECT o_orderkey AS seq, CASE WHEN c_mktsegment = 'BUILDING' THEN false ELSE coalesce(n, 0) > 5 END AS over_cap
+FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def page_caps(spark, sf_dir):
+    pages = v.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("pages"))
+    plan = F.when(F.col("c_mktsegment") == "BUILDING", "pro").when(F.col("c_mktsegment") == "MACHINERY", "trial").otherwise("free")
+    users = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), plan.alias("plan"))
+    files = v.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(users, "o_custkey").join(pages, "o_orderkey", "left")
+    return convert.page_caps(files).select(F.col("o_orderkey").alias("seq"), "over_cap")
+
+
+@_query("SELECT doc_id, count(DISTINCT page) AS pages, 'section' AS kind, true AS rtl FROM doc_pages GROUP BY doc_id", ("doc_pages",))
+def section_style(spark, sf_dir):
+    return layout.section_style(v.doc_pages(spark, sf_dir))
+
+
+@_query("SELECT doc_id::VARCHAR AS filename, source AS user_id, generate_subscripts(parts, 1)::INT AS page, unnest(parts) AS text FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)")
+def pdf_to_pages(spark, sf_dir):
+    """Documents as files of bytes, a line a page: the splitter is a parameter."""
+    ship_package(spark)
+    files = v.table(spark, sf_dir, "documents").select(F.col("source").alias("user_id"), F.col("doc_id").cast("string").alias("filename"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return convert.pdf_to_pages(files, lambda: lambda content: content.decode().split("\n")).drop("error")
+
+
+@_query(f", {_LAYOUT} SELECT doc_id, seq, text FROM laid", ("doc_pages",))
+def write_paragraphs(spark, sf_dir):
+    """Result documents written by buckets of users, and read back."""
+    path = shared_folder(spark, "paragraphs")
+    files.write_paragraphs(layout.build_layout(v.doc_pages(spark, sf_dir)).withColumn("user_id", F.col("doc_id").cast("string")), path)
+    return spark.read.parquet(path).select("doc_id", "seq", "text")
+
+
+@_query("SELECT 'source=' || source AS user_id, doc_id::VARCHAR AS doc, strlen(text) + 1 AS size FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
+def scan_files(spark, sf_dir):
+    """Documents stored as text files, a folder a user, and listed."""
+    path = shared_folder(spark, "store")
+    docs = v.table(spark, sf_dir, "documents").filter("text is not null and source is not null").select("source", "doc_id", "text")
+    docs.write.partitionBy("source", "doc_id").text(path)
+    listed = files.scan_files(spark, path).filter(F.endswith("filename", F.lit(".txt")))
+    return listed.select("user_id", F.regexp_extract("filename", "doc_id=([^/]*)/", 1).alias("doc"), "size")
+
+
 # Metrics
 
 
@@ -338,7 +405,10 @@ def http_metrics(spark, sf_dir):
 
 @_query("SELECT * FROM users", ("users",))
 def users_table(spark, sf_dir):
-    return v.users(spark, sf_dir)
+    """The users relation as stored Parquet."""
+    path = shared_folder(spark, "users")
+    v.users(spark, sf_dir).select(F.col("id").cast("int").alias("id"), "email", "hashed_password", "name", "email_verified").write.parquet(path)
+    return tables.users_table(spark, path)
 
 
 @_query("SELECT id, email, name, coalesce(email_verified, false) AS email_verified FROM users", ("users",))
@@ -358,7 +428,7 @@ def login_eligible(spark, sf_dir):
     return accounts.login_eligible(v.user_changes(spark, sf_dir), v.users(spark, sf_dir)).select("seq", "reason")
 
 
-_OLD = "old_users AS (SELECT * FROM users WHERE id % 3 <> 0)"
+_OLD = "old_users AS (SELECT * FROM users WHERE email_verified)"
 _NEW = "first_of AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY ts, seq) AS nth FROM user_changes {}) WHERE nth = 1)"
 
 
@@ -366,14 +436,14 @@ _NEW = "first_of AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY em
 SELECT id::BIGINT AS id, email, name, email_verified FROM old_users UNION ALL
 SELECT (SELECT max(id) FROM old_users) + row_number() OVER (ORDER BY substr(md5(email), 1, 3), email), email, name, true FROM fresh""", ("users", "user_changes"))
 def find_or_create_users(spark, sf_dir):
-    old = v.users(spark, sf_dir).filter("id % 3 <> 0")
+    old = v.users(spark, sf_dir).filter("email_verified")
     return accounts.find_or_create_users(old, v.user_changes(spark, sf_dir).filter("op = 'oauth'")).select("id", "email", "name", "email_verified")
 
 
 @_query(f""", {_OLD} SELECT seq, CASE WHEN u.email IS NOT NULL OR row_number() OVER (PARTITION BY c.email ORDER BY ts, seq) > 1 THEN 400 ELSE 201 END AS code
 FROM user_changes c LEFT JOIN old_users u ON u.email = c.email WHERE op = 'register'""", ("users", "user_changes"))
 def register_users(spark, sf_dir):
-    old = v.users(spark, sf_dir).filter("id % 3 <> 0")
+    old = v.users(spark, sf_dir).filter("email_verified")
     return accounts.register_users(old, v.user_changes(spark, sf_dir).filter("op = 'register'")).select("seq", "code")
 
 
@@ -383,8 +453,8 @@ def update_profile(spark, sf_dir):
     return accounts.update_profile(v.users(spark, sf_dir), v.user_changes(spark, sf_dir)).select("id", "email", "name")
 
 
-_OUTCOMES = """outcomes AS (SELECT u.event_id, u.subject, CASE WHEN max(g.expires_at) IS NULL THEN 'none' WHEN u.ts < max(g.expires_at) THEN 'valid' ELSE 'expired' END AS outcome
-FROM uses u LEFT JOIN grants g ON g.subject = u.subject AND g.issued_at <= u.ts GROUP BY u.event_id, u.subject, u.ts)"""
+_OUTCOMES = """outcomes AS (SELECT u.event_id, u.subject, CASE WHEN bool_or(g.scope = u.scope AND u.ts < g.expires_at) THEN 'valid' WHEN bool_or(g.scope = u.scope) THEN 'expired'
+WHEN count(g.subject) > 0 THEN 'wrong_scope' ELSE 'none' END AS outcome FROM uses u LEFT JOIN grants g ON g.subject = u.subject AND g.issued_at <= u.ts GROUP BY u.event_id, u.subject)"""
 
 
 @_query(f", {_OUTCOMES} SELECT event_id, outcome FROM outcomes", ("uses", "grants"))
@@ -421,15 +491,17 @@ def identity_audit(spark, sf_dir):
 
 
 @_query(r"""SELECT CASE WHEN k <= 1 THEN 'Weak' WHEN k = 2 THEN 'Fair' WHEN k = 3 THEN 'Good' ELSE 'Strong' END AS band, count(*) AS n, count(*) FILTER (k = 4) AS n_all_rules
-FROM (SELECT regexp_matches(text, '.{8,}')::INT + regexp_matches(text, '[A-Z]')::INT + regexp_matches(text, '[0-9]')::INT + regexp_matches(text, '[^A-Za-z0-9]')::INT AS k FROM documents) GROUP BY 1""")
+FROM (SELECT (length(text) >= 8)::INT + regexp_matches(text, '[A-Z]')::INT + regexp_matches(text, '[0-9]')::INT + regexp_matches(text, '[^A-Za-z0-9]')::INT AS k FROM documents) GROUP BY 1""")
 def rule_score(spark, sf_dir):
     return accounts.rule_score(v.table(spark, sf_dir, "documents"), "text")
 
 
-@_query("SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 5 THEN 200 ELSE 429 END AS code FROM events")
+@_query("""SELECT event_id, CASE WHEN event_type = 'click' AND row_number() OVER (PARTITION BY event_type, user_id, date_trunc('day', ts) ORDER BY ts, event_id) > 1
+OR event_type = 'signup' AND row_number() OVER (PARTITION BY event_type, user_id, epoch_us(ts) // 7200000000 ORDER BY ts, event_id) > 2 THEN 429 ELSE 200 END AS code FROM events""")
 def rate_limit(spark, sf_dir):
-    rules = spark.createDataFrame([("login", 5, 86400)], "endpoint string, max_requests int, window_s long")
-    return access.rate_limit(v.requests(spark, sf_dir).withColumn("endpoint", F.lit("login")), rules).select("event_id", "code")
+    """Two endpoints with a rule; the others have none and pass."""
+    rules = spark.createDataFrame([("click", 1, 86400), ("signup", 2, 7200)], "endpoint string, max_requests int, window_s long")
+    return access.rate_limit(v.requests(spark, sf_dir), rules).select("event_id", "code")
 
 
 # Labels and functions
@@ -469,13 +541,13 @@ def expr_files(spark, sf_dir):
 
 
 @_query("""SELECT id, string_split(name, ' ')[1] AS first_name, coalesce(nullif(upper(substr(name, 1, 1)), ''), 'U') AS initial, lower(trim(email)) AS normal,
-regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]{2,}$') AS is_email, 2::INT AS n_parts, 'ltr' AS direction, trim(name) AS stripped FROM users""", ("users",))
+regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]{2,}$') AS is_email, 2::INT AS n_parts, CASE WHEN name LIKE '%1' THEN 'rtl' ELSE 'ltr' END AS direction, trim(name) AS stripped FROM users""", ("users",))
 def expr_users_labels(spark, sf_dir):
     name, email = F.col("name"), F.col("email")
     padded = F.concat(F.lit("  "), name, F.lit("\t "))
     return v.users(spark, sf_dir).select(
         "id", fn.first_name(name).alias("first_name"), fn.initial(name).alias("initial"), fn.normal_email(email).alias("normal"), fn.is_email(email).alias("is_email"),
-        F.size(fn.comma_list(F.concat(name, F.lit(", ,"), email))).alias("n_parts"), fn.text_direction(F.lit("en")).alias("direction"), fn.full_strip(padded).alias("stripped"),
+        F.size(fn.comma_list(F.concat(name, F.lit(", ,"), email))).alias("n_parts"), fn.text_direction(F.when(name.endswith("1"), "ar").otherwise("en")).alias("direction"), fn.full_strip(padded).alias("stripped"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioworks import views as v
 from folioworks.operators import tasks
 from folioworks.session import shared_folder, ship_package
+from folioworks.sources import queue
 from folioworks.streaming import jobs
 
 STREAM_SQL: dict[str, str] = {
@@ -21,9 +22,25 @@ STREAM_SQL: dict[str, str] = {
     "stream_rate_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, user_id::VARCHAR AS key, count(*) AS n FROM events GROUP BY ALL",
     "stream_histogram": v.with_views("page_timings") + "SELECT le, count(*) FILTER (elapsed_s <= le) AS bucket_count, count(*) AS total_count, "
     "round(sum(elapsed_s), 2) AS total_sum FROM page_timings, unnest([0.5, 1, 2, 3, 5, 10, 20, 40, 'infinity'::DOUBLE]) AS u(le) GROUP BY le",
-    "stream_grant_join": v.with_views("uses", "grants") + "SELECT u.event_id, g.subject, g.issued_at FROM uses u JOIN grants g ON g.subject = u.subject AND g.issued_at <= u.ts AND u.ts < g.expires_at",
+    "stream_grant_join": v.with_views("uses", "grants") + "SELECT u.event_id, g.subject, g.scope, g.issued_at FROM uses u JOIN grants g ON g.subject = u.subject AND g.scope = u.scope AND g.issued_at <= u.ts AND u.ts < g.expires_at",
     "stream_transitions": v.with_views("status_log") + "SELECT user_id, filename, seq, status FROM (SELECT *, lag(status) OVER (PARTITION BY user_id, filename ORDER BY ts, seq) AS previous "
     "FROM status_log) WHERE previous = 'processing' AND status IN ('done', 'failed')",
+    "stream_timeouts": v.with_views("status_log") + "SELECT user_id, filename, seq FROM (SELECT *, epoch_us(coalesce(lead(ts) OVER (PARTITION BY user_id, filename ORDER BY ts, seq), "
+    "(SELECT max(ts) - INTERVAL 1 MINUTE FROM status_log))) - epoch_us(ts) AS ran FROM status_log) WHERE status = 'processing' AND ran > 600000000",
+    "stream_histogram_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, le, count(*) FILTER (value <= le) AS bucket_count, count(*) AS total_count, round(sum(value), 2) AS total_sum "
+    "FROM events, unnest([0.5, 1, 2, 3, 5, 10, 20, 40, 'infinity'::DOUBLE]) AS u(le) WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL",
+    "dedup_uploads": v.with_views("uploads") + "SELECT user_id, filename, seq, size FROM uploads",
+    "task_queue": v.with_views("tasks") + "SELECT file_id, user_id, coalesce(mode, 'ocr') AS mode FROM tasks WHERE NOT damaged AND coalesce(file_id, '') <> '' AND coalesce(user_id, '') <> '' "
+    "AND coalesce(mode, 'ocr') IN ('ocr', 'layout')",
+    "stream_conversion": v.with_views("doc_pages") + r"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS seq, page,
+        CASE WHEN line_no = 0 THEN 'separator' WHEN text = '' THEN 'blank' ELSE 'text' END AS kind, text
+        FROM (SELECT doc_id, page, line_no, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, page, unnest(ls) AS raw, generate_subscripts(ls, 1) AS line_no
+              FROM (SELECT doc_id, page, string_split(coalesce(text, ''), chr(10)) AS ls FROM doc_pages))
+              UNION ALL SELECT doc_id, page, '-- Page ' || page || ' --', 0 FROM doc_pages WHERE page > 1) AS x(doc_id, page, line_no, text)""".replace("'-- Page ' || page || ' --', 0 FROM", "0, '-- Page ' || page || ' --' FROM"),
+    "stream_task_conversion": v.with_views("tasks", "uploads", "doc_pages") + """, asked AS (SELECT DISTINCT user_id, file_id AS filename FROM tasks WHERE NOT damaged AND coalesce(file_id, '') <> ''
+        AND coalesce(user_id, '') <> ''), held AS (SELECT DISTINCT user_id, filename FROM uploads), pages AS (SELECT doc_id::VARCHAR AS user_id, count(*) AS n FROM doc_pages GROUP BY 1)
+        SELECT a.user_id, a.filename, CASE WHEN h.user_id IS NULL OR p.n IS NULL THEN 'failed' ELSE 'done' END AS status, CASE WHEN h.user_id IS NULL THEN 0 ELSE coalesce(p.n, 0) END AS pages
+        FROM asked a LEFT JOIN held h ON h.user_id = a.user_id AND h.filename = a.filename LEFT JOIN pages p ON p.user_id = a.user_id""",
 }
 
 
@@ -102,8 +119,10 @@ def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_grant_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = lambda kind: _events(spark, sf_dir).filter(F.col("event_type") == kind).withColumn("subject", F.col("user_id").cast("string"))
-    joined = jobs.stream_grant_join(events("click"), events("signup").withColumn("issued_at", F.col("ts")))
+    scope = F.when(F.get_json_object("props", "$.k").cast("int") < 7, "access").otherwise("password_reset")
+    events = lambda kind: _events(spark, sf_dir).filter(F.col("event_type") == kind).select("event_id", "ts", F.col("user_id").cast("string").alias("subject"), scope.alias("scope"))
+    given = events("signup").withColumn("issued_at", F.col("ts")).withColumn("expires_at", F.col("ts") + F.expr("interval 24 hours"))
+    joined = jobs.stream_grant_join(events("click"), given)
     return _collected(spark, joined, "grants").withColumn("issued_at", F.col("issued_at").cast("timestamp_ntz"))
 
 
@@ -117,9 +136,45 @@ def stream_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "conversion")
     pages = _staged(spark, v.doc_pages(spark, sf_dir), "doc_pages")
     jobs.stream_conversion(pages, path, f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/paragraphs").drop("batch_id")
+    return jobs.converted(spark, path)[0].select("doc_id", "seq", "page", "kind", "text")
+
+
+def stream_task_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of the event log; an uploaded file holds the pages of the conversation that has its user's number."""
+    ship_package(spark)
+    path = shared_folder(spark, "task_conversion")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    bodies = v.doc_pages(spark, sf_dir).groupBy(F.col("doc_id").cast("string").alias("user_id")).agg(F.encode(F.array_join(ordered, "\f"), "UTF-8").alias("content"))
+    files = v.uploads(spark, sf_dir).select("user_id", "filename").distinct().join(bodies, "user_id")
+    jobs.stream_task_conversion(_staged(spark, v.tasks_raw(spark, sf_dir), "tasks_raw"), files, path, f"{path}/checkpoint")
+    return jobs.converted(spark, path, ("user_id", "filename"))[1].select("user_id", "filename", "status", "pages")
+
+
+def stream_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _staged(spark, v.status_log(spark, sf_dir), "status_log")
+    return _collected(spark, jobs.stream_timeouts(log), "timeouts")
+
+
+def stream_histogram_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs.stream_histogram_windows(_events(spark, sf_dir).select("ts", "value"), "value")
+    return _collected(spark, rows, "histogram_windows").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def dedup_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every upload is sent twice."""
+    sent = v.uploads(spark, sf_dir)
+    return _collected(spark, jobs.dedup_uploads(_staged(spark, sent.unionByName(sent), "uploads")), "dedup").select("user_id", "filename", "seq", "size")
+
+
+def task_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid tasks published to the queue, and read from it as a stream."""
+    path = shared_folder(spark, "queue")
+    good, _ = tasks.split_tasks(tasks.validate_tasks(v.tasks_raw(spark, sf_dir), tasks.MODES))
+    queue.publish(good, f"{path}/queue")
+    jobs.stream_tasks(queue.task_stream(spark, f"{path}/queue", 1000), f"{path}/valid", f"{path}/quarantine", f"{path}/checkpoint", tasks.MODES)
+    return spark.read.parquet(f"{path}/valid").select("file_id", "user_id", "mode")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (stream_tasks, stream_status, stream_admission, stream_rate_counts, stream_histogram, stream_grant_join, stream_transitions, stream_conversion)
+    found = (stream_task_conversion, stream_timeouts, stream_histogram_windows, dedup_uploads, task_queue, stream_tasks, stream_status, stream_admission, stream_rate_counts, stream_histogram, stream_grant_join, stream_transitions, stream_conversion)
     return {f.__name__: f for f in found}

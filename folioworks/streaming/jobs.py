@@ -10,11 +10,11 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from folioworks.operators import convert, metrics, status, tasks
+from folioworks.operators import convert, layout, metrics, status, tasks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -101,23 +101,92 @@ def stream_histogram(rows: DataFrame, value: str, buckets: Sequence[float] = met
     return metrics.duration_histogram(rows, value, buckets)
 
 
+def stream_histogram_windows(rows: DataFrame, value: str, window: str = "1 day", late: str = "1 hour", buckets: Sequence[float] = metrics.PAGE_BUCKETS) -> DataFrame:
+    """The histogram of each window of event time, for append mode: a window comes once, when the watermark has passed it."""
+    at = F.col(value)
+    each = [F.count_if(at <= b).alias(f"at{i}") for i, b in enumerate([*buckets, float("inf")])]
+    counted = rows.withWatermark("ts", late).groupBy(F.window("ts", window).alias("slot")).agg(*each, F.count("*").alias("total_count"), F.round(F.sum(at), 2).alias("total_sum"))
+    pairs = F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"at{i}").alias("bucket_count")) for i, b in enumerate([*buckets, float("inf")])])
+    return counted.select(F.col("slot.start").alias("start"), F.explode(pairs).alias("x"), "total_count", "total_sum").select("start", "x.*", "total_count", "total_sum")
+
+
+def _newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each key the rows of the last batch that wrote it."""
+    last = rows.groupBy(*keys).agg(F.max("batch_id").alias("last"))
+    return rows.join(last, list(keys)).filter("batch_id = last").drop("batch_id", "last")
+
+
+def converted(spark: SparkSession, path: str, keys: Sequence[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs and outcomes that a conversion stream has written so far; a document that was written again has its last form."""
+    outcome = spark.read.parquet(f"{path}/outcome")
+    last = outcome.groupBy(*keys).agg(F.max("batch_id").alias("last"))
+    paragraphs = spark.read.parquet(f"{path}/paragraphs").join(last, list(keys)).filter("batch_id = last").drop("batch_id", "last")
+    return paragraphs, _newest(outcome, keys)
+
+
+def _write_documents(results: DataFrame, outcome: DataFrame, path: str, batch_id: int, keys: Sequence[str]) -> None:
+    to_folder(f"{path}/outcome")(outcome, batch_id)
+    done = results.join(outcome.filter("status = 'done'").select(*keys), list(keys), "left_semi")
+    to_folder(f"{path}/paragraphs")(layout.build_layout(done.select(*keys, "page", "text"), keys), batch_id)
+
+
 def stream_conversion(pages: DataFrame, path: str, checkpoint: str, make=lambda: convert.clean_page) -> None:
-    """Pages in, paragraphs and outcomes out. All pages of a document come in one batch; a batch run again replaces its output."""
+    """Pages in, paragraphs and outcomes out. A batch run again replaces its output.
+
+    The pages of a document may come in several batches: each batch writes its documents anew from all their pages so far,
+    and converted() reads the last form of each.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        paragraphs, outcome = convert.run_conversion(batch, make)
-        to_folder(f"{path}/paragraphs")(paragraphs, batch_id)
-        to_folder(f"{path}/outcome")(outcome, batch_id)
+        spark = batch.sparkSession
+        to_folder(f"{path}/results")(convert.convert_pages(batch, make), batch_id)
+        stored = spark.read.parquet(f"{path}/results").filter(F.col("batch_id") <= batch_id)
+        touched = stored.filter(F.col("batch_id") == batch_id).select("doc_id").distinct()
+        results = _newest(stored.join(touched, "doc_id", "left_semi"), ("doc_id", "page"))
+        _write_documents(results, convert.job_outcome(results), path, batch_id, ("doc_id",))
 
     run_available(pages, write, checkpoint)
 
 
-def stream_grant_join(uses: DataFrame, grants: DataFrame, valid_for: str = "24 hours", late: str = "1 hour") -> DataFrame:
-    """Uses under a grant that is not expired, as a stream-stream interval join."""
-    u = uses.select(F.col("event_id"), F.col("subject").alias("use_subject"), F.col("ts").alias("used_at")).withWatermark("used_at", late)
-    g = grants.select("subject", "issued_at").withWatermark("issued_at", late)
-    near = f"use_subject = subject and issued_at <= used_at and used_at < issued_at + interval {valid_for}"
-    return u.join(g, F.expr(near), "inner").select("event_id", "subject", "issued_at")
+def stream_task_conversion(raw: DataFrame, files: DataFrame, path: str, checkpoint: str, splitter=lambda: convert.form_feeds, make=lambda: convert.clean_page, modes: Sequence[str] | None = None) -> None:
+    """Tasks in; paragraphs, outcomes and rows for the status log out. files: user_id, filename, content (bytes).
+
+    A valid task sets its file to processing; the bytes are split into pages, the pages converted, and the file is done if
+    every page was, else failed, as it is where the file is missing, can't be split or has no pages. A file asked for more
+    than once in a batch is converted once. A batch that is run again replaces its output.
+    """
+    key = list(status.KEY)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        good, _ = tasks.split_tasks(tasks.validate_tasks(batch, modes))
+        wanted = good.groupBy(F.col("user_id"), F.col("file_id").alias("filename")).agg(F.min("ts").alias("ts"))
+        to_folder(f"{path}/wanted")(wanted, batch_id)
+        wanted = batch.sparkSession.read.parquet(f"{path}/wanted/batch_id={batch_id}")
+        pages = convert.pdf_to_pages(files.join(wanted, key, "left_semi"), splitter, key)
+        to_folder(f"{path}/pages")(pages, batch_id)
+        pages = batch.sparkSession.read.parquet(f"{path}/pages/batch_id={batch_id}")
+        broken = pages.filter("error is not null").select(*key, "page", "text", F.lit(0.0).alias("elapsed_s"), F.lit(False).alias("ok"), "error")
+        to_folder(f"{path}/results")(convert.convert_pages(pages.filter("error is null"), make, key).unionByName(broken), batch_id)
+        results = batch.sparkSession.read.parquet(f"{path}/results/batch_id={batch_id}")
+        found = convert.job_outcome(results, key)
+        outcome = wanted.drop("ts").join(found, key, "left").withColumn("status", F.coalesce("status", F.lit("failed"))).fillna(0, ["attempts", "pages"])
+        _write_documents(results, outcome, path, batch_id, key)
+        started = wanted.select(*key, F.lit("processing").alias("status"), "ts", F.lit(2 * batch_id).cast("long").alias("seq"))
+        ended = wanted.join(outcome, key).select(*key, "status", "ts", F.lit(2 * batch_id + 1).cast("long").alias("seq"))
+        to_folder(f"{path}/status")(started.unionByName(ended), batch_id)
+
+    run_available(raw, write, checkpoint)
+
+
+def stream_grant_join(uses: DataFrame, grants: DataFrame, longest: str = "24 hours", late: str = "1 hour") -> DataFrame:
+    """Uses under a grant of their subject and scope that is not expired, as a stream-stream interval join.
+
+    longest bounds how long a grant is remembered: one that runs longer counts until then. Null scopes equal each other.
+    """
+    u = uses.select("event_id", F.col("subject").alias("use_subject"), F.col("scope").alias("use_scope"), F.col("ts").alias("used_at")).withWatermark("used_at", late)
+    g = grants.select("subject", "scope", "issued_at", "expires_at").withWatermark("issued_at", late)
+    near = f"use_subject = subject and use_scope <=> scope and issued_at <= used_at and used_at < expires_at and used_at <= issued_at + interval {longest}"
+    return u.join(g, F.expr(near), "inner").select("event_id", "subject", "scope", "issued_at")
 
 
 class _Transitions(StatefulProcessor):
@@ -152,30 +221,30 @@ class _Timeouts(StatefulProcessor):
     """State of a file: since when it is in process. A timer runs out unless another status comes first."""
 
     def __init__(self, limit_s: int) -> None:
-        self.limit_ms = limit_s * 1000
+        self.limit_us = limit_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("since", "seq long, due long")
+        self.state = handle.getValueState("since", "seq long, since_us long, due long")
 
     def _end(self) -> None:
         if self.state.exists():
-            self.handle.deleteTimer(self.state.get()[1])
+            self.handle.deleteTimer(self.state.get()[2])
             self.state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
         out = []
         for ts, seq, now in zip(batch["ts"], batch["seq"], batch["status"], strict=True):
-            at = int(ts.timestamp() * 1000)
-            if self.state.exists() and at > self.state.get()[1]:
+            at = ts.value // 1000
+            if self.state.exists() and at - self.state.get()[1] > self.limit_us:  # exactly the limit is still in time
                 out.append((*key, int(self.state.get()[0])))
             self._end()
             if now == "processing":
-                due = at + self.limit_ms
+                due = (at + self.limit_us) // 1000 + 1
                 if due <= timerValues.getCurrentWatermarkInMs():
                     due = timerValues.getCurrentWatermarkInMs() + 1
-                self.state.update((int(seq), int(due)))
+                self.state.update((int(seq), int(at), int(due)))
                 self.handle.registerTimer(due)
         yield pd.DataFrame(out, columns=["user_id", "filename", "seq"])
 

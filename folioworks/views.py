@@ -79,9 +79,9 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, filename, status, ts, seq: a row for each event that sets a status."""
+    """user_id, filename, status, ts, seq: a row for each event that sets a status; a deleted file is pending, as its status goes with it."""
     admitted = admit(file_events(spark, sf_dir))
-    return admitted.filter("sets is not null and kind <> 'delete'").select("user_id", "filename", F.col("sets").alias("status"), "ts", F.col("event_id").alias("seq"))
+    return admitted.filter("sets is not null").select("user_id", "filename", F.col("sets").alias("status"), "ts", F.col("event_id").alias("seq"))
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,18 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, filename: results of files that are done at some time."""
+    """user_id, filename: results that were written; those of the quickest conversions are lost."""
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
-    return status_log(spark, sf_dir).filter("status = 'done'").select("user_id", F.concat(stem, F.lit(".docx")).alias("filename")).distinct()
+    return file_events(spark, sf_dir).filter("kind = 'done' and value >= 20").select("user_id", F.concat(stem, F.lit(".docx")).alias("filename")).distinct()
+
+
+def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_events(spark, sf_dir).filter("kind = 'delete'").select("user_id", "filename", "ts", F.col("event_id").alias("seq"))
+
+
+def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, text, elapsed_s, ok: attempts with the text of their page, null where a page has none."""
+    return page_timings(spark, sf_dir).join(doc_pages(spark, sf_dir), ["doc_id", "page"], "left")
 
 
 def options_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,16 +133,20 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scope() -> Column:
+    return F.when(F.get_json_object("props", "$.k").cast("int") < 7, "access").otherwise("password_reset")
+
+
 def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """subject, scope, issued_at, expires_at: each signup is valid for a day."""
     day = F.expr("interval 24 hours")
     return table(spark, sf_dir, "events").filter("event_type = 'signup'").select(
-        F.col("user_id").cast("string").alias("subject"), F.lit("access").alias("scope"), F.col("ts").alias("issued_at"), (F.col("ts") + day).alias("expires_at")
+        F.col("user_id").cast("string").alias("subject"), _scope().alias("scope"), F.col("ts").alias("issued_at"), (F.col("ts") + day).alias("expires_at")
     )
 
 
 def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("event_type = 'click'").select("event_id", F.col("user_id").cast("string").alias("subject"), F.lit("access").alias("scope"), "ts")
+    return table(spark, sf_dir, "events").filter("event_type = 'click'").select("event_id", F.col("user_id").cast("string").alias("subject"), _scope().alias("scope"), "ts")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,14 +156,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, ts, op, email, name, hashed_password: account changes for a hundred e-mails, some in upper case."""
-    email = F.concat(F.lit("customer."), F.lpad((F.col("user_id") % 100).cast("string"), 9, "0"), F.lit("@example.com"))
+    """seq, ts, op, email, name, hashed_password: account changes by e-mail, those made by link in upper case."""
+    email = F.concat(F.lit("customer."), F.lpad(F.col("user_id").cast("string"), 9, "0"), F.lit("@example.com"))
     op = _choose(F.col("event_type"), {"signup": "register", "view": "rename", "click": "verify", "purchase": "oauth"})
     return table(spark, sf_dir, "events").withColumn("op", op).filter("op is not null").select(
         F.col("event_id").alias("seq"),
         "ts",
         "op",
-        F.when(F.col("user_id") % 7 == 0, F.upper(email)).otherwise(email).alias("email"),
+        F.when(F.get_json_object("props", "$.k") == "7", F.upper(email)).otherwise(email).alias("email"),
         F.when(F.col("op") == "rename", F.concat(F.lit("name_"), F.col("event_id"))).alias("name"),
         F.when(F.col("op") == "register", F.concat(F.lit("hash_"), F.col("event_id"))).alias("hashed_password"),
     )
@@ -161,6 +174,7 @@ def labels_i18n(spark: SparkSession) -> DataFrame:
 
 
 _PAIRS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in LABELS)
+_SCOPE = "CASE WHEN json_extract(props, '$.k')::INT < 7 THEN 'access' ELSE 'password_reset' END"
 _KEYED = "PARTITION BY user_id, filename ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 #: DuckDB bodies by view; a view may use those above it.
 SQL = {
@@ -183,24 +197,25 @@ SQL = {
     "admitted": f"""SELECT *, coalesce(last_value(would IGNORE NULLS) OVER ({_KEYED}), 'pending') AS status FROM setting""",
     "coded": """SELECT *, CASE WHEN kind <> 'convert' THEN NULL WHEN NOT present THEN 404 WHEN status = 'processing' THEN 409 ELSE 200 END AS code,
         CASE WHEN kind = 'convert' AND (NOT present OR status = 'processing') THEN NULL ELSE would END AS sets FROM admitted""",
-    "status_log": "SELECT user_id, filename, sets AS status, ts, event_id AS seq FROM coded WHERE sets IS NOT NULL AND kind <> 'delete'",
+    "status_log": "SELECT user_id, filename, sets AS status, ts, event_id AS seq FROM coded WHERE sets IS NOT NULL",
     "latest": "SELECT user_id, filename, arg_max(status, (ts, seq)) AS status, max(ts) AS ts FROM status_log GROUP BY ALL",
     "uploads": """SELECT user_id, filename, floor(value * 1024 * 1024)::BIGINT AS size,
         CASE WHEN event_id % 4 = 0 THEN 'text/plain' ELSE 'application/pdf' END AS content_type, ts, event_id AS seq FROM file_events WHERE kind = 'upload'""",
-    "outputs": "SELECT DISTINCT user_id, regexp_replace(filename, '\\.[^.]*$', '') || '.docx' AS filename FROM status_log WHERE status = 'done'",
+    "outputs": "SELECT DISTINCT user_id, regexp_replace(filename, '\\.[^.]*$', '') || '.docx' AS filename FROM file_events WHERE kind = 'done' AND value >= 20",
+    "page_results": "SELECT t.*, p.text FROM page_timings t LEFT JOIN doc_pages p ON p.doc_id = t.doc_id AND p.page = t.page",
     "options_log": "SELECT user_id, filename, props AS options_json, ts, event_id AS seq FROM file_events",
     "tasks": """SELECT event_id, ts, CASE WHEN event_id % 11 <> 0 THEN filename END AS file_id, CASE WHEN event_id % 13 = 0 THEN '' ELSE user_id END AS user_id,
         CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'layout' WHEN event_id % 7 = 0 THEN 'trial' ELSE 'ocr' END AS mode,
         event_id % 17 = 0 AS damaged FROM file_events WHERE kind = 'convert'""",
     "users": """SELECT c_custkey AS id, lower(replace(c_name, '#', '.')) || '@example.com' AS email,
         CASE WHEN c_custkey % 5 <> 0 THEN 'hash_' || c_custkey END AS hashed_password, c_name AS name, c_acctbal >= 0 AS email_verified FROM customer""",
-    "grants": "SELECT user_id::VARCHAR AS subject, ts AS issued_at, ts + INTERVAL 24 HOUR AS expires_at FROM events WHERE event_type = 'signup'",
-    "uses": "SELECT event_id, user_id::VARCHAR AS subject, ts FROM events WHERE event_type = 'click'",
+    "grants": f"SELECT user_id::VARCHAR AS subject, {_SCOPE} AS scope, ts AS issued_at, ts + INTERVAL 24 HOUR AS expires_at FROM events WHERE event_type = 'signup'",
+    "uses": f"SELECT event_id, user_id::VARCHAR AS subject, {_SCOPE} AS scope, ts FROM events WHERE event_type = 'click'",
     "requests": """SELECT event_id, user_id::VARCHAR AS key, event_type AS endpoint, ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS outcome,
         value AS elapsed_s FROM events""",
-    "user_changes": """SELECT event_id AS seq, ts, op, CASE WHEN user_id % 7 = 0 THEN upper(address) ELSE address END AS email,
+    "user_changes": """SELECT event_id AS seq, ts, op, CASE WHEN json_extract(props, '$.k')::INT = 7 THEN upper(address) ELSE address END AS email,
         CASE WHEN op = 'rename' THEN 'name_' || event_id END AS name, CASE WHEN op = 'register' THEN 'hash_' || event_id END AS hashed_password
-        FROM (SELECT *, 'customer.' || lpad((user_id % 100)::VARCHAR, 9, '0') || '@example.com' AS address,
+        FROM (SELECT *, 'customer.' || lpad(user_id::VARCHAR, 9, '0') || '@example.com' AS address,
               CASE event_type WHEN 'signup' THEN 'register' WHEN 'view' THEN 'rename' WHEN 'click' THEN 'verify' WHEN 'purchase' THEN 'oauth' END AS op FROM events)
         WHERE op IS NOT NULL""",
     "labels_i18n": f"SELECT * FROM (VALUES {_PAIRS}) AS v(lang, key, value)",

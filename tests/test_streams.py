@@ -63,6 +63,37 @@ def test_timeouts(spark, tmp_path):
     assert [(r["filename"], r["seq"]) for r in got.collect()] == [("slow", 1)]
 
 
+def test_timeouts_equal_the_batch(spark, tmp_path):
+    """600 s are in time, 600.5 s are not, wherever the batches are cut."""
+    second = dt.timedelta(seconds=1)
+    rows = [("u", "even", "processing", at(0), 1), ("u", "over", "processing", at(0), 2), ("u", "even", "done", at(10), 3), ("u", "over", "done", at(10) + second / 2, 4), ("u", "open", "processing", at(20), 5), ("u", "last", "pending", at(90), 6)]
+    got = collected(spark, jobs.stream_timeouts(staged(spark, tmp_path / "in", [rows[:2], rows[2:4], rows[4:5], rows[5:], [("u", "last", "pending", at(91), 7)]], LOG)), tmp_path)
+    want = status.stale_jobs(spark.createDataFrame(rows, LOG), F.lit(at(90) - dt.timedelta(minutes=1)))
+    assert sorted(r["seq"] for r in got.collect()) == sorted(r["seq"] for r in want.collect()) == [2, 5]
+
+
+def test_a_document_over_two_batches(spark, tmp_path):
+    schema = "doc_id long, page int, text string"
+    stream = staged(spark, tmp_path / "in", [[(1, 1, " a "), (2, 1, "x")], [(1, 2, "b")]], schema)
+    jobs.stream_conversion(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    paragraphs, outcome = jobs.converted(spark, str(tmp_path / "out"))
+    assert sorted((r["doc_id"], r["seq"], r["text"]) for r in paragraphs.collect()) == [(1, 1, "a"), (1, 2, "-- Page 2 --"), (1, 3, "b"), (2, 1, "x")]
+    assert sorted((r["doc_id"], r["pages"], r["status"]) for r in outcome.collect()) == [(1, 2, "done"), (2, 1, "done")]
+
+
+def test_from_task_to_status(spark, tmp_path):
+    files = spark.createDataFrame([("u", "a.pdf", b"one\x0c two "), ("u", "bad.pdf", b"\xff")], "user_id string, filename string, content binary")
+    send = lambda *names: [(f'{{"file_id": "{n}", "user_id": "u"}}', at(0)) for n in names]
+    stream = staged(spark, tmp_path / "in", [[*send("a.pdf", "a.pdf", "none.pdf"), ("{broken", at(0))], send("bad.pdf")], "value string, ts timestamp")
+    jobs.stream_task_conversion(stream, files, str(tmp_path / "out"), str(tmp_path / "check"))
+    paragraphs, outcome = jobs.converted(spark, str(tmp_path / "out"), ("user_id", "filename"))
+    assert [r["text"] for r in paragraphs.orderBy("seq").collect()] == ["one", "-- Page 2 --", "two"]
+    assert {r["filename"]: r["status"] for r in outcome.collect()} == {"a.pdf": "done", "none.pdf": "failed", "bad.pdf": "failed"}
+    log = spark.read.parquet(str(tmp_path / "out/status"))
+    assert {r["filename"]: r["status"] for r in status.latest_status(log).collect()} == {"a.pdf": "done", "none.pdf": "failed", "bad.pdf": "failed"}
+    assert log.filter("status = 'processing'").count() == 3
+
+
 def test_repeated_uploads(spark, tmp_path):
     schema = "user_id string, filename string, ts timestamp, seq long"
     batches = [[("u", "f", at(0), 1)], [("u", "f", at(0), 1), ("u", "f", at(1), 2)]]
