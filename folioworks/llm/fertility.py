@@ -42,21 +42,57 @@ def _knots(lower: float) -> tuple[tuple[float, float], ...]:
     return tuple((x, y - lower) for x, y in ((5, 4.6), (6, 5.25), (7, 5.48), (8, 5.98), (9, 6.2), (10, 6.4), (11, 6.5), (12, 6.6)))
 
 
-# Fixed values, set on labelled texts; the statistics of a text are compared with these alone.
+def _level(entropy: float) -> tuple[tuple[float, float], ...]:
+    """For scripts that are mostly spelt out by characters or bytes: entropy is near its height after a few hundred tokens."""
+    return ((5, entropy - 1.6), (7, entropy - 0.9), (9, entropy - 0.5), (14, entropy - 0.4))
+
+
+MANY = 1e9  # words of scripts without spaces can be whole sentences
+# Bands of languages were set on labelled texts, those of scripts around the statistics of a paragraph of public
+# prose in each (another one is tested); the statistics of a text are compared with these alone.
 BANDS = {
     "en": Band((1.2, 3.25), (1.6, 6.0), 0.05, _knots(0.0)),
     "de": Band((1.2, 3.3), (1.6, 6.0), 0.05, _knots(0.15)),
     "es": Band((1.2, 3.5), (1.5, 6.0), 0.05, _knots(0.1)),
     "fr": Band((1.2, 3.3), (1.5, 6.0), 0.05, _knots(0.1)),
     "latin": Band((1.0, 4.0), (1.3, 6.5), 0.10, _knots(0.5)),
-    "other": Band((1.0, 60.0), (0.2, 6.5), 0.95, ((6, 3.0), (12, 4.0))),
+    "greek": Band((3.0, 9.8), (0.66, 1.5), 0.05, _level(4.5)),
+    "cyrillic": Band((2.5, 9.5), (0.66, 1.6), 0.05, _level(6.3)),
+    "hebrew": Band((3.0, 9.0), (0.62, 1.4), 0.05, _level(4.2)),
+    "arabic": Band((2.5, 8.5), (0.66, 1.6), 0.05, _level(4.5)),
+    "devanagari": Band((4.0, 11.5), (0.45, 1.0), 0.11, _level(4.6)),
+    "kana": Band((1.0, MANY), (0.55, 1.2), 0.20, _level(6.1)),
+    "han": Band((1.0, MANY), (0.42, 0.9), 0.30, _level(6.2)),
+    "hangul": Band((4.0, 14.0), (0.28, 0.8), 0.35, _level(5.5)),
+    "other": Band((1.0, MANY), (0.2, 6.5), 0.95, ((6, 3.0), (12, 4.0))),
 }
+# First and last code points of the letters of each script.
+RANGES = (
+    ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xC0, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF),
+    ("arabic", 0x750, 0x77F), ("devanagari", 0x900, 0x97F), ("hangul", 0x1100, 0x11FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
+)
+_BOUNDS = np.array([x for _, first, last in RANGES for x in (first, last + 1)])
+_SCRIPTS = sorted({name for name, _, _ in RANGES})
+_KIND = np.full(2 * len(RANGES) + 1, -1)
+_KIND[1::2] = [_SCRIPTS.index(name) for name, _, _ in RANGES]
+
+
+def script_of(text: str) -> str:
+    """The script of most letters of the listed ranges; kana from a tenth of them on, as it comes with han; 'other' for none or a minority."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    kinds = _KIND[np.searchsorted(_BOUNDS, points, side="right")]
+    times = np.bincount(kinds[kinds >= 0], minlength=len(_SCRIPTS))
+    outside = int(((kinds < 0) & (points >= 0x250) & ~((points >= 0x2000) & (points < 0x2100)) & ~((points >= 0x3000) & (points < 0x3040))).sum())
+    if not times.sum() or outside > times.sum():
+        return "latin" if not outside else "other"  # digits and marks alone count as latin
+    if 10 * times[_SCRIPTS.index("kana")] >= times.sum():
+        return "kana"
+    return _SCRIPTS[int(times.argmax())]
 
 
 def band_of(lang: str | None, text: str) -> Band:
-    if lang in BANDS and len(lang) == 2:
-        return BANDS[lang]
-    return BANDS["latin" if sum(c < "ɐ" for c in text) * 2 >= len(text) else "other"]
+    """The band of a listed language, else of the script of the text."""
+    return BANDS[lang] if lang in BANDS and len(lang) == 2 else BANDS[script_of(text)]
 
 
 def base_counts(text: bytes, words: list[bytes], ids: np.ndarray = np.zeros(0, np.int64)) -> tuple[int, int, int, int, int]:
@@ -129,7 +165,8 @@ def fertility_rules(docs: DataFrame, ranks: str, pieces: str, id_col: str = "doc
     """One row per row of docs: doc_id, the base counts, base_failed, kept and the four statistics.
 
     A null or empty text has no words and fails the base rules; a null or unknown language gets the band of its script.
-    Repeated rows are judged each. Extra columns are not read; an empty table gives no rows.
+    A very long text is judged whole; statistics that lie exactly on a bound are inside. Repeated rows are judged each; null
+    identifiers stay. Extra columns are not read; an empty table gives no rows.
     """
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")]
     return docs.select(*columns).mapInArrow(_judged(ranks, pieces), _OUT)

@@ -137,8 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, low_docs: int = LOW_DOCS, high_docs:
 def quality(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, score.
 
-    A null text counts as empty; a text without words has the score of all-zero statistics. Repeated rows are scored
-    each, extra columns are not read, and an empty table gives no rows.
+    A null text counts as empty; a text without words has the score of all-zero statistics. A very long text is measured
+    whole; a value equal to a threshold goes left. Repeated rows are scored each, null identifiers stay, extra columns are
+    not read, and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 

@@ -37,7 +37,8 @@ def reply_order(messages: DataFrame, thread_col: str = "conv_id", seq_col: str =
     """One row per message (thread and seq): thread, seq, parent_seq, root_seq, depth, n_quotes, n_linked, clean_text.
 
     Ordering by thread, root_seq, depth, seq reads each conversation in reply order. A message that quotes nothing known
-    is a root. A quoted passage with several sources goes to the earliest; quotes of later messages are not linked.
+    is a root. A quoted passage goes to the earliest message that has all of it; one that no message has whole goes by its
+    lines, each to the earliest message that has it, and of these the latest counts. Quotes of later messages are not linked.
     Rows that repeat a thread and seq are one message, the one with the smallest text. A null text has no lines; a very
     long one has all its lines. Null threads or seqs are left out. Extra columns are not read; an empty table gives no rows.
     """
@@ -57,11 +58,12 @@ def reply_order(messages: DataFrame, thread_col: str = "conv_id", seq_col: str =
     source = units.filter("level = 0").groupBy("thread", "hash").agg(F.min("seq").alias("source"))
     quoted = units.filter("level > 0")
     found = quoted.join(source, ["thread", "hash"], "left").withColumn("source", F.when(F.col("source") < F.col("seq"), F.col("source")))
-    best = found.groupBy("thread", "seq", "passage", "level").agg(F.min(F.when(F.col("source").isNotNull(), F.struct("rank", "source"))).alias("best"))
+    whole, lines_of = (F.when(F.col("rank") == i, F.col("source")) for i in (0, 1))
+    best = found.groupBy("thread", "seq", "passage", "level").agg(F.coalesce(F.min(whole), F.max(lines_of)).alias("best"))
     replies = best.groupBy("thread", "seq").agg(
         F.count("*").alias("n_quotes"),
         F.count("best").alias("n_linked"),
-        F.max(F.when(F.col("best").isNotNull(), F.struct(-F.col("level"), F.col("best.source").alias("source"))))["source"].alias("parent_seq"),
+        F.max(F.when(F.col("best").isNotNull(), F.struct(-F.col("level"), F.col("best").alias("source"))))["source"].alias("parent_seq"),
     )
     body = lines.filter("level = 0").groupBy("thread", "seq").agg(F.array_sort(F.collect_list(F.struct("line", "body"))).alias("parts"))
     clean = body.select("thread", "seq", F.regexp_replace(F.concat_ws("\n", F.transform("parts", lambda x: x["body"])), r"^\n+|\n+\z", "").alias("clean_text"))

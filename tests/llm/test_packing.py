@@ -45,6 +45,20 @@ def test_pieces_and_sequences(docs_of, odd_rows):
     assert len(bins) <= 1.02 * total / 2048 + 2
 
 
+def test_large_identifiers_beside_null(docs_of):
+    big = 9007199254740993
+    got = packing.pack(docs_of([(big, "a b"), (None, "c"), (big + 2, "d " * 3000)]), PATH).collect()
+    assert {r["doc_id"] for r in got} == {big, None, big + 2}
+
+
+def test_ids_beyond_two_bytes():
+    import itertools
+
+    numbers = itertools.count(70_000)
+    table = vocab.WordIds(lambda words: vocab._flat(range(len(words)), [[next(numbers)] for _ in words]))
+    assert table.ids_at(table.slots([b"x", b"y"])).tolist() in ([70_000, 70_001], [70_001, 70_000])
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds(rule):
     lengths = np.random.default_rng(1).integers(1, 300, 2000)

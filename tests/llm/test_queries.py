@@ -77,3 +77,42 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert all(abs(taken.get(s, 0) - t) <= longest + 0.05 * t for s, t in plain_targets(sizes).items())
     pieces = sorted((r["doc_id"] or -1, r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in tables["best_fit_packing"])
     assert pieces == plain_pieces([(r["doc_id"], r["text"]) for r in tables["source_mix"]], packing.Capacity().tokens)
+
+
+def test_stages_on_odd_rows(spark, docs_of, odd_rows, tmp_path):
+    """Nulls, ties, repeated rows, a very long text and clashing columns through all stages, and an empty table."""
+    given = docs_of(odd_rows, extra=True)
+    columns = given.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, given, SF)
+        if name != "best_fit_packing":
+            assert out.columns == columns
+        out.write.parquet(str(tmp_path / name))
+        given = spark.read.parquet(str(tmp_path / name))
+        assert given.count() > 0
+        if name == "exact_dedup":  # six different texts, and one row each
+            assert sorted(r["doc_id"] or -1 for r in given.select("doc_id").collect()) == [2, 3, 5, 6, 7, 8]
+    given = docs_of([], extra=True)
+    for _, stage in corpus_pipeline.STAGES:
+        given = stage(spark, given, SF)
+        assert given.count() == 0
+
+
+def test_intermediate_tables_go(spark):
+    """What operators store is in folders of their own in the shared folder, and all of it goes."""
+    import os
+
+    from folioworks.llm import scratch
+
+    root = scratch._root(spark).removeprefix("file:").replace("//", "/")
+    before = spark.sparkContext.getConf().getAll()
+    settings = {k: spark.conf.get(k, None) for k in (scratch._TIDY, "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    scratch.discard()
+    for name in ("op1_quotation_links", "op3_repeated_phrases", "op5_best_fit_packing", "op7_systematic_mix", "op8_exact_groups", "op10_simhash_groups"):
+        registry.queries()[name](spark, SF).count()
+        left = [x for x in os.listdir(root) if x.startswith("folioworks-")]
+        assert len(left) == 1, name
+        scratch.discard()
+        assert not [x for x in os.listdir(root) if x.startswith("folioworks-")], name
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("folioworks_")]
+    assert settings == {k: spark.conf.get(k, None) for k in settings} and before == spark.sparkContext.getConf().getAll()

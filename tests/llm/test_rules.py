@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +21,8 @@ def plain_base(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    under = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+    times = Counter(windows)
+    under = {i + j for i, w in enumerate(windows) if times[w] > 1 for j in range(3)}
     lines = text.split("\n")
     dup = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
     failed = len(words) < 50 or 100 * len(under) > 50 * len(words)
@@ -29,8 +31,7 @@ def plain_base(text):
 
 def test_base_counts(docs_of, odd_rows):
     pick = random.Random(8)
-    rows = [r for r in odd_rows if len(r[1] or "") < 10_000]
-    rows += [(i, "\n".join(" ".join(pick.choice(["aé", "b|", "c#", "d"]) for _ in range(pick.randrange(9))) for _ in range(12))) for i in range(30, 60)]
+    rows = [*odd_rows, *((i, "\n".join(" ".join(pick.choice(["aé", "b|", "c#", "d"]) for _ in range(pick.randrange(9))) for _ in range(12))) for i in range(30, 60))]
     got = fertility.fertility_rules(docs_of(rows, extra=True), *FILES).collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert sorted((r["doc_id"] or -1, *(r[n] for n in names)) for r in got) == sorted((d or -1, *plain_base(t)) for d, t in rows)
@@ -38,16 +39,64 @@ def test_base_counts(docs_of, odd_rows):
     assert fertility.fertility_rules(docs_of([]), *FILES).count() == 0
 
 
-def test_token_statistics_against_whole_texts(spark):
+def test_token_statistics_and_verdicts_against_whole_texts(spark, docs_of, odd_rows):
+    """All four statistics and kept, from the vocabularies' own encoders, for every document and a very long text."""
+    import base64
+
     import sentencepiece
+    import tiktoken
 
     model = sentencepiece.SentencePieceProcessor(model_file=FILES[1])
-    docs = table(spark, "/root/testdata/sf0.001", "documents")
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for r in fertility.fertility_rules(docs, *FILES).collect()[:40]:
-        ids = np.array(model.encode(" ".join(texts[r["doc_id"]].split())))
-        share = np.unique(ids, return_counts=True)[1] / len(ids)
-        assert r["token_entropy"] == pytest.approx(-(share * np.log2(share)).sum())
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(FILES[0], "rb"))}
+    bpe = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    small = [tuple(r) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()]
+    rows = small + [(i + 10_000 if i else None, t) for i, t in odd_rows] + [(20_000, " ".join(t for _, t in small[:120]))]
+    texts = {i: t or "" for i, t in rows}
+    for r in fertility.fertility_rules(docs_of(rows), *FILES).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[r["doc_id"]])
+        ids = np.array([i for w in words for i in model.encode(w)], int)
+        ranked = sum(len(bpe.encode_ordinary(" " + w)) for w in words)
+        share = np.unique(ids, return_counts=True)[1] / max(len(ids), 1)
+        want = {"tokens_per_word": ranked / max(len(words), 1), "chars_per_token": sum(map(len, words)) / max(ranked, 1), "byte_share": ((ids >= 3) & (ids < 259)).sum() / max(len(ids), 1), "token_entropy": -(share * np.log2(share)).sum()}
+        assert {k: r[k] for k in want} == pytest.approx(want)
+        band = fertility.BANDS["en"]  # the language that docs_of gives
+        x, y = zip(*band.entropy, strict=True)
+        fits = band.fertility[0] <= want["tokens_per_word"] <= band.fertility[1] and band.chars[0] <= want["chars_per_token"] <= band.chars[1]
+        fits = fits and want["byte_share"] <= band.bytes_most and want["token_entropy"] >= np.interp(np.log2(max(len(ids), 1)), x, y)
+        assert r["kept"] == (not plain_base(texts[r["doc_id"]])[5] and fits)
+
+
+# Plain sentences by script, none of those that the bands were set on.
+SENTENCES = {
+    "cyrillic": "Вчера вечером мы долго гуляли по набережной и говорили о том, как быстро меняется наш город. Завтра утром брат поедет на вокзал встречать старых друзей, которые давно обещали приехать в гости.",
+    "greek": "Χθες το βράδυ περπατήσαμε στην παραλία και μιλήσαμε για το πόσο γρήγορα αλλάζει η πόλη μας. Αύριο το πρωί ο αδελφός μου θα πάει στον σταθμό για να συναντήσει παλιούς φίλους.",
+    "arabic": "مشينا مساء أمس على شاطئ البحر وتحدثنا عن سرعة تغير مدينتنا في السنوات الأخيرة. سيذهب أخي صباح الغد إلى المحطة ليستقبل أصدقاء قدامى وعدوا بزيارتنا منذ زمن طويل.",
+    "hebrew": "אתמול בערב הלכנו לטייל על חוף הים ודיברנו על כך שהעיר שלנו משתנה מהר מאוד. מחר בבוקר אחי ייסע לתחנת הרכבת כדי לפגוש חברים ותיקים שהבטיחו לבקר אותנו.",
+    "devanagari": "कल शाम हम नदी के किनारे घूमने गए और इस बारे में बात की कि हमारा शहर कितनी जल्दी बदल रहा है। कल सुबह मेरा भाई पुराने दोस्तों से मिलने स्टेशन जाएगा।",
+    "han": "昨天晚上我们在河边散步，谈到城市变化得多么快。明天早上哥哥要去火车站接老朋友，他们很久以前就答应来看我们。孩子们在院子里玩，妈妈在厨房做饭。",
+    "kana": "昨日の夜、私たちは川のほとりを散歩しながら、町がどれほど早く変わっているかについて話しました。明日の朝、兄は駅へ行って、ずっと前から遊びに来ると約束していた古い友だちを迎えます。",
+    "hangul": "어제 저녁에 우리는 강가를 걸으면서 도시가 얼마나 빨리 변하고 있는지 이야기했다. 내일 아침에 형은 오래전부터 놀러 오겠다고 약속한 친구들을 만나러 역에 갈 것이다.",
+}
+
+
+@pytest.mark.parametrize("script", sorted(SENTENCES))
+def test_bands_of_scripts(script):
+    from folioworks.llm.vocab import word_ids
+
+    text, pick, vocab = SENTENCES[script], random.Random(4), word_ids(FILES[1], FILES[0])
+    assert fertility.script_of(text) == script and fertility.script_of(text + " and a few words") == script
+
+    def takes(text):
+        words = text.encode().split()
+        fertility_, per, byte_share, entropy, tokens = fertility.token_counts(vocab, vocab.slots(words), len(b"".join(words).decode()))
+        return fertility.band_of("xx", text).takes(fertility_, per, byte_share, entropy, tokens)
+
+    letters = sorted({c for c in text if c.isalpha()})
+    assert takes(text)
+    assert not takes(" ".join(pick.choice(letters) * 3 for _ in range(2)) * 40)  # a few letters over and over
+    if fertility.BANDS[script].fertility[1] < fertility.MANY:
+        assert not takes(" ".join("".join(pick.choice(letters) for _ in range(14)) for _ in range(60)))
+    assert fertility.script_of("12 34 ...") == "latin" and fertility.script_of("\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35" * 5) == "other"
 
 
 def test_rules_keep_clean_and_drop_junk(spark):
@@ -72,6 +121,34 @@ def test_quality_on_the_held_out_fold(spark, docs_of, odd_rows):
     assert len(got) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def plain_statistics(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return [0.0] * len(quality.STATISTICS)
+    raw, n = text.encode(), len(words)
+    lines = [x for x in (re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x) for x in text.split("\n")) if x]
+    _, chars, symbols, dup, repeat, _ = plain_base(text)
+    times = Counter(words)
+    share = [c / n for c in times.values()]
+    size = len(raw)
+    count = lambda chars: sum(text.count(c) for c in chars)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return [
+        np.log1p(n), chars / n, symbols / size, dup / len(lines), repeat / n, count(upper) / size, count("0123456789") / size, count(".,;:!?\"'()-") / size,
+        sum(ord(c) > 127 for c in text) / size, len(times) / n, max(share), n / len(lines), sum(x[-1] in ".!?" for x in lines) / len(lines), sum(len(w.encode()) == 1 for w in words) / n,
+        sum(c in upper and (i == 0 or text[i - 1] in " \n") for i, c in enumerate(text)) / n, -sum(p * np.log2(p) for p in share) / np.log2(n + 1), text.count("!") / n, text.count(",") / n,
+        min(max(len(w.encode()) for w in words), 1000), sum(len(x.encode()) < 20 for x in lines) / len(lines), text.count("|") / n, sum(c for w, c in times.items() if len(w.encode()) > 1 and w.encode().isupper()) / n,
+    ]
+
+
+def test_statistics_against_a_plain_count(spark, odd_rows):
+    pick = random.Random(12)
+    texts = [r["text"] for r in table(spark, "/root/testdata/sf0.001", "documents").collect()] + [t or "" for _, t in odd_rows]
+    texts += ["\n".join(" ".join(pick.choice(["aé", "B|", "c,#", "D!", "ÉX.", "12", "LOUD"]) for _ in range(pick.randrange(9))) for _ in range(10)) for _ in range(40)]
+    for text in texts:
+        assert quality.statistics(text.encode()) == pytest.approx(plain_statistics(text)), text[:80]
+
+
 def test_forest_walk_equals_a_plain_walk():
     rng = np.random.default_rng(3)
     rows = rng.normal(size=(400, 5))
