@@ -1,4 +1,8 @@
-"""Corpus preparation from end to end: each stage reads what the stage before wrote."""
+"""Corpus preparation from end to end: each stage reads what the stage before wrote.
+
+All stages take rows with nulls in any column, empty and very long texts, repeated rows, extra columns with any names and
+empty tables; a null text counts as empty. The first four return the columns that they were given.
+"""
 
 from __future__ import annotations
 
@@ -10,31 +14,31 @@ from folioworks.llm.scratch import prepare, stage_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the span tagger scores at 0.5 or more go."""
+    """Documents that the span tagger scores at 0.5 or more go; null and empty texts stay, repeated rows stay or go together."""
     prepare(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest identifier stays."""
+    """Of equal texts the one with the largest identifier stays, one row of it; null identifiers are below all others."""
     prepare(spark)
     return exact.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest identifier stays."""
+    """Of each component of linked fingerprints the document with the smallest identifier stays; rows with a null one stay."""
     prepare(spark)
     return simhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it."""
+    """Each document as often as its source's target takes it; a null source is one of its own, ties go by identifier."""
     prepare(spark)
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; every row has one at least."""
     prepare(spark)
     return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY))
 
