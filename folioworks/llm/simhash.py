@@ -14,7 +14,6 @@ crowded by true neighbours alone up to about 10**8 and 10**12 different fingerpr
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -60,17 +59,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _cells(fp: Column, width: int) -> Column:
-    """The grid cell of a fingerprint, and the cells one step away; each packed into a long. With one bit a segment a cell is a fingerprint."""
-    room = width if width < 4 else 3  # bits that a count up to width needs
-    counts = [F.bit_count(F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for i in range(64 // width)]
-    step = [F.lit(1 << room * i if room * i < 63 else -(1 << 63)).cast("long") for i in range(len(counts))]
-    own = reduce(Column.bitwiseOR, [F.shiftleft(c, room * i) for i, c in enumerate(counts)])
-    up = [F.when(c < width, own.bitwiseXOR((F.shiftleft(c, room * i)).bitwiseXOR(F.shiftleft(c + 1, room * i)))) for i, c in enumerate(counts)]
-    down = [F.when(c > 0, own.bitwiseXOR((F.shiftleft(c, room * i)).bitwiseXOR(F.shiftleft(c - 1, room * i)))) for i, c in enumerate(counts)]
+def _cells(rows: DataFrame, width: int) -> DataFrame:
+    """fp, cell: the grid cell of each fingerprint and the cells one step away, packed into a long. With one bit a segment a cell is a fingerprint.
+
+    Written with functions over arrays: an expression for each of the 65 cells would be code that no driver should compile.
+    """
+    fp = F.col("fp")
     if width == 1:
-        return F.array(fp, *[fp.bitwiseXOR(x) for x in step])
-    return F.array_compact(F.array(own, *up, *down))
+        steps = F.lit([0, *(1 << i if i < 63 else -(1 << 63) for i in range(64))])
+        return rows.select("fp", F.explode(F.transform(steps, lambda x: fp.bitwiseXOR(x))).alias("cell"))
+    room = width if width < 4 else 3  # bits that a count up to width needs
+    places = F.lit(list(range(64 // width)))
+    count, own = F.col("counts"), F.col("own")
+    shifted = lambda x, i: F.call_function("shiftleft", x, i * room)
+    segment = lambda i: F.call_function("shiftrightunsigned", fp, i * width).bitwiseAND(F.lit((1 << width) - 1))
+    counted = rows.select("fp", F.transform(places, lambda i: F.bit_count(segment(i)).cast("long")).alias("counts"))
+    packed = counted.withColumn("own", F.aggregate(places, F.lit(0).cast("long"), lambda x, i: x.bitwiseOR(shifted(count[i], i))))
+
+    def moved(by: int, edge: int) -> Column:
+        return F.transform(places, lambda i: F.when(count[i] != edge, own.bitwiseXOR(shifted(count[i], i)).bitwiseXOR(shifted(count[i] + by, i))))
+
+    return packed.select("fp", F.explode(F.array_compact(F.concat(F.array(own), moved(1, width), moved(-1, 0)))).alias("cell"))
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -83,7 +92,7 @@ def links(distinct: DataFrame, store: Scratch) -> DataFrame:
     """distinct: fp long, once each, stored. Pairs a, b that connect what lies within two bits; a or b may be a value between two fingerprints."""
     found = None
     for width in WIDTHS:
-        members = _spread(distinct).select("fp", F.explode(_cells(F.col("fp"), width)).alias("cell"))
+        members = _cells(_spread(distinct), width)
         cells = store.keep(members.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
         if width > 1:
             pairs = cells.filter("n = 2").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b").distinct()
