@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from folioworks.session import ship_package
 
 ROWS_A_SLICE, BYTES_A_SLICE = 500, 16 << 20
-#: Drops a query's shuffle files when it ends, not when the driver happens to collect its garbage.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while a table is written: its query's shuffle files go when it ends, not when the driver happens to collect its
+#: garbage, and Arrow batches of whole texts stay small on both sides of the pipe.
+WHILE_WRITING = {_TIDY: "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -88,21 +90,21 @@ class Scratch:
         _OWNED.append(_path(spark, self.folder))
 
     @contextmanager
-    def _tidy(self) -> Iterator[None]:
-        before = self.spark.conf.get(_TIDY, None)
-        self.spark.conf.set(_TIDY, "true")
+    def _held(self) -> Iterator[None]:
+        """The caller's settings are as before afterwards."""
+        before = {key: self.spark.conf.get(key, None) for key in WHILE_WRITING}
+        for key, value in WHILE_WRITING.items():
+            self.spark.conf.set(key, value)
         try:
             yield
         finally:
-            if before is None:
-                self.spark.conf.unset(_TIDY)
-            else:
-                self.spark.conf.set(_TIDY, before)
+            for key, value in before.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df now, and return the stored rows."""
         folder = f"{self.folder}/{len(self.paths)}"
-        with self._tidy():
+        with self._held():
             df.write.option("compression", "zstd").parquet(folder)
         stored = self.spark.read.schema(df.schema).parquet(folder)
         self.paths[id(stored)] = (folder, stored)
@@ -111,7 +113,7 @@ class Scratch:
     def keep_dealt(self, df: DataFrame, column: str, parts: int) -> DataFrame:
         """Write df dealt into parts by a hash of column, so that later steps on that column find its rows together without a shuffle."""
         folder, name = f"{self.folder}/{len(self.paths)}", f"folioworks_{uuid.uuid4().hex}"
-        with self._tidy():
+        with self._held():
             df.write.format("parquet").option("compression", "zstd").option("path", folder).bucketBy(parts, column).saveAsTable(name)
         _NAMED.append((self.spark, name))
         stored = self.spark.table(name)

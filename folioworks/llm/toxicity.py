@@ -163,7 +163,7 @@ class SpanModel:
         values = np.fromiter(map(self.seen.get, words, repeat(np.nan)), float, len(words))
         missed = np.flatnonzero(np.isnan(values)).tolist()
         if missed:
-            if len(self.seen) > 500_000:
+            if len(self.seen) > 250_000:
                 self.seen.clear()
             new = {words[i] for i in missed} - self.seen.keys()
             self.seen.update((w, self.bias + float(self.weights[_buckets(w)].sum())) for w in new)

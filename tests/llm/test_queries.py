@@ -106,7 +106,7 @@ def test_intermediate_tables_go(spark):
 
     root = scratch._root(spark).removeprefix("file:").replace("//", "/")
     before = spark.sparkContext.getConf().getAll()
-    settings = {k: spark.conf.get(k, None) for k in (scratch._TIDY, "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    settings = {k: spark.conf.get(k, None) for k in scratch.WHILE_WRITING}
     scratch.discard()
     for name in ("op1_quotation_links", "op3_repeated_phrases", "op5_best_fit_packing", "op7_systematic_mix", "op8_exact_groups", "op10_simhash_groups"):
         registry.queries()[name](spark, SF).count()
