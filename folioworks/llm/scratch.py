@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioworks.session import ship_package
 
-ROWS_A_SLICE, BYTES_A_SLICE = 500, 16 << 20
+ROWS_A_SLICE, BYTES_A_SLICE = 500, 4 << 20
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Held while a table is written: its query's shuffle files go when it ends, not when the driver happens to collect its
 #: garbage, and Arrow batches of whole texts stay small on both sides of the pipe.

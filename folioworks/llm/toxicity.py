@@ -18,7 +18,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +34,18 @@ FLOOR = 0.2
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK = 128
 _EDGE = b".,;:!?\"'()[]{}<>*_~`-"
+_BEGINNINGS = ((3, b"p3="), (4, b"p4="), (5, b"p5="), (6, b"p6="))
 
 
 def _features(word: bytes) -> list[bytes]:
     core = word.lower().strip(_EDGE)
-    text = core.decode()
-    found = [b"w=" + core, b"s=" + text[-3:].encode()]
-    found += [b"p%d=" % n + text[:n].encode() for n in (3, 4, 5, 6) if len(text) >= n]
+    if core.isascii():  # bytes are code points
+        found = [b"w=" + core, b"s=" + core[-3:]]
+        found += [mark + core[:n] for n, mark in _BEGINNINGS if len(core) >= n]
+    else:
+        text = core.decode()
+        found = [b"w=" + core, b"s=" + text[-3:].encode()]
+        found += [mark + text[:n].encode() for n, mark in _BEGINNINGS if len(text) >= n]
     if core != word.strip(_EDGE) and word.isupper():
         found.append(b"upper")
     return found
@@ -54,6 +59,12 @@ def _buckets(word: bytes) -> list[int]:
     return [zlib.crc32(f) % BUCKETS for f in _features(word)]
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists in a row, and the list that each is from."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.repeat(np.arange(len(lists)), lengths), np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum()))
+
+
 class _Side:
     """Equal-sized work on many stretches of a flat token array, longest first, so that each step works on a shrinking block."""
 
@@ -165,8 +176,9 @@ class SpanModel:
         if missed:
             if len(self.seen) > 250_000:
                 self.seen.clear()
-            new = {words[i] for i in missed} - self.seen.keys()
-            self.seen.update((w, self.bias + float(self.weights[_buckets(w)].sum())) for w in new)
+            new = list({words[i] for i in missed})
+            owner, bucket = _flat([_buckets(w) for w in new])
+            self.seen.update(zip(new, (self.bias + np.bincount(owner, self.weights[bucket], len(new))).tolist(), strict=True))
             values[missed] = [self.seen[words[i]] for i in missed]
         return values
 
@@ -190,18 +202,21 @@ class SpanModel:
 
 
 def _offending(docs: list[tuple[list[bytes], int]], support: int, precision: float) -> set[bytes]:
-    """Words and beginnings that stand in many surroundings of toxic documents and hardly in others."""
+    """Words that, or beginnings of which, stand in many surroundings of toxic documents and hardly in others."""
     def forms(word: bytes) -> list[bytes]:
         return [f for f in _features(word) if f[:1] in b"wp"]
 
     counts: dict[bytes, int] = defaultdict(int)
+    met: dict[bytes, list[bytes]] = {}
     for words, label in docs:
         if label:
-            for f in {f for w in set(words) for f in forms(w)}:
+            own = set(words)
+            met.update((w, forms(w)) for w in own - met.keys())
+            for f in set(chain.from_iterable(map(met.__getitem__, own))):
                 counts[f] += 1
     often = {f: n for f, n in counts.items() if n >= support}
-    del counts
-    known: dict[bytes, tuple[bytes, ...]] = {}
+    known = {w: tuple(f for f in found if f in often) for w, found in met.items()}
+    del counts, met
 
     def told(word: bytes) -> tuple[bytes, ...]:
         if word not in known:
@@ -220,7 +235,8 @@ def _offending(docs: list[tuple[list[bytes], int]], support: int, precision: flo
             for f in told(word):
                 if f in telling:
                     around[f].setdefault((words[i - 1] if i else b"", words[i + 1] if i + 1 < len(words) else b""), label)
-    return {f for f, seen in around.items() if sum(seen.values()) >= max(support, precision * len(seen))}
+    seeds = {f for f, seen in around.items() if sum(seen.values()) >= max(support, precision * len(seen))}
+    return {word for word, found in known.items() if not seeds.isdisjoint(found)}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[float, float]:
@@ -245,19 +261,12 @@ def train(texts: list[tuple[str, int]], support: int = 10, precision: float = 0.
         return model
     same: dict[bytes, bytes] = {}
     lines = [[[same.setdefault(w, w) for w in line] for line in _chains(t.encode())] for t, _ in texts]
-    seeds = _offending([([w for line in doc for w in line], int(y)) for doc, (_, y) in zip(lines, texts, strict=True)], support, precision)
-    marks: dict[bytes, bool] = {}
-
-    def marked(word: bytes) -> bool:
-        if word not in marks:
-            marks[word] = bool(seeds) and not seeds.isdisjoint(_features(word))
-        return marks[word]
-
+    marked = _offending([([w for line in doc for w in line], int(y)) for doc, (_, y) in zip(lines, texts, strict=True)], support, precision)
     # Every line with a mark, and clean lines in order of a hash of their content, up to a bound.
     rows, rest = [], []
     for doc, (_, y) in zip(lines, texts, strict=True):
         for line in doc:
-            hit = [marked(w) for w in line]
+            hit = [w in marked for w in line]
             if any(hit):
                 rows.append((line, np.array(hit, float) * y))
             else:
@@ -266,8 +275,7 @@ def train(texts: list[tuple[str, int]], support: int = 10, precision: float = 0.
     kinds: dict[bytes, int] = {}
     kind = np.array([kinds.setdefault(w, len(kinds)) for line, _ in rows for w in line], np.int64)
     gold = np.concatenate([y for _, y in rows])
-    buckets = [_buckets(w) for w in kinds]
-    owner, bucket = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets]), np.array([b for x in buckets for b in x])
+    owner, bucket = _flat([_buckets(w) for w in kinds])
     chains = Chains(np.array([len(line) for line, _ in rows], np.int64))
     first = np.zeros(len(kind), bool)
     first[chains.heads] = True
@@ -276,10 +284,10 @@ def train(texts: list[tuple[str, int]], support: int = 10, precision: float = 0.
     held = {"w": np.zeros(BUCKETS), "b": np.array(-4.0), "t": np.zeros(3)}
     past = {k: np.zeros_like(v) for k, v in held.items()}
     for _ in range(rounds):
-        emission = (held["b"] + np.bincount(owner, held["w"][bucket], len(buckets)))[kind]
+        emission = (held["b"] + np.bincount(owner, held["w"][bucket], len(kinds)))[kind]
         ahead, back = chains.marginals(emission, held["t"])
         rest_of = gold - _sigmoid(ahead + back)
-        by_kind = np.bincount(kind, rest_of, len(buckets))
+        by_kind = np.bincount(kind, rest_of, len(kinds))
         p, q = ahead[second - 1], emission[second] + back[second]
         joint = np.stack([np.zeros_like(p), held["t"][0] + q, held["t"][1] + p, held["t"][2] + p + q])
         joint = np.exp(joint - joint.max(axis=0))
