@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fertility, licences, mixing, packing, phrases, quality, quotes, simhash, toxicity
+from . import centroids, exact, fertility, licences, mixing, packing, phrases, quality, quotes, simhash, toxicity
 from .scratch import table
 
 
@@ -61,6 +61,10 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_ns_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE said AS (
     SELECT conv_id, turn, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
@@ -142,6 +146,35 @@ FROM lowered WINDOW same AS (PARTITION BY body)
 """
 
 
+_SQUARED = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+
+def _lloyd(rounds: int = centroids.ROUNDS) -> str:
+    """Assignments a0... and centroids c1... of each round after the first centroids c0."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"near{r} AS (SELECT k.line, c.c, {_SQUARED} AS d FROM kept k, c{r} c)")
+        steps.append(f"a{r} AS (SELECT line, arg_min(c, (d, c)) AS c, min(d) AS d FROM near{r} GROUP BY line)")
+        if r < rounds:
+            steps.append(f"parts{r} AS (SELECT a.c, i, sum(k.v[i])::BIGINT AS s, count(*) AS n FROM a{r} a JOIN kept k USING (line), range(1, {centroids.COMPONENTS + 1}) AS t(i) GROUP BY a.c, i)")
+            steps.append(f"means{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS v FROM parts{r} GROUP BY c)")
+            steps.append(f"c{r + 1} AS (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{r} o LEFT JOIN means{r} m USING (c))")
+    return ",\n".join(steps)
+
+
+OP12_SQL = f"""
+WITH whole AS (
+    SELECT vec_id, row_number() OVER () AS line, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {centroids.COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.COMPONENTS}
+), kept AS MATERIALIZED (SELECT * FROM whole), c0 AS (
+    SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), v) - 1 AS c, v FROM kept ORDER BY c LIMIT {centroids.CLUSTERS}
+), {_lloyd()}
+SELECT k.vec_id, a.c::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} a JOIN kept k USING (line) JOIN c{centroids.ROUNDS} c ON c.c = a.c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quotation_links,
@@ -154,9 +187,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_groups,
         op9_licence_scan,
         op10_simhash_groups,
+        op12_ns_centroids,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_links": OP1_SQL, "op3_repeated_phrases": OP3_SQL, "op7_systematic_mix": OP7_SQL, "op8_exact_groups": OP8_SQL}
+    return {"op1_quotation_links": OP1_SQL, "op3_repeated_phrases": OP3_SQL, "op7_systematic_mix": OP7_SQL, "op8_exact_groups": OP8_SQL, "op12_ns_centroids": OP12_SQL}
