@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, exact, fertility, licences, mixing, packing, phrases, quality, quotes, simhash, toxicity
+from . import centroids, exact, fertility, licences, mixing, packing, phrases, quality, quotes, secret_scan, simhash, toxicity
 from .scratch import table
 
 
@@ -65,6 +65,10 @@ def op12_ns_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_secret_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE said AS (
     SELECT conv_id, turn, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
@@ -188,6 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_licence_scan,
         op10_simhash_groups,
         op12_ns_centroids,
+        op13_secret_structures,
     )
     return {f.__name__: f for f in found}
 
