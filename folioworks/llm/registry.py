@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, exact, fertility, licences, mixing, packing, phrases, quality, quotes, secret_scan, simhash, toxicity
+from . import centroids, exact, fertility, importance, licences, mixing, packing, phrases, quality, quotes, secret_scan, simhash, toxicity
 from .scratch import table
 
 
@@ -61,6 +61,10 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_ns_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -150,6 +154,43 @@ FROM lowered WINDOW same AS (PARTITION BY body)
 """
 
 
+_LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT_WORDS = rf"regexp_extract_all({_LOWER_ASCII}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11_SQL = f"""
+WITH crc AS MATERIALIZED (
+    SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS steps FROM range(256) AS t(n)
+), split AS MATERIALIZED (
+    SELECT row_number() OVER () AS line, doc_id, {_SPLIT_WORDS} AS words FROM documents
+), goal AS (
+    SELECT row_number() OVER () AS line, {_SPLIT_WORDS} AS words FROM benchmark
+), placed AS (
+    SELECT 0 AS side, line, unnest(words) AS word, generate_subscripts(words, 1) AS i, words FROM split
+    UNION ALL SELECT 1, line, unnest(words), generate_subscripts(words, 1), words FROM goal
+), grams AS MATERIALIZED (
+    SELECT side, line, word AS gram FROM placed UNION ALL SELECT side, line, word || ' ' || words[i + 1] FROM placed WHERE i < len(words)
+), bytes AS (
+    SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM grams)
+), hashed AS MATERIALIZED (
+    SELECT gram, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+           lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % {importance.BUCKETS} AS bucket FROM bytes, crc
+), counted AS (
+    SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM grams JOIN hashed USING (gram) GROUP BY bucket
+), totals AS (SELECT coalesce(sum(s), 0)::BIGINT AS s_all, coalesce(sum(t), 0)::BIGINT AS t_all FROM counted), gain AS MATERIALIZED (
+    SELECT bucket, floor({importance.SCALE} * ln(((t + 1)::DOUBLE * (s_all + {importance.BUCKETS})::DOUBLE) / ((s + 1)::DOUBLE * (t_all + {importance.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM counted, totals
+), weighed AS (
+    SELECT line, count(*) AS n_features, sum(gain)::BIGINT AS total FROM grams JOIN hashed USING (gram) JOIN gain USING (bucket) WHERE side = 0 GROUP BY line
+), scored AS (
+    SELECT line, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+           ('0x' || substr(sha256('{importance.SEED}:' || doc_id), 1, 8))::UBIGINT::DOUBLE AS h FROM split LEFT JOIN weighed USING (line)
+), summed AS (
+    SELECT *, weight + floor(-{importance.SCALE}::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored
+), ranked AS (
+    SELECT line, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM summed WHERE n_words >= {importance.LEAST_WORDS}
+)
+SELECT doc_id, n_features, weight, score, rank FROM summed LEFT JOIN (SELECT * FROM ranked WHERE rank <= {importance.PERCENT} * n // 100) USING (line)
+"""
+
 _SQUARED = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
 
 
@@ -191,6 +232,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_groups,
         op9_licence_scan,
         op10_simhash_groups,
+        op11_importance_resample,
         op12_ns_centroids,
         op13_secret_structures,
     )
@@ -198,4 +240,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_links": OP1_SQL, "op3_repeated_phrases": OP3_SQL, "op7_systematic_mix": OP7_SQL, "op8_exact_groups": OP8_SQL, "op12_ns_centroids": OP12_SQL}
+    return {"op1_quotation_links": OP1_SQL, "op3_repeated_phrases": OP3_SQL, "op7_systematic_mix": OP7_SQL, "op8_exact_groups": OP8_SQL, "op11_importance_resample": OP11_SQL, "op12_ns_centroids": OP12_SQL}
