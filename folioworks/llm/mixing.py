@@ -3,8 +3,9 @@
 Every document of a source is expected target / source_size times in the mix. The documents of a source are ordered by
 size and identifier, their expected copies are summed along that order, one random offset is added, and a document is
 emitted once for each integer that its stretch of the sum crosses. Ordering by size keeps the words that are taken
-near the target. The rank within a source comes from a range partition of the whole table (its splitters include the
-identifier, so a hot source spreads over many ranges) plus the counts of the ranges before.
+near the target. The rank within a source comes from a range partition of the whole table (its splitters end with the
+identifier and a stored row number, so a hot source and a row that repeats spread over many ranges) plus the counts of
+the ranges before.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, fresh
+from .scratch import Scratch, fresh, numbered
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -50,17 +51,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return final.select("source", "source_size", F.coalesce(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")), F.col("cap").cast("double")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken; the same on every run.
-
-    Size is the number of words between ASCII white space; a null or empty text has none. A null source is a source of
-    its own. Rows tied in size take ranks by identifier, repeated rows neighbouring ranks. A very long text counts all its words. Extra columns are not read; an empty table gives no rows.
-    """
-    store = Scratch(docs.sparkSession)
+def _plan(rows: DataFrame, store: Scratch, id_col: str, text_col: str, source_col: str, places: Sequence[str], weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """What mix_plan returns, with the columns places of rows."""
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = store.keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size")))
+    given = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size")]
+    sized = store.keep(rows.select(*given, *[F.col(p).alias(f"place{i}") for i, p in enumerate(places)], F.monotonically_increasing_id().alias("number")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    dealt = store.keep(sized.repartitionByRange("source", "size", "doc_id").sortWithinPartitions("source", "size", "doc_id").withColumn("at", F.monotonically_increasing_id()))
+    dealt = store.keep(sized.repartitionByRange("source", "size", "doc_id", "number").sortWithinPartitions("source", "size", "doc_id", "number").drop("number").withColumn("at", F.monotonically_increasing_id()))
     span = F.shiftright("at", 33).alias("span")
     spans = dealt.groupBy("source", span).agg(F.min("at").alias("low"), F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,24 +73,29 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
         rows.withColumn("each", each)
         .withColumn("offset", offset)
         .withColumn("copies", F.least(crossed, F.lit(most).cast("long")))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"place{i}" for i in range(len(places))])
     )
 
 
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken; the same on every run.
+
+    how: weights, share, most and seed. Size is the number of words between ASCII white space; a null or empty text has
+    none. A null source is a source of its own. Rows tied in size take ranks by identifier, repeated rows neighbouring
+    ranks. A very long text counts all its words. Extra columns are not read; an empty table gives no rows.
+    """
+    return _plan(docs, Scratch(docs.sparkSession), id_col, text_col, source_col, (), **how)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs with every row as often as mix_plan takes it (not at all, once or more); all columns stay.
 
-    Rows alike in identifier, source and size share their copies evenly, so repeated rows are safe.
+    A row is known by its place in the table, so repeated rows are rows of their own. Null and empty texts have size 0 and
+    are taken as their source's other rows are; very long ones count whole. An empty table gives no rows.
     """
-    names = fresh(docs, "__id", "__source", "__size", "__copies", "__alike", "__own_id", "__own_source", "__own_size", "__nth", "__times", "__one")
-    id_, source, size, copies, alike, own_id, own_source, own_size, nth, times, one = names
-    plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    keys = [F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size)]
-    due = plan.groupBy(*keys).agg(F.sum("copies").alias(copies), F.count("*").alias(alike)).filter(F.col(copies) > 0)
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    own = docs.withColumns({own_id: F.col(id_col).cast("long"), own_source: F.col(source_col).cast("string"), own_size: words})
-    place = F.row_number().over(Window.partitionBy(own_id, own_source, own_size).orderBy(F.lit(1)))
-    same = F.col(own_id).eqNullSafe(F.col(id_)) & F.col(own_source).eqNullSafe(F.col(source)) & (F.col(own_size) == F.col(size))
-    share = F.floor(F.col(copies) / F.col(alike)) + F.when(F.col(nth) <= F.pmod(copies, alike), 1).otherwise(0)
-    placed = own.join(due, same).withColumn(nth, place).withColumn(times, share.cast("int")).filter(F.col(times) > 0)
+    store, (file, row, times, one) = Scratch(docs.sparkSession), fresh(docs, "__file", "__row", "__times", "__one")
+    rows = numbered(docs, store, file, row)
+    plan = _plan(rows, store, id_col, text_col, source_col, (file, row), **how)
+    due = plan.filter("copies > 0").select(F.col("place0").alias(file), F.col("place1").alias(row), F.col("copies").cast("int").alias(times))
+    placed = rows.join(due, [file, row])
     return placed.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

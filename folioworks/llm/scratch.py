@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from folioworks.session import ship_package
@@ -132,6 +133,18 @@ def stage_folder(spark: SparkSession) -> str:
     return Scratch(spark).folder
 
 
+def numbered(df: DataFrame, store: Scratch, file: str, row: str) -> DataFrame:
+    """df with two more columns that tell its rows apart, alike each time that it is read: file and row number of a Parquet table.
+
+    What is not the plain scan of one is written to the store first.
+    """
+    try:
+        place = df.metadataColumn("_metadata")
+        return df.select("*", place["file_path"].alias(file), place["row_index"].alias(row))
+    except AnalysisException:
+        return numbered(store.keep(df), store, file, row)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that df does not have."""
     taken, out = {c.lower() for c in df.columns}, []

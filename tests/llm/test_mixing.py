@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from folioworks.llm import mixing
 
 
@@ -60,3 +62,28 @@ def test_rows_follow_the_plan(docs_of):
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix_plan(docs_of(rows)).collect()}
     out = Counter(r["doc_id"] for r in mixing.mix(docs_of(rows)).collect())
     assert out == Counter({k: v for k, v in plan.items() if v})
+
+
+def test_a_repeated_row_spreads_over_ranges(spark, docs_of, monkeypatch):
+    """A third of all rows are one row, identifier included; its copies go by row, and reruns agree."""
+    rows = [(i, "w " * (i % 90), "a" if i % 3 else "b") for i in range(8000)] + [(77, "w " * 50, "a")] * 4000
+    stored, keep = [], mixing.Scratch.keep
+    monkeypatch.setattr(mixing.Scratch, "keep", lambda self, df: stored.append(keep(self, df)) or stored[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = docs_of(rows).repartition(5)
+        plan = mixing.mix_plan(docs).collect()
+        mixed = Counter((r["doc_id"], r["text"]) for r in mixing.mix(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    dealt = next(s for s in stored if "at" in s.columns)
+    sizes = sorted(r["count"] for r in dealt.groupBy(F.shiftright("at", 33)).count().collect())
+    assert len(sizes) >= 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    due = Counter()
+    for r in plan:
+        due[r["doc_id"], r["size"]] += r["copies"]
+    taken = Counter()
+    for (doc, text), n in mixed.items():
+        taken[doc, len(text.split())] += n
+    assert taken == Counter({k: n for k, n in due.items() if n})
+    assert len(plan) == len(rows) and mixed == Counter((r["doc_id"], r["text"]) for r in mixing.mix(docs).collect())

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from folioworks.llm import components as connected
 from folioworks.llm import simhash
-from folioworks.llm.scratch import Scratch
 from folioworks.llm.components import components
+from folioworks.llm.scratch import Scratch
 
 
 def plain_fingerprint(text):
@@ -82,9 +84,45 @@ def test_crowded_cells(spark):
     assert all(len(x) == 1 for x in groups.values()) and all(len(x) == 1 for x in seen.values())
 
 
-def test_components_of_a_chain(spark):
-    links = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(100, 101)], "a long, b long"))
-    assert {(r["node"], r["label"]) for r in components(links, Scratch(spark)).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+def orders(n):
+    """Identifiers along a chain: smallest at one end and second smallest at the other, by turns, in a random order."""
+    zigzag = [i // 2 if i % 2 == 0 else n - 1 - i // 2 for i in range(n)]
+    mixed = list(range(n))
+    random.Random(6).shuffle(mixed)
+    return {"worst": [0, *range(n - 1, 0, -1)], "zigzag": zigzag, "random": mixed}
+
+
+@pytest.mark.parametrize("order", ["worst", "zigzag", "random"])
+def test_components_of_a_chain_in_few_rounds(spark, monkeypatch, order):
+    n, rounds, hooks = 1024, [], connected._hooks
+    monkeypatch.setattr(connected, "_hooks", lambda edges, turn: rounds.append(turn) or hooks(edges, turn))
+    chain = orders(n)[order]
+    links = spark.createDataFrame([*zip(chain, chain[1:], strict=False), (5000, 5001), (7, 7)], "a long, b long")
+    got = {(r["node"], r["label"]) for r in components(links, Scratch(spark)).collect()}
+    assert got == {(i, 0) for i in range(n)} | {(5000, 5000), (5001, 5000)}
+    assert len(rounds) <= 11  # log2 n and one
+
+
+def test_components_of_stars_trees_and_random_links(spark):
+    pick = random.Random(8)
+    star = [(10_000, i) for i in range(2000)]  # one node in every link
+    tree = [(20_000 + i, 20_000 + (i - 1) // 2) for i in range(1, 1000)]
+    loose = [(30_000 + pick.randrange(900), 30_000 + pick.randrange(900)) for _ in range(400)]
+    pairs = star + tree + loose
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark)).collect()}
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
 
 
 def test_stage_keeps_one(docs_of):
