@@ -19,8 +19,8 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFra
 def _hooks(edges: DataFrame, turn: int) -> DataFrame:
     """node, up: of each node's neighbours and itself the one that comes first in an order drawn anew each round."""
     order = lambda c: F.xxhash64(F.lit(turn), F.col(c))  # noqa: E731  different nodes have different values
-    best = edges.groupBy("a").agg(F.min(F.struct(order("b").alias("place"), F.col("b").alias("node"))).alias("best"))
-    return best.select(F.col("a").alias("node"), F.when(F.col("best.place") < order("a"), F.col("best.node")).otherwise(F.col("a")).alias("up"))
+    best = edges.groupBy("a").agg(F.min(order("b")).alias("place"), F.min_by("b", order("b")).alias("b"))
+    return best.select(F.col("a").alias("node"), F.when(F.col("place") < order("a"), F.col("b")).otherwise(F.col("a")).alias("up"))
 
 
 def components(links: DataFrame, store: Scratch) -> DataFrame:
