@@ -10,11 +10,9 @@ SHA-256 digests of their texts.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,27 +20,9 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, fresh, numbered, sliced
 
 HEAD_BYTES = 16
-_KEYED = "id long, file string, row long, norm string, head binary, tag long, sha binary"
 _RUNS = "id long, keep_id long, group_size long, sha binary, leads boolean, edge boolean, slot int, file string, row long"
 
 
-def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        norm = pc.ascii_lower(pc.fill_null(batch.column(3), ""))
-        raw = norm.cast(pa.binary()).to_pylist()
-        sha = [hashlib.sha256(x).digest() for x in raw]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *batch.columns[:3],
-                norm,
-                pa.array([x[:HEAD_BYTES] for x in raw], pa.binary()),
-                pa.array([int.from_bytes(x[:8], "big", signed=True) for x in sha], pa.int64()),
-                pa.array(sha, pa.binary()),
-            ],
-            names=["id", "file", "row", "norm", "head", "tag", "sha"],
-        )
-
-
 class _Runs:
     """Runs of equal texts in one sorted range. Only identifiers and places are held until a run ends, never its texts."""
 
@@ -91,8 +71,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _groups(rows: DataFrame, store: Scratch, id_col: str, text_col: str, file: str, row: str) -> DataFrame:
     """rows: numbered. What exact_groups returns, with the place of each row."""
-    given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(file).alias("file"), F.col(row).alias("row"), F.col(text_col).alias("text"))
-    keyed = given.mapInArrow(_normalised, _KEYED)
+    norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(file).alias("file"), F.col(row).alias("row"), norm.alias("norm"))
+    bytes_, digest = F.col("norm").cast("binary"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256))
+    keyed = given.select("*", F.substring(bytes_, 1, HEAD_BYTES).alias("head"), F.xxhash64("norm").alias("tag"), digest.alias("sha"))
     ranged = keyed.repartitionByRange("head", "tag", "id", "row", "file")
     ordered = ranged.sortWithinPartitions("head", "tag", "norm", F.col("id").desc_nulls_last())
     runs = store.keep(ordered.mapInArrow(_compared, _RUNS))
