@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioworks import views as v
 from folioworks.operators import tasks
 from folioworks.session import shared_folder, ship_package
-from folioworks.sources import queue
+from folioworks.sources import files, queue
 from folioworks.streaming import jobs
 
+_TASK_DOCUMENTS = """, asked AS (SELECT user_id, file_id AS filename, arg_min(event_id, (ts, event_id)) AS seq FROM tasks WHERE NOT damaged AND coalesce(file_id, '') <> ''
+    AND coalesce(user_id, '') <> '' GROUP BY ALL), held AS (SELECT DISTINCT user_id, filename FROM uploads), pages AS (SELECT doc_id::VARCHAR AS user_id, count(*) AS n FROM doc_pages GROUP BY 1),
+    documents_of AS (SELECT a.user_id, a.filename, a.seq, CASE WHEN h.user_id IS NULL OR p.n IS NULL THEN 'failed' ELSE 'done' END AS status, CASE WHEN h.user_id IS NULL THEN 0 ELSE coalesce(p.n, 0) END AS pages
+    FROM asked a LEFT JOIN held h ON h.user_id = a.user_id AND h.filename = a.filename LEFT JOIN pages p ON p.user_id = a.user_id)"""
+
 STREAM_SQL: dict[str, str] = {
     "stream_tasks": v.with_views("tasks") + """SELECT event_id, CASE WHEN damaged THEN NULL ELSE file_id END AS file_id, CASE WHEN damaged THEN NULL ELSE user_id END AS user_id,
         CASE WHEN damaged THEN 'ocr' ELSE coalesce(mode, 'ocr') END AS mode, CASE WHEN damaged THEN 'damaged' WHEN coalesce(file_id, '') = '' THEN 'no_file'
@@ -25,8 +30,8 @@ STREAM_SQL: dict[str, str] = {
     "stream_grant_join": v.with_views("uses", "grants") + "SELECT u.event_id, g.subject, g.scope, g.issued_at FROM uses u JOIN grants g ON g.subject = u.subject AND g.scope = u.scope AND g.issued_at <= u.ts AND u.ts < g.expires_at",
     "stream_transitions": v.with_views("status_log") + "SELECT user_id, filename, seq, status FROM (SELECT *, lag(status) OVER (PARTITION BY user_id, filename ORDER BY ts, seq) AS previous "
     "FROM status_log) WHERE previous = 'processing' AND status IN ('done', 'failed')",
-    "stream_timeouts": v.with_views("status_log") + "SELECT user_id, filename, seq FROM (SELECT *, epoch_us(coalesce(lead(ts) OVER (PARTITION BY user_id, filename ORDER BY ts, seq), "
-    "(SELECT max(ts) - INTERVAL 1 MINUTE FROM status_log))) - epoch_us(ts) AS ran FROM status_log) WHERE status = 'processing' AND ran > 600000000",
+    "stream_timeouts": v.with_views("status_log") + "SELECT user_id, filename, seq FROM (SELECT *, epoch_us(least(coalesce(lead(ts) OVER (PARTITION BY user_id, filename ORDER BY ts, seq), "
+    "until), until)) - epoch_us(ts) AS ran FROM status_log, (SELECT max(ts) - INTERVAL 1 MINUTE AS until FROM status_log)) WHERE status = 'processing' AND ran > 600000000",
     "stream_histogram_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, le, count(*) FILTER (value <= le) AS bucket_count, count(*) AS total_count, round(sum(value), 2) AS total_sum "
     "FROM events, unnest([0.5, 1, 2, 3, 5, 10, 20, 40, 'infinity'::DOUBLE]) AS u(le) WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL",
     "dedup_uploads": v.with_views("uploads") + "SELECT user_id, filename, seq, size FROM uploads",
@@ -36,11 +41,14 @@ STREAM_SQL: dict[str, str] = {
         CASE WHEN line_no = 0 THEN 'separator' WHEN text = '' THEN 'blank' ELSE 'text' END AS kind, text
         FROM (SELECT doc_id, page, line_no, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, page, unnest(ls) AS raw, generate_subscripts(ls, 1) AS line_no
               FROM (SELECT doc_id, page, string_split(coalesce(text, ''), chr(10)) AS ls FROM doc_pages))
-              UNION ALL SELECT doc_id, page, '-- Page ' || page || ' --', 0 FROM doc_pages WHERE page > 1) AS x(doc_id, page, line_no, text)""".replace("'-- Page ' || page || ' --', 0 FROM", "0, '-- Page ' || page || ' --' FROM"),
-    "stream_task_conversion": v.with_views("tasks", "uploads", "doc_pages") + """, asked AS (SELECT DISTINCT user_id, file_id AS filename FROM tasks WHERE NOT damaged AND coalesce(file_id, '') <> ''
-        AND coalesce(user_id, '') <> ''), held AS (SELECT DISTINCT user_id, filename FROM uploads), pages AS (SELECT doc_id::VARCHAR AS user_id, count(*) AS n FROM doc_pages GROUP BY 1)
-        SELECT a.user_id, a.filename, CASE WHEN h.user_id IS NULL OR p.n IS NULL THEN 'failed' ELSE 'done' END AS status, CASE WHEN h.user_id IS NULL THEN 0 ELSE coalesce(p.n, 0) END AS pages
-        FROM asked a LEFT JOIN held h ON h.user_id = a.user_id AND h.filename = a.filename LEFT JOIN pages p ON p.user_id = a.user_id""",
+              UNION ALL SELECT doc_id, page, 0, '-- Page ' || page || ' --' FROM doc_pages WHERE page > 1)""",
+    "stream_task_conversion": v.with_views("tasks", "uploads", "doc_pages") + _TASK_DOCUMENTS + " SELECT user_id, filename, status, pages FROM documents_of",
+    "stream_task_status": v.with_views("tasks", "uploads", "doc_pages") + _TASK_DOCUMENTS + """ SELECT user_id, filename, 'processing' AS status, seq, 1 AS place FROM documents_of
+        UNION ALL SELECT user_id, filename, status, seq, 2 FROM documents_of""",
+    "stream_grant_outcomes": v.with_views("uses", "grants") + """SELECT u.event_id, CASE WHEN bool_or(g.scope = u.scope AND u.ts < g.expires_at) THEN 'valid' WHEN bool_or(g.scope = u.scope) THEN 'expired'
+        WHEN count(g.subject) > 0 THEN 'wrong_scope' ELSE 'none' END AS outcome FROM uses u LEFT JOIN grants g ON g.subject = u.subject AND g.issued_at <= u.ts GROUP BY u.event_id""",
+    "stream_rate_limit": """SELECT event_id, CASE WHEN event_type = 'click' AND row_number() OVER (PARTITION BY event_type, user_id, date_trunc('day', ts) ORDER BY ts, event_id) > 1
+        OR event_type = 'signup' AND row_number() OVER (PARTITION BY event_type, user_id, epoch_us(ts) // 7200000000 ORDER BY ts, event_id) > 2 THEN 429 ELSE 200 END AS code FROM events""",
 }
 
 
@@ -52,13 +60,6 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int") % 10
-    kind = F.element_at(F.create_map(*[F.lit(x) for pair in v.EVENT_KINDS.items() for x in pair]), F.col("event_type"))
-    name = F.concat(F.lit("file_"), k, F.lit(".pdf"))
-    return _events(spark, sf_dir).select("event_id", "ts", F.col("user_id").cast("string").alias("user_id"), name.alias("filename"), kind.alias("kind"))
-
-
 def _collected(spark: SparkSession, out: DataFrame, name: str, mode: str = "append") -> DataFrame:
     ship_package(spark)
     path = shared_folder(spark, name)
@@ -94,8 +95,39 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "filename").agg(F.max_by("status", "batch_id").alias("status"))
 
 
+#: Of the streams whose rows arrive out of order: runs, the longest delay of a row, and a time after all rows.
+RUNS, DELAY = 3, "2 days"
+AFTER_ALL = "2100-01-01"
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, seq: str, make, name: str, delayed: bool = True, closing: DataFrame | None = None, no_data: bool = True) -> DataFrame:
+    """What a stream gives whose rows arrive up to DELAY after their time, in RUNS runs that each go on from the checkpoint of the one before.
+
+    closing: rows of a last run, which move the watermark past all others.
+    """
+    ship_package(spark)
+    path = shared_folder(spark, name)
+    timed = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    delay = F.pmod(F.xxhash64(seq), F.lit(2 * 86_400_000_000)) if delayed else F.lit(0)
+    come = timed.withColumn("__at", F.unix_micros("ts") + delay)
+    first, last = come.agg(F.min("__at"), F.max("__at")).first()
+    run = F.least(F.floor((F.col("__at") - F.lit(first)) * RUNS / F.lit(last - first + 1 if last is not None else 1)), F.lit(RUNS - 1))
+    parts = [come.filter(run == i).drop("__at") for i in range(RUNS)] + ([closing] if closing is not None else [])
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = make(spark.readStream.schema(timed.schema).parquet(f"{path}/in"))
+        jobs.run_available(stream, jobs.to_folder(f"{path}/out"), f"{path}/checkpoint", no_data=no_data)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out/batch_id=*")
+
+
+def _end(rows: DataFrame, **values) -> DataFrame:
+    """One row in the shape of rows at AFTER_ALL."""
+    return rows.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast("timestamp" if f.name == "ts" else f.dataType).alias(f.name) for f in rows.schema.fields])
+
+
 def stream_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _collected(spark, jobs.stream_admission(_file_events(spark, sf_dir)), "admission")
+    events = v.file_events(spark, sf_dir).select("event_id", "ts", "user_id", "filename", "kind")
+    return _arriving(spark, events, "event_id", lambda rows: jobs.stream_admission(rows, DELAY), "admission", closing=_end(events, ts=AFTER_ALL, event_id=0))
 
 
 def stream_rate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,28 +158,64 @@ def stream_grant_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _collected(spark, joined, "grants").withColumn("issued_at", F.col("issued_at").cast("timestamp_ntz"))
 
 
+def stream_grant_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses and grants in one table of arrivals, read as two streams."""
+    used = v.uses(spark, sf_dir).select("subject", "scope", "ts", "event_id", F.lit(None).cast("timestamp").alias("expires_at"))
+    given = v.grants(spark, sf_dir).select("subject", "scope", F.col("issued_at").alias("ts"), F.lit(None).cast("long").alias("event_id"), F.col("expires_at").cast("timestamp").alias("expires_at"))
+    line = used.unionByName(given)
+
+    def outcomes(rows: DataFrame) -> DataFrame:
+        uses = rows.filter("event_id is not null").select("event_id", "subject", "scope", "ts")
+        return jobs.stream_grant_outcomes(uses, rows.filter("event_id is null").withColumnRenamed("ts", "issued_at"), DELAY)
+
+    return _arriving(spark, line, "event_id", outcomes, "grant_outcomes", closing=_end(line, ts=AFTER_ALL, expires_at=AFTER_ALL))
+
+
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the batch query; requests arrive in order."""
+    rules = spark.createDataFrame([("click", 1, 86400), ("signup", 2, 7200)], "endpoint string, max_requests int, window_s long")
+    return _arriving(spark, v.requests(spark, sf_dir), "event_id", lambda rows: jobs.stream_rate_limit(rows, rules), "rate_limit", delayed=False, no_data=False)
+
+
 def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _staged(spark, v.status_log(spark, sf_dir), "status_log")
-    return _collected(spark, jobs.stream_transitions(log), "transitions")
+    log = v.status_log(spark, sf_dir)
+    return _arriving(spark, log, "seq", lambda rows: jobs.stream_transitions(rows, DELAY), "transitions", closing=_end(log, ts=AFTER_ALL, seq=0))
 
 
 def stream_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in RUNS runs, those of most documents spread over all of them."""
     ship_package(spark)
     path = shared_folder(spark, "conversion")
-    pages = _staged(spark, v.doc_pages(spark, sf_dir), "doc_pages")
-    jobs.stream_conversion(pages, path, f"{path}/checkpoint")
+    pages = v.doc_pages(spark, sf_dir)
+    for i in range(RUNS):
+        pages.filter(F.pmod(F.xxhash64("doc_id", "page"), F.lit(RUNS)) == i).write.mode("append").parquet(f"{path}/in")
+        jobs.stream_conversion(spark.readStream.schema(pages.schema).parquet(f"{path}/in"), path, f"{path}/checkpoint")
     return jobs.converted(spark, path)[0].select("doc_id", "seq", "page", "kind", "text")
 
 
-def stream_task_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks of the event log; an uploaded file holds the pages of the conversation that has its user's number."""
+def _task_conversion(spark: SparkSession, sf_dir: str) -> str:
+    """Tasks of the event log; an uploaded file holds the pages of the conversation that has its user's number. Files are stored, and found by listing."""
     ship_package(spark)
     path = shared_folder(spark, "task_conversion")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
-    bodies = v.doc_pages(spark, sf_dir).groupBy(F.col("doc_id").cast("string").alias("user_id")).agg(F.encode(F.array_join(ordered, "\f"), "UTF-8").alias("content"))
-    files = v.uploads(spark, sf_dir).select("user_id", "filename").distinct().join(bodies, "user_id")
-    jobs.stream_task_conversion(_staged(spark, v.tasks_raw(spark, sf_dir), "tasks_raw"), files, path, f"{path}/checkpoint")
-    return jobs.converted(spark, path, ("user_id", "filename"))[1].select("user_id", "filename", "status", "pages")
+    bodies = v.doc_pages(spark, sf_dir).groupBy(F.col("doc_id").cast("string").alias("user_id")).agg(F.array_join(ordered, "\f").alias("text"))
+    stored = v.uploads(spark, sf_dir).select("user_id", "filename").distinct().join(bodies, "user_id")
+    stored.select(F.col("user_id").alias("u"), F.col("filename").alias("f"), "text").write.partitionBy("u", "f").text(f"{path}/store")
+    listed = files.list_paths(spark, f"{path}/store").filter(F.endswith("path", F.lit(".txt")))
+    catalog = listed.select(F.regexp_extract("path", "/u=([^/]*)/", 1).alias("user_id"), F.regexp_extract("path", "/f=([^/]*)/", 1).alias("filename"), "path")
+    jobs.stream_task_conversion(_staged(spark, v.tasks_raw(spark, sf_dir), "tasks_raw"), catalog, path, f"{path}/checkpoint", seq="event_id")
+    return path
+
+
+def stream_task_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.converted(spark, _task_conversion(spark, sf_dir), ("user_id", "filename"))[1].select("user_id", "filename", "status", "pages")
+
+
+def stream_task_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows for the status log; place is their order by ts and seq, the log's own order, in each file."""
+    log = spark.read.parquet(f"{_task_conversion(spark, sf_dir)}/status")
+    place = F.row_number().over(Window.partitionBy("user_id", "filename").orderBy("ts", "seq"))
+    return log.select("user_id", "filename", "status", "seq", place.alias("place"))
 
 
 def stream_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,5 +244,5 @@ def task_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (stream_task_conversion, stream_timeouts, stream_histogram_windows, dedup_uploads, task_queue, stream_tasks, stream_status, stream_admission, stream_rate_counts, stream_histogram, stream_grant_join, stream_transitions, stream_conversion)
+    found = (stream_task_conversion, stream_task_status, stream_grant_outcomes, stream_rate_limit, stream_timeouts, stream_histogram_windows, dedup_uploads, task_queue, stream_tasks, stream_status, stream_admission, stream_rate_counts, stream_histogram, stream_grant_join, stream_transitions, stream_conversion)
     return {f.__name__: f for f in found}

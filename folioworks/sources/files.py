@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.functions.text import full_strip
@@ -30,6 +32,24 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     return _named(listed, root).select("user_id", "filename", "size", "last_modified")
 
 
+def list_paths(spark: SparkSession, root: str) -> DataFrame:
+    """user_id, filename, path of all files below root; their content is not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("path").alias("own"))
+    return _named(found, root).select("user_id", "filename", F.col("own").alias("path"))
+
+
+def load_contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, content of these files and no others; signs that mean a pattern stand for themselves."""
+    exact = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]
+    return spark.read.format("binaryFile").load(exact).select("path", "content")
+
+
+def same_path(a: Column, b: Column) -> Column:
+    """Whether two spellings of a file's path are one: with or without the slashes of an empty authority."""
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    return plain(a) == plain(b)
+
+
 def read_status(spark: SparkSession, root: str) -> DataFrame:
     """user_id, filename, status from the status files beside documents, without the white space around it."""
     found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.status").text(root)
