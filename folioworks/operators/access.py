@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioworks.operators import slices
 
-def grant_validity_join(uses: DataFrame, grants: DataFrame) -> DataFrame:
+
+def grant_validity_join(uses: DataFrame, grants: DataFrame, slice_s: int = slices.DAY_S) -> DataFrame:
     """event_id, outcome: valid, expired, wrong_scope or none.
 
     A use is valid under a grant of its subject and scope that was issued by then and has not expired. Uses and grants
-    are laid out on one time line by subject, so each use looks back at running maxima of expiry; nothing is paired, and
-    a subject with many grants and uses costs no more than a sort.
+    are laid out on one time line by subject and scope, so each use looks back at running maxima of expiry and nothing is
+    paired. The line is cut into slices of slice_s seconds, so a subject with very many rows spreads over tasks.
     """
     line = uses.select("subject", "scope", "ts", "event_id", F.lit(1).alias("is_use"), F.lit(None).cast("timestamp_ntz").alias("until"))
     given = grants.select("subject", "scope", F.col("issued_at").alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(0).alias("is_use"), F.col("expires_at").alias("until"))
-    every = line.unionByName(given)
-    own = Window.partitionBy("subject", "scope").orderBy("ts", "is_use").rowsBetween(Window.unboundedPreceding, 0)
-    scoped = every.withColumn("scope_until", F.max("until").over(own)).filter("is_use = 1")
-    first = grants.groupBy("subject").agg(F.min("issued_at").alias("first_issue"))
-    other = F.col("first_issue") <= F.col("ts")
-    outcome = F.when(F.col("ts") < F.col("scope_until"), "valid").when(F.col("scope_until").isNotNull(), "expired").when(other, "wrong_scope").otherwise("none")
-    return scoped.join(first, "subject", "left").select("event_id", outcome.alias("outcome"))
+    every, marks = slices.sliced(line.unionByName(given), ("subject", "scope"), "ts", slice_s)
+    own = slices.within(marks, "ts", "is_use").rowsBetween(Window.unboundedPreceding, 0)
+    here = every.withColumn("until_here", F.max("until").over(own)).filter("is_use = 1").select("event_id", "ts", "until_here", *marks, slices.SLICE)
+    sums = every.groupBy(*marks, slices.SLICE).agg(F.max("until").alias("until"), F.min(F.when(F.col("is_use") == 0, F.col("ts"))).alias("issued"))
+    of_subject = Window.partitionBy(marks[0])
+    before = sums.withColumns({"until_before": F.max("until").over(slices.earlier(marks)), "first_issue": F.min("issued").over(of_subject)}).drop("until", "issued")
+    until = F.greatest("until_here", "until_before")
+    outcome = F.when(F.col("ts") < until, "valid").when(until.isNotNull(), "expired").when(F.col("first_issue") <= F.col("ts"), "wrong_scope").otherwise("none")
+    return here.join(before, [*marks, slices.SLICE]).select("event_id", outcome.alias("outcome"))
 
 
 def rate_limit(requests: DataFrame, rules: DataFrame) -> DataFrame:

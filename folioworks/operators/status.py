@@ -5,26 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioworks.operators import slices
+
 OPEN = ("processing", "pending")
 KEY = ("user_id", "filename")
 TIME_LIMIT_S = 600
 
 
-def admit(events: DataFrame) -> DataFrame:
+def admit(events: DataFrame, slice_s: int = slices.DAY_S) -> DataFrame:
     """events: event_id, ts, user_id, filename, kind. Adds present, status (both before the event), code and sets.
 
     A conversion of a missing file is 404, of one in process 409, else 200 and sets processing; uploads and deletes set
-    pending, done and failed set themselves, also where the file is gone. Two running windows share one sort.
+    pending, done and failed set themselves, also where the file is gone. Two running windows share one sort. They run in
+    slices of slice_s seconds, for both answers to whether the file was there when the slice began; a row for each slice
+    then says which one holds.
     """
-    before = Window.partitionBy(*KEY).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows, marks = slices.sliced(events, KEY, "ts", slice_s)
+    before = slices.within(marks, "ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     kind = F.col("kind")
-    life = F.last(F.when(kind.isin("upload", "delete"), kind), ignorenulls=True).over(before)
-    present = events.withColumn("present", F.coalesce(life == "upload", F.lit(False)))
-    would = F.when(kind.isin("upload", "delete"), "pending").when((kind == "convert") & F.col("present"), "processing").when(kind.isin("done", "failed"), kind)
-    held = present.withColumn("would", would)
-    held = held.withColumn("status", F.coalesce(F.last("would", ignorenulls=True).over(before), F.lit("pending")))
+    life = F.when(kind.isin("upload", "delete"), kind)
+
+    def would(present: Column) -> Column:
+        return F.when(kind.isin("upload", "delete"), "pending").when((kind == "convert") & present, "processing").when(kind.isin("done", "failed"), kind)
+
+    here = rows.withColumn("__life", F.last(life, ignorenulls=True).over(before))
+    there = F.col("__life") == "upload"
+    here = here.withColumns({"__with": would(F.coalesce(there, F.lit(True))), "__without": would(F.coalesce(there, F.lit(False)))})
+    here = here.withColumns({f"__last{c}": F.last(c, ignorenulls=True).over(before) for c in ("__with", "__without")})
+
+    order = ("ts", "event_id")
+    sums = here.groupBy(*marks, slices.SLICE).agg(slices.last_of(life, *order).alias("__ends"), *[slices.last_of(F.col(c), *order).alias(f"__end{c}") for c in ("__with", "__without")])
+    came = sums.withColumn("__came", F.coalesce(F.last("__ends", ignorenulls=True).over(slices.earlier(marks)) == "upload", F.lit(False)))
+    ended = came.withColumn("__ended", F.when(F.col("__came"), F.col("__end__with")).otherwise(F.col("__end__without")))
+    entry = ended.select(*marks, slices.SLICE, "__came", F.last("__ended", ignorenulls=True).over(slices.earlier(marks)).alias("__held"))
+
+    both = here.join(entry, [*marks, slices.SLICE]).withColumn("present", F.coalesce(there, F.col("__came")))
+    both = both.withColumn("status", F.coalesce(F.when(F.col("__came"), F.col("__last__with")).otherwise(F.col("__last__without")), F.col("__held"), F.lit("pending")))
     code = F.when(kind != "convert", F.lit(None)).when(~F.col("present"), 404).when(F.col("status") == "processing", 409).otherwise(200)
-    return held.withColumn("code", code).withColumn("sets", F.when((kind == "convert") & (F.col("code") != 200), F.lit(None)).otherwise(F.col("would"))).drop("would")
+    coded = both.withColumn("code", code)
+    sets = F.when((kind == "convert") & (F.col("code") != 200), F.lit(None)).otherwise(would(F.col("present")))
+    return coded.select(*events.columns, "present", "status", "code", sets.alias("sets"))
 
 
 def conversion_admission(events: DataFrame) -> DataFrame:

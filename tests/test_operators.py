@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from contextlib import contextmanager
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -208,6 +209,49 @@ def test_plans(spark):
     one = plan(catalog.scope_to_user(views.files_docs(spark, SF_DIR), "src0"))
     assert "EqualTo(source,src0)" in one and "text" not in one.split("ReadSchema")[1].split("\n")[0]
     admitted = plan(status.conversion_admission(views.file_events(spark, SF_DIR)))
-    assert admitted.count(") Exchange") == 1  # both running windows share one sort
+    assert admitted.count(") Exchange") == 3  # both windows of a slice share one sort; the sums of slices take the same rows, then their own
     for df in (catalog.dashboard_stats(views.files_docs(spark, SF_DIR)), status.latest_status(views.status_log(spark, SF_DIR))):
         assert "Python" not in plan(df) and "Pandas" not in plan(df)
+
+
+@contextmanager
+def plain_tasks(spark):
+    """Tasks as they are dealt, none merged or split at run time."""
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def tasks_of(df) -> list[int]:
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+
+
+def test_a_hot_subject_and_a_hot_file_spread_over_tasks(spark):
+    """A third of all rows have one key; its slices go to many tasks, and the results are those of one slice for all time."""
+    n = 6000
+    hot = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 997))
+    ts = (F.lit(at(0)).cast("timestamp") + F.make_dt_interval(mins=F.xxhash64("id") % 60_000)).cast("timestamp_ntz")
+    scope = F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("a"), F.col("id") % 2))
+    uses = spark.range(n).select(hot.alias("subject"), scope.alias("scope"), ts.alias("ts"), F.col("id").alias("event_id"))
+    given = spark.range(n, n + 600).select(hot.alias("subject"), scope.alias("scope"), ts.alias("issued_at"), (ts + F.make_dt_interval(hours=F.col("id") % 70)).alias("expires_at"))
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("upload", "convert", "convert", "done", "failed", "delete", "none")]), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(7)) + 1).cast("int"))
+    events = spark.range(n).select(F.col("id").alias("event_id"), ts.alias("ts"), F.when(F.col("id") % 7 != 3, hot).alias("user_id"), F.lit("f").alias("filename"), kinds.alias("kind"))
+    for run in (lambda **how: access.grant_validity_join(uses, given, **how), lambda **how: status.admit(events, **how)):
+        with plain_tasks(spark):
+            sizes = tasks_of(run())
+            assert sizes[-1] <= 2 * sizes[len(sizes) // 2] and len(sizes) >= 10
+            assert tasks_of(run(slice_s=10**9))[-1] > n / 4  # one slice: one task
+        everything = lambda df: sorted(map(str, df.collect()))
+        assert everything(run()) == everything(run(slice_s=10**9)) == everything(run(slice_s=3600))
+
+
+def test_null_keys_are_keys_of_their_own(spark):
+    uses = spark.createDataFrame([(None, None, at(5), 1), ("", "", at(5), 2), (None, "a", at(5), 3)], "subject string, scope string, ts timestamp_ntz, event_id long")
+    given = spark.createDataFrame([(None, None, at(0), at(10))], "subject string, scope string, issued_at timestamp_ntz, expires_at timestamp_ntz")
+    assert values(access.grant_validity_join(uses, given), "event_id", "outcome") == [(1, "valid"), (2, "none"), (3, "wrong_scope")]
