@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -79,6 +80,23 @@ SENTENCES = {
 }
 
 
+NATURAL = (
+    "This library is free software; you can redistribute it and modify it under the terms of the licence as published by the foundation, either version two of the licence or, at your "
+    "option, any later version. The library is distributed in the hope that it will be useful, but without any warranty, without even the implied warranty of fitness for a particular "
+    "purpose. You should have received a copy of the licence along with this library; if not, write to the address that is given at the end of the file."
+)
+
+
+def test_ordinary_english_is_kept(docs_of):
+    texts = {1: NATURAL}
+    for i, name in enumerate(("LGPL-2", "LGPL-2.1", "LGPL-3", "GPL-2", "GPL-3", "Apache-2.0", "MPL-2.0")):
+        path = Path("/usr/share/common-licenses") / name
+        if path.exists():
+            texts[2 + i] = path.read_text()
+    got = fertility.fertility_rules(docs_of(list(texts.items())), public_tokenizers.path(fertility.RANKS), public_tokenizers.path(fertility.PIECES)).collect()
+    assert [r["doc_id"] for r in got if not r["kept"]] == []
+
+
 @pytest.mark.parametrize("script", sorted(SENTENCES))
 def test_bands_of_scripts(script):
     from folioworks.llm.vocab import word_ids
