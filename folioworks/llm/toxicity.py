@@ -13,9 +13,10 @@ uncut line.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
@@ -201,8 +202,34 @@ class SpanModel:
         return float(_sigmoid(np.array(self.slope * np.log1p(self.expected(marginals)) + self.level)))
 
 
-def _offending(docs: list[tuple[list[bytes], int]], support: int, precision: float) -> set[bytes]:
-    """Words that, or beginnings of which, stand in many surroundings of toxic documents and hardly in others."""
+def _expected_rates(docs: list[tuple[list[bytes], int]], common: int = 300) -> list[float]:
+    """For each document the share of toxic ones that its surrounding vocabulary leads to expect.
+
+    The words that stand in most documents tell which language and kind of text a document is, not whether it offends: the
+    mean over those of its words of their share of toxic documents is what a word without meaning would have there.
+    """
+    held, toxic = Counter(), Counter()
+    for words, label in docs:
+        own = set(words)
+        held.update(own)
+        if label:
+            toxic.update(own)
+    whole = sum(label for _, label in docs) / max(len(docs), 1)
+    share = {w: (toxic[w] + whole) / (n + 1) for w, n in sorted(held.items(), key=lambda x: (-x[1], x[0]))[:common]}
+    rates = []
+    for words, _ in docs:
+        found = [share[w] for w in sorted(set(words) & share.keys())]
+        rates.append(min(max(sum(found) / len(found) if found else whole, 0.02), 0.9))
+    return rates
+
+
+def _offending(docs: list[tuple[list[bytes], int]], support: int, precision: float, odds: float) -> set[bytes]:
+    """Words that, or beginnings of which, stand in many surroundings of toxic documents and hardly in others.
+
+    How many are many follows from the rates that these documents lead to expect: that all of a form's surroundings are toxic
+    by chance must be less likely than exp(-odds) over the number of forms. Where toxic documents are rare, few say as
+    much as many where they are not.
+    """
     def forms(word: bytes) -> list[bytes]:
         return [f for f in _features(word) if f[:1] in b"wp"]
 
@@ -229,13 +256,18 @@ def _offending(docs: list[tuple[list[bytes], int]], support: int, precision: flo
             for f in {f for w in set(words) for f in told(w)}:
                 clean[f] += 1
     telling = {f for f, n in often.items() if n >= precision * (n + clean[f])}
-    around: dict[bytes, dict[tuple, int]] = defaultdict(dict)
-    for words, label in docs:
+    around: dict[bytes, dict[tuple, tuple[int, float]]] = defaultdict(dict)
+    for (words, label), rate in zip(docs, _expected_rates(docs), strict=True):
         for word, i in {w: i for i, w in enumerate(words)}.items():
             for f in told(word):
                 if f in telling:
-                    around[f].setdefault((words[i - 1] if i else b"", words[i + 1] if i + 1 < len(words) else b""), label)
-    seeds = {f for f, seen in around.items() if sum(seen.values()) >= max(support, precision * len(seen))}
+                    around[f].setdefault((words[i - 1] if i else b"", words[i + 1] if i + 1 < len(words) else b""), (label, -math.log(rate)))
+    need = odds + math.log(max(len(often), 1))
+    seeds = set()
+    for f, seen in around.items():
+        toxic = [x for label, x in seen.values() if label]
+        if len(toxic) >= max(support, precision * len(seen)) and sum(toxic) >= need:
+            seeds.add(f)
     return {word for word, found in known.items() if not seeds.isdisjoint(found)}
 
 
@@ -249,7 +281,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[floa
     return float(w[0]), float(w[1])
 
 
-def train(texts: list[tuple[str, int]], support: int = 10, precision: float = 0.95, rounds: int = 30, penalty: float = 2e-4, clean_lines: int = 6_000) -> SpanModel:
+def train(texts: list[tuple[str, int]], support: int = 4, precision: float = 0.95, odds: float = 0.0, rounds: int = 30, penalty: float = 2e-4, clean_lines: int = 6_000) -> SpanModel:
     """texts: whole texts with label 1 (toxic) or 0. Without both labels the model gives every text the same score.
 
     Runs on the driver over the bounded sample: all lines with a marked word, and of the others clean_lines at most (in
@@ -261,7 +293,7 @@ def train(texts: list[tuple[str, int]], support: int = 10, precision: float = 0.
         return model
     same: dict[bytes, bytes] = {}
     lines = [[[same.setdefault(w, w) for w in line] for line in _chains(t.encode())] for t, _ in texts]
-    marked = _offending([([w for line in doc for w in line], int(y)) for doc, (_, y) in zip(lines, texts, strict=True)], support, precision)
+    marked = _offending([([w for line in doc for w in line], int(y)) for doc, (_, y) in zip(lines, texts, strict=True)], support, precision, odds)
     # Every line with a mark, and clean lines in order of a hash of their content, up to a bound.
     rows, rest = [], []
     for doc, (_, y) in zip(lines, texts, strict=True):
