@@ -14,6 +14,7 @@ uncut line.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, training_texts
+from .labelled import distinct_texts, held_out, training_rows
 from .scratch import sliced
 
 BUCKETS = 1 << 18
@@ -284,7 +285,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[floa
 def train(texts: list[tuple[str, int]], support: int = 4, precision: float = 0.95, odds: float = 0.0, rounds: int = 30, penalty: float = 2e-4, clean_lines: int = 6_000) -> SpanModel:
     """texts: whole texts with label 1 (toxic) or 0. Without both labels the model gives every text the same score.
 
-    Runs on the driver over the bounded sample: all lines with a marked word, and of the others clean_lines at most (in
+    Runs in one place over the bounded sample: all lines with a marked word, and of the others clean_lines at most (in
     order of a hash of their words), which bounds the clean lines that the chain is fitted to; scores use all lines.
     """
     labels = np.array([y for _, y in texts], float)
@@ -367,8 +368,18 @@ def toxicity(docs: DataFrame, model: SpanModel, least: float = 0.5, id_col: str
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, **how) -> SpanModel:
-    """Train on at most toxic_docs and clean_docs labelled documents outside the held-out fold."""
-    return train(training_texts(docs, labels, "toxic", {1: toxic_docs, 0: clean_docs}), **how)
+    """Train on at most toxic_docs and clean_docs labelled documents outside the held-out fold.
+
+    The bounded sample goes to one task, which sends back the model: the driver holds no texts.
+    """
+    rows = training_rows(docs, labels, "toxic", {1: toxic_docs, 0: clean_docs})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(distinct_texts(given), **how))], pa.binary())], names=["model"])
+
+    made = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else train([], **how)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
