@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -90,6 +90,61 @@ def apply_user_changes(changes: DataFrame) -> DataFrame:
     )
 
 
+ACCOUNT_BUCKETS = 64
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("email"), F.lit(buckets)).cast("int")
+
+
+def write_accounts(changes: DataFrame, path: str, buckets: int = ACCOUNT_BUCKETS) -> None:
+    """The accounts of a whole change log as a table of buckets by e-mail, with the time of each value, so that later changes can be laid on it."""
+    _by_bucket(_account_state(changes), path, buckets)
+
+
+def merge_accounts(spark: SparkSession, changes: DataFrame, path: str, buckets: int = ACCOUNT_BUCKETS) -> None:
+    """Lay new changes on the table at path: only buckets with a changed e-mail are read and written anew.
+
+    What comes out is what write_accounts makes of all changes, in whatever order and batches they come; changes that
+    were merged before do no harm. The buckets of the batch (buckets at most) go through the driver. The merged rows are written
+    beside the table first, as a bucket can't be read while it is overwritten.
+    """
+    new = _account_state(changes).withColumn("bucket", _bucket(buckets))
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    stored = spark.read.parquet(path)
+    old = stored.filter(F.col("bucket").isin(touched)).select(*new.columns)
+    merged = old.unionByName(new).groupBy("email").agg(
+        F.min("first_seq").alias("first_seq"),
+        *[F.max(c).alias(c) for c in ("name_at", "password_at")],
+        F.bool_or("email_verified").alias("email_verified"),
+    )
+    aside = f"{path.rstrip('/')}.merge"
+    merged.write.mode("overwrite").parquet(aside)
+    _by_bucket(spark.read.schema(merged.schema).parquet(aside), path, buckets)
+
+
+def read_accounts(spark: SparkSession, path: str) -> DataFrame:
+    """The table in the shape of apply_user_changes."""
+    return spark.read.parquet(path).select("email", "first_seq", F.col("name_at.value").alias("name"), F.col("password_at.value").alias("hashed_password"), "email_verified")
+
+
+def _account_state(changes: DataFrame) -> DataFrame:
+    def last(column: str) -> Column:
+        return F.max(F.when(F.col(column).isNotNull(), F.struct("ts", "seq", F.col(column).alias("value"))))
+
+    return changes.groupBy("email").agg(
+        F.min("seq").alias("first_seq"), last("name").alias("name_at"), last("hashed_password").alias("password_at"), F.bool_or(F.col("op").isin("verify", "oauth")).alias("email_verified")
+    )
+
+
+def _by_bucket(accounts: DataFrame, path: str, buckets: int) -> None:
+    """Overwrites the buckets that accounts have, and no others."""
+    dealt = accounts.withColumn("bucket", _bucket(buckets)).repartition("bucket")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def conform_schema(rows: DataFrame, target: StructType) -> DataFrame:
     """Columns of target in order and type: others are dropped, missing ones are null."""
     have = set(rows.columns)

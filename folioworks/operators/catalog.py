@@ -86,8 +86,8 @@ def convertible(files: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def match_outputs(files: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Each file with its result, paired by stem; null where there is none."""
-    results = outputs.select("user_id", output_stem(F.col("filename")).alias("stem"), F.col("filename").alias("output"))
+    """Each file with its result, paired by stem; null where there is none. Of several results of a stem the smallest name counts, so files never multiply."""
+    results = outputs.groupBy("user_id", output_stem(F.col("filename")).alias("stem")).agg(F.min("filename").alias("output"))
     return files.withColumn("stem", output_stem(F.col("filename"))).join(results, ["user_id", "stem"], "left")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -368,6 +369,48 @@ def scan_files(spark, sf_dir):
     return listed.select("user_id", F.regexp_extract("filename", "doc_id=([^/]*)/", 1).alias("doc"), "size")
 
 
+@_query("SELECT user_id, filename, status FROM latest", ("latest",))
+def write_status(spark, sf_dir):
+    """The log written in three appends, and its latest status read back."""
+    path, log = shared_folder(spark, "status_log"), v.status_log(spark, sf_dir)
+    for i in range(3):
+        status.write_status(log.filter(F.col("seq") % 3 == i), path)
+    return status.latest_status(spark.read.parquet(path)).select("user_id", "filename", "status")
+
+
+@_query("SELECT user_id, filename, status FROM latest", ("latest",))
+def read_status(spark, sf_dir):
+    """Status files beside documents, a folder for each file, with white space around the text. Spark's writers end names in three letters."""
+    path, latest = shared_folder(spark, "sidecars"), status.latest_status(v.status_log(spark, sf_dir))
+    text = F.concat(F.lit("  "), "status", F.lit(" "))
+    latest.select("user_id", "filename", text.alias("text")).write.partitionBy("user_id", "filename").option("extension", "sta").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    read = files.read_status(spark, path, ".sta")
+    return read.select(F.regexp_extract("user_id", "=(.*)", 1).alias("user_id"), F.regexp_extract("filename", "filename=([^/]*)/", 1).alias("filename"), "status")
+
+
+@_query("SELECT doc_id, page, coalesce(text, '') AS text FROM doc_pages", ("doc_pages",))
+def load_pdf_bytes(spark, sf_dir):
+    """From files to bytes to pages: each conversation is a file with its pages in base64, which the splitter takes apart."""
+    ship_package(spark)
+    path = shared_folder(spark, "pdfs")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    body = F.base64(F.encode(F.array_join(ordered, "\f"), "UTF-8"))
+    v.doc_pages(spark, sf_dir).groupBy("doc_id").agg(F.regexp_replace(body, r"\s", "").alias("body")).write.partitionBy("doc_id").option("extension", "pdf").csv(path)
+    pages = convert.pdf_to_pages(files.load_pdf_bytes(spark, path), lambda: lambda content: base64.b64decode(content).decode().split("\f"))
+    return pages.select(F.regexp_extract("user_id", "=(.*)", 1).cast("long").alias("doc_id"), "page", "text")
+
+
+@_query("""SELECT lang, 'sources.' || source || '.' || k AS key, CASE k WHEN 'count' THEN n::VARCHAR ELSE longest::VARCHAR END AS value
+FROM (SELECT lang, source, count(*) AS n, max(n_chars) AS longest FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL), (VALUES ('count'), ('longest')) AS t(k)""")
+def load_labels(spark, sf_dir):
+    """A nested file for each language, made of its documents' sources; all are read in one scan."""
+    path = shared_folder(spark, "locales")
+    facts = v.table(spark, sf_dir, "documents").filter("lang is not null and source is not null").groupBy("lang", "source").agg(F.count("*").alias("count"), F.max("n_chars").alias("longest"))
+    inner = F.map_from_entries(F.collect_list(F.struct("source", F.struct("count", "longest"))))
+    facts.groupBy("lang").agg(F.to_json(F.struct(inner.alias("sources"))).alias("text")).write.partitionBy("lang").text(path)
+    return tables.load_labels(spark, path, F.regexp_extract("path", "lang=([^/]*)/", 1))
+
+
 # Metrics
 
 
@@ -478,6 +521,17 @@ def apply_user_changes(spark, sf_dir):
     return accounts.apply_user_changes(v.user_changes(spark, sf_dir))
 
 
+@_query("""SELECT email, min(seq) AS first_seq, arg_max(name, (ts, seq)) FILTER (name IS NOT NULL) AS name,
+arg_max(hashed_password, (ts, seq)) FILTER (hashed_password IS NOT NULL) AS hashed_password, bool_or(op IN ('verify', 'oauth')) AS email_verified
+FROM user_changes GROUP BY email""", ("user_changes",))
+def merge_accounts(spark, sf_dir):
+    """A table of the changes until a day, then the others laid on it."""
+    path, changes = shared_folder(spark, "accounts"), v.user_changes(spark, sf_dir)
+    accounts.write_accounts(changes.filter(F.col("ts") < _at(AS_OF)), path)
+    accounts.merge_accounts(spark, changes.filter(F.col("ts") >= _at(AS_OF)), path)
+    return accounts.read_accounts(spark, path)
+
+
 @_query("SELECT id::BIGINT AS id, email, NULL::VARCHAR AS phone, email_verified FROM users", ("users",))
 def conform_schema(spark, sf_dir):
     from pyspark.sql.types import StructType

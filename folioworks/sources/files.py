@@ -26,7 +26,7 @@ def _named(rows: DataFrame, root: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """user_id, filename, size, last_modified of all files below root; their content is not read."""
+    """user_id, filename, size, last_modified of all files below root that have bytes; their content is not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     listed = found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
     return _named(listed, root).select("user_id", "filename", "size", "last_modified")
@@ -50,11 +50,12 @@ def same_path(a: Column, b: Column) -> Column:
     return plain(a) == plain(b)
 
 
-def read_status(spark: SparkSession, root: str) -> DataFrame:
-    """user_id, filename, status from the status files beside documents, without the white space around it."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.status").text(root)
-    rows = _named(found.select(F.col("_metadata.file_path").alias("path"), "value"), root)
-    return rows.select("user_id", F.regexp_replace("filename", r"\.status\z", "").alias("filename"), full_strip(F.col("value")).alias("status"))
+def read_status(spark: SparkSession, root: str, ending: str = ".status") -> DataFrame:
+    """user_id, filename, status from the status files beside documents, without the white space around it. Spark sees no file without bytes: its status is none."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ending}").load(root)
+    rows = _named(found.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("value")), root)
+    bare = F.expr(f"left(filename, length(filename) - {len(ending)})")
+    return rows.select("user_id", bare.alias("filename"), full_strip(F.col("value")).alias("status"))
 
 
 def load_pdf_bytes(spark: SparkSession, root: str, most_bytes: int = 50 * 1024 * 1024) -> DataFrame:

@@ -255,3 +255,25 @@ def test_null_keys_are_keys_of_their_own(spark):
     uses = spark.createDataFrame([(None, None, at(5), 1), ("", "", at(5), 2), (None, "a", at(5), 3)], "subject string, scope string, ts timestamp_ntz, event_id long")
     given = spark.createDataFrame([(None, None, at(0), at(10))], "subject string, scope string, issued_at timestamp_ntz, expires_at timestamp_ntz")
     assert values(access.grant_validity_join(uses, given), "event_id", "outcome") == [(1, "valid"), (2, "none"), (3, "wrong_scope")]
+
+
+def test_merged_accounts_equal_the_whole_log(spark, tmp_path):
+    """Only the buckets of changed e-mails are written anew; order of batches and repeats do not matter."""
+    schema = "seq long, ts timestamp_ntz, op string, email string, name string, hashed_password string"
+    rows = [(i, at(i // 3), ["register", "rename", "verify", "oauth"][i % 4], f"e{i % 37}", f"n{i}" if i % 4 == 1 else None, f"h{i}" if i % 4 == 0 else None) for i in range(300)]
+    path = str(tmp_path / "accounts")
+    accounts.write_accounts(spark.createDataFrame(rows[100:200], schema), path, 16)
+    held = {p: p.stat().st_mtime_ns for p in (tmp_path / "accounts").rglob("*.parquet")}
+    accounts.merge_accounts(spark, spark.createDataFrame(rows[200:203], schema), path, 16)
+    kept = {p for p in (tmp_path / "accounts").rglob("*.parquet") if held.get(p) == p.stat().st_mtime_ns}
+    assert 1 <= len(held) - len(kept) <= 3  # three e-mails
+    for batch in (rows[203:], rows[:100], rows[50:150], []):
+        accounts.merge_accounts(spark, spark.createDataFrame(batch, schema), path, 16)
+    columns = ("email", "first_seq", "name", "hashed_password", "email_verified")
+    assert values(accounts.read_accounts(spark, path), *columns) == values(accounts.apply_user_changes(spark.createDataFrame(rows, schema)), *columns)
+
+
+def test_results_of_one_stem_do_not_multiply_files(spark):
+    some = spark.createDataFrame([("u", "a.pdf"), ("u", "b.pdf")], "user_id string, filename string")
+    results = spark.createDataFrame([("u", "a.docx"), ("u", "a.docx"), ("u", "a.doc")], "user_id string, filename string")
+    assert sorted(map(str, catalog.match_outputs(some, results).select("filename", "output").collect())) == sorted(["Row(filename='a.pdf', output='a.doc')", "Row(filename='b.pdf', output=None)"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from folioworks.operators import tasks
 from folioworks.sources import files, queue, tables
 from folioworks.streaming import jobs
@@ -48,3 +50,48 @@ def test_status_rows_are_appended(spark, tmp_path):
     for _ in range(2):
         status.write_status(row, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_labels_of_all_languages_in_one_scan(spark, tmp_path):
+    """No schema comes from one file: keys, nesting and types differ between languages; arrays, nulls and what is too deep have a defined form."""
+    (tmp_path / "locales").mkdir()
+    (tmp_path / "locales/en.json").write_text('{"a": {"b": "x", "c": {"d": "y"}}, "n": 1, "none": null, "list": ["p", "q"]}')
+    (tmp_path / "locales/ar.json").write_text('{\n "a": "سلام",\n "only.here": {"z": true}}')
+    (tmp_path / "locales/broken.json").write_text("{no json")
+    (tmp_path / "locales/empty.json").write_text("{}")
+    got = {(r["lang"], r["key"]): r["value"] for r in tables.load_labels(spark, str(tmp_path / "locales")).collect()}
+    assert got == {("en", "a.b"): "x", ("en", "a.c.d"): "y", ("en", "n"): "1", ("en", "list"): '["p","q"]', ("ar", "a"): "سلام", ("ar", "only.here.z"): "true"}
+    flat = {(r["lang"], r["key"]): r["value"] for r in tables.load_labels(spark, str(tmp_path / "locales"), depth=2).collect()}
+    assert flat["en", "a.c"] == '{"d":"y"}' and flat["en", "a.b"] == "x"
+
+
+def test_users_over_jdbc(spark):
+    """Read in parallel by a partition column; the filter goes to the database."""
+    url, driver = "jdbc:derby:memory:users;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.range(1, 41).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("u"), "id").alias("email"), F.lit("h").alias("hashed_password"), F.lit("n").alias("name"), (F.col("id") % 2 == 0).alias("email_verified"))
+    rows.write.format("jdbc").options(url=url, dbtable="users", driver=driver, createTableColumnTypes="email varchar(255), name varchar(255)").mode("overwrite").save()
+    users = tables.users_table(spark, url=url, dbtable="users", driver=driver, partitionColumn="id", lowerBound="1", upperBound="41", numPartitions="4")
+    assert sorted(r["id"] for r in users.collect()) == list(range(1, 41)) and users.rdd.getNumPartitions() == 4
+    some = users.filter("id > 30 and email_verified").select("email")
+    assert some.count() == 5
+    plan = some._jdf.queryExecution().toString()
+    assert "GreaterThan(ID,30)" in plan.replace("id", "ID") and "ReadSchema: struct<EMAIL:string" in plan.replace("email", "EMAIL")
+
+
+def test_status_endings_and_names(spark, tmp_path):
+    root = tmp_path / "store"
+    (root / "u/sub").mkdir(parents=True)
+    for name, text in [("a.status.status", "\n done\n\n"), ("sub/b c.sta", "\tfailed "), ("plain.status", "")]:
+        (root / "u" / name).write_text(text)
+    assert sorted(tuple(r) for r in files.read_status(spark, str(root)).collect()) == [("u", "a.status", "done")]
+    assert [tuple(r) for r in files.read_status(spark, str(root), ".sta").collect()] == [("u", "sub/b c", "failed")]
+
+
+def test_only_files_asked_for_are_opened(spark, tmp_path):
+    (tmp_path / "u").mkdir()
+    for name in ("a[1].pdf", "b{x}*.pdf", "c.pdf"):
+        (tmp_path / "u" / name).write_text(name)
+    listed = {r["filename"]: r["path"] for r in files.list_paths(spark, str(tmp_path)).collect()}
+    got = files.load_contents(spark, [listed["a[1].pdf"], listed["b{x}*.pdf"]])
+    assert sorted(bytes(r["content"]) for r in got.collect()) == [b"a[1].pdf", b"b{x}*.pdf"]
+    assert got.filter(files.same_path(F.col("path"), F.lit(f"file://{tmp_path}/u/a[1].pdf"))).count() == 1
