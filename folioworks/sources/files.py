@@ -38,6 +38,40 @@ def list_paths(spark: SparkSession, root: str) -> DataFrame:
     return _named(found, root).select("user_id", "filename", F.col("own").alias("path"))
 
 
+_SEEN = "user_id string, filename string, path string, size long, last_modified timestamp"
+
+
+def _versions(spark: SparkSession, manifest: str) -> list[int]:
+    """Complete versions of a manifest, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(manifest)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    marks = system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{manifest}/version=*/_SUCCESS"))
+    return sorted(int(m.getPath().getParent().getName().removeprefix("version=")) for m in marks)
+
+
+def scan_changes(spark: SparkSession, root: str, manifest: str) -> DataFrame:
+    """user_id, filename, path, size, last_modified, change: what differs between the files below root and the manifest's last version.
+
+    change is added, changed (size or time) or removed; a removed file has the size and time that it had. Every key is
+    listed, by Spark in parallel; contents are only read of what load_contents is given, so a scan after a scan opens new
+    and changed files alone. The listing is written as the manifest's next version, which is the state that the result and the
+    next scan compare with: a scan that fails before it is complete leaves the manifest as it was.
+    """
+    versions = _versions(spark, manifest)
+    now = f"{manifest}/version={versions[-1] + 1 if versions else 0}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    listed = found.select("path", F.col("path").alias("own"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
+    _named(listed, root).select("user_id", "filename", F.col("own").alias("path"), "size", "last_modified").write.mode("overwrite").parquet(now)
+    new = spark.read.schema(_SEEN).parquet(now)
+    old = spark.read.schema(_SEEN).parquet(f"{manifest}/version={versions[-1]}") if versions else new.limit(0)
+    both = new.alias("n").join(old.alias("o"), F.col("n.path") == F.col("o.path"), "full_outer")
+    same = (F.col("n.size") == F.col("o.size")) & (F.col("n.last_modified") == F.col("o.last_modified"))
+    change = F.when(F.col("o.path").isNull(), "added").when(F.col("n.path").isNull(), "removed").when(~same, "changed")
+    return both.select(*[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in new.columns], change.alias("change")).filter("change is not null")
+
+
 def load_contents(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, content of these files and no others; signs that mean a pattern stand for themselves."""
     exact = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]

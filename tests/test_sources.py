@@ -95,3 +95,27 @@ def test_only_files_asked_for_are_opened(spark, tmp_path):
     got = files.load_contents(spark, [listed["a[1].pdf"], listed["b{x}*.pdf"]])
     assert sorted(bytes(r["content"]) for r in got.collect()) == [b"a[1].pdf", b"b{x}*.pdf"]
     assert got.filter(files.same_path(F.col("path"), F.lit(f"file://{tmp_path}/u/a[1].pdf"))).count() == 1
+
+
+def test_a_second_scan_sees_only_what_differs(spark, tmp_path):
+    root, manifest = tmp_path / "store", str(tmp_path / "manifest")
+    (root / "u").mkdir(parents=True)
+    for name in ("a.pdf", "b.pdf", "c.pdf"):
+        (root / "u" / name).write_text(name)
+    scan = lambda: sorted((r["filename"], r["change"]) for r in files.scan_changes(spark, str(root), manifest).collect())
+    assert scan() == [("a.pdf", "added"), ("b.pdf", "added"), ("c.pdf", "added")]
+    assert scan() == []
+    (root / "u/b.pdf").write_text("longer than before")
+    (root / "u/c.pdf").unlink()
+    (root / "u/d [x].pdf").write_text("new")
+    (tmp_path / "manifest/version=2").mkdir()  # a scan that did not finish
+    assert scan() == [("b.pdf", "changed"), ("c.pdf", "removed"), ("d [x].pdf", "added")]
+    assert scan() == []
+
+
+def test_more_files_than_a_page_of_keys(spark, tmp_path):
+    """Object stores list a thousand keys a page; all are there."""
+    (tmp_path / "u").mkdir()
+    for i in range(1100):
+        (tmp_path / "u" / f"{i}.pdf").write_text("x")
+    assert files.scan_files(spark, str(tmp_path)).count() == 1100
