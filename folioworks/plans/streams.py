@@ -18,10 +18,13 @@ _TASK_DOCUMENTS = """, asked AS (SELECT user_id, file_id AS filename, arg_min(ev
     documents_of AS (SELECT a.user_id, a.filename, a.seq, CASE WHEN h.user_id IS NULL OR p.n IS NULL THEN 'failed' ELSE 'done' END AS status, CASE WHEN h.user_id IS NULL THEN 0 ELSE coalesce(p.n, 0) END AS pages
     FROM asked a LEFT JOIN held h ON h.user_id = a.user_id AND h.filename = a.filename LEFT JOIN pages p ON p.user_id = a.user_id)"""
 
+_TASK_ROWS = v.with_views("tasks") + """SELECT event_id, CASE WHEN damaged THEN NULL ELSE file_id END AS file_id, CASE WHEN damaged THEN NULL ELSE user_id END AS user_id,
+    CASE WHEN damaged THEN 'ocr' ELSE coalesce(mode, 'ocr') END AS mode, CASE WHEN damaged THEN 'damaged' WHEN coalesce(file_id, '') = '' THEN 'no_file'
+    WHEN coalesce(user_id, '') = '' THEN 'no_user' WHEN coalesce(mode, 'ocr') NOT IN ('ocr', 'layout') THEN 'bad_mode' END AS reason FROM tasks"""
+
 STREAM_SQL: dict[str, str] = {
-    "stream_tasks": v.with_views("tasks") + """SELECT event_id, CASE WHEN damaged THEN NULL ELSE file_id END AS file_id, CASE WHEN damaged THEN NULL ELSE user_id END AS user_id,
-        CASE WHEN damaged THEN 'ocr' ELSE coalesce(mode, 'ocr') END AS mode, CASE WHEN damaged THEN 'damaged' WHEN coalesce(file_id, '') = '' THEN 'no_file'
-        WHEN coalesce(user_id, '') = '' THEN 'no_user' WHEN coalesce(mode, 'ocr') NOT IN ('ocr', 'layout') THEN 'bad_mode' END AS reason FROM tasks""",
+    "stream_tasks": _TASK_ROWS,
+    "acknowledged_queue": _TASK_ROWS,
     "stream_status": v.with_views("latest") + "SELECT user_id, filename, status FROM latest",
     "stream_admission": v.with_views("coded") + "SELECT event_id, code FROM coded WHERE kind = 'convert'",
     "stream_rate_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, user_id::VARCHAR AS key, count(*) AS n FROM events GROUP BY ALL",
@@ -243,6 +246,18 @@ def task_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/valid").select("file_id", "user_id", "mode")
 
 
+def acknowledged_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tasks published as eight messages; one is taken in a first run, the others by a second one that goes on from there."""
+    path = shared_folder(spark, "acknowledged")
+    raw = v.tasks_raw(spark, sf_dir).select(F.to_json(F.struct("event_id", "value")).alias("value"))
+    raw.repartition(8).write.text(f"{path}/queue")
+    for run in (jobs.run_available, jobs.run_until_empty):
+        sent = queue.acknowledged_task_stream(spark, f"{path}/queue").select(F.from_json("value", "event_id long, value string").alias("task"), "ts")
+        jobs.stream_tasks(sent.select("task.*", "ts"), f"{path}/valid", f"{path}/quarantine", f"{path}/checkpoint", tasks.MODES, run)
+    good, bad = spark.read.parquet(f"{path}/valid"), spark.read.parquet(f"{path}/quarantine")
+    return good.unionByName(bad, allowMissingColumns=True).select("event_id", "file_id", "user_id", "mode", "reason")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (stream_task_conversion, stream_task_status, stream_grant_outcomes, stream_rate_limit, stream_timeouts, stream_histogram_windows, dedup_uploads, task_queue, stream_tasks, stream_status, stream_admission, stream_rate_counts, stream_histogram, stream_grant_join, stream_transitions, stream_conversion)
+    found = (stream_task_conversion, stream_task_status, stream_grant_outcomes, stream_rate_limit, stream_timeouts, stream_histogram_windows, dedup_uploads, task_queue, acknowledged_queue, stream_tasks, stream_status, stream_admission, stream_rate_counts, stream_histogram, stream_grant_join, stream_transitions, stream_conversion)
     return {f.__name__: f for f in found}

@@ -56,6 +56,15 @@ def run_available(out: DataFrame, sink, checkpoint: str, mode: str = "append", n
     query.awaitTermination()
 
 
+def run_until_empty(out: DataFrame, sink, checkpoint: str) -> None:
+    """As run_available, for sources that hand out a part of what is there at a time: batch after batch until nothing new comes."""
+    query = out.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def to_folder(path: str):
     """A sink that writes each batch to a folder named by it, so a batch that is run again replaces itself."""
 
@@ -65,7 +74,7 @@ def to_folder(path: str):
     return write
 
 
-def stream_tasks(raw: DataFrame, valid_path: str, quarantine_path: str, checkpoint: str, modes: Sequence[str] | None = None) -> None:
+def stream_tasks(raw: DataFrame, valid_path: str, quarantine_path: str, checkpoint: str, modes: Sequence[str] | None = None, run=run_available) -> None:
     """Valid tasks to one folder and the others, with their reason, to another."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -75,7 +84,7 @@ def stream_tasks(raw: DataFrame, valid_path: str, quarantine_path: str, checkpoi
         to_folder(quarantine_path)(bad, batch_id)
         checked.unpersist()
 
-    run_available(raw, write, checkpoint)
+    run(raw, write, checkpoint)
 
 
 def stream_status(log: DataFrame) -> DataFrame:

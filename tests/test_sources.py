@@ -119,3 +119,74 @@ def test_more_files_than_a_page_of_keys(spark, tmp_path):
     for i in range(1100):
         (tmp_path / "u" / f"{i}.pdf").write_text("x")
     assert files.scan_files(spark, str(tmp_path)).count() == 1100
+
+
+def batches_of(path):
+    """A sink that writes each batch's values to a file of its own, and says after how many batches to fail."""
+
+    def sink(fail_at=None):
+        def write(batch, batch_id):
+            values = sorted(r["value"] for r in batch.collect())
+            if batch_id == fail_at:
+                raise RuntimeError("lost")
+            (path / str(batch_id)).write_text("\n".join(values))
+
+        return write
+
+    return sink
+
+
+def test_acknowledged_queue_loses_and_repeats_nothing(spark, tmp_path):
+    """A message a batch; a run that fails in mid-queue, new messages meanwhile, one with the name of an acknowledged one."""
+    import os
+
+    import pytest
+
+    from folioworks.sources import acked
+
+    root, out = tmp_path / "q", tmp_path / "out"
+    root.mkdir()
+    out.mkdir()
+    sink = batches_of(out)
+
+    def publish(name, text, age):
+        (root / name).write_text(text)
+        os.utime(root / name, (1_700_000_000 + age, 1_700_000_000 + age))
+
+    for name, age in [("c", 1), ("a", 2), ("b", 3)]:
+        publish(name, f"{name}1\n{name}2\n", age)
+    (root / "_hidden").write_text("no message")
+    run = lambda fail_at=None: jobs.run_until_empty(queue.acknowledged_task_stream(spark, str(root)), sink(fail_at), str(tmp_path / "check"))
+    with pytest.raises(Exception, match="lost"):
+        run(fail_at=1)
+    assert sorted(p.name for p in root.iterdir() if not p.name.startswith(("_", "."))) == ["a", "b"]  # c is done and gone
+    publish("c", "c3\n\ud83d".encode("utf-8", "replace").decode() + "\n", 0)  # older than what is in hand
+    publish("empty", "", 9)
+    run()
+    got = {int(p.name): p.read_text().split("\n") for p in out.iterdir()}
+    assert got[0] == ["c1", "c2"] and got[1] == ["a1", "a2"] and sorted(x for i in got for x in got[i] if x) == ["?", "a1", "a2", "b1", "b2", "c1", "c2", "c3"]
+    assert [p.name for p in root.iterdir() if not p.name.startswith("_")] == ["empty"]  # the last one waits for the next batch
+    assert acked.Queue(str(root)).acknowledged() == 4 and acked.Queue(str(root)).numbers(acked.TAKEN) == [5]
+    publish("d", "d1", 20)
+    run()
+    assert sorted(p.read_text() for p in out.iterdir())[-1] == "d1"
+    publish("e", "e1\n", 30)
+    rows = queue.acknowledged_task_stream(spark, str(root))
+    jobs.run_until_empty(rows, lambda batch, i: (out / f"new{i}").write_text(str([(r["value"], r["message"], int(r["ts"].timestamp())) for r in batch.orderBy("value").collect()])), str(tmp_path / "check2"))
+    assert (out / "new0").read_text() == "[('d1', 'd', 1700000020), ('e1', 'e', 1700000030)]"  # a new checkpoint gets what is not acknowledged
+
+
+def test_acknowledging_half_way(tmp_path):
+    """Whatever ends an acknowledgement, the next call goes on and nothing comes twice."""
+    from folioworks.sources import acked
+
+    for name in "abc":
+        (tmp_path / name).write_text(name)
+    q = acked.Queue(str(tmp_path))
+    assert q.take(2) == 2 and q.take(0) == 2
+    q._write(2, acked.ACKED, "")  # the mark alone
+    assert acked.Queue(str(tmp_path)).take(1) == 3
+    assert sorted(p.name for p in tmp_path.iterdir() if p.is_file()) == ["c"] and q.name(3) == "c"
+    q.acknowledge(3)
+    q.acknowledge(3)
+    assert q.acknowledged() == 3 and q.take(5) == 3 and [p.name for p in tmp_path.iterdir()] == [acked.JOURNAL]
