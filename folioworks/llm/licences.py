@@ -27,51 +27,73 @@ from .labelled import one_text
 from .scratch import sliced
 
 STRETCH, STEP = 64, 32
-SAMPLE_DOCS = 400
+SAMPLE_DOCS, SAMPLE_LINES = 400, 2500
 
-# Public notices by family; the last of each family is held out for calibration.
+# Public notices and names by family; the last of each family is held out for calibration.
 TEMPLATES = {
     "apache-2.0": [
         "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license",
         "licensed under the apache license version 2.0",
         "apache license version 2.0 january 2004",
         "spdx license identifier apache 2.0",
+        "apache license version 2.0",
+        "apache license 2.0",
+        "apache 2.0",
         "released under the apache license 2.0",
     ],
     "mit": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
         "released under the mit license",
         "spdx license identifier mit",
+        "mit license",
+        "dual licensed under mit",
+        "mit apache",
+        "2.0 or mit",
         "licensed under the mit license",
     ],
     "isc": [
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
         "released under the isc license",
         "spdx license identifier isc",
+        "isc license",
         "licensed under the isc license",
     ],
     "gpl-3.0": [
         "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license",
         "licensed under the gnu general public license version 3",
         "spdx license identifier gpl 3.0",
+        "gnu general public license version 3",
+        "gpl 3",
+        "gpl version 3",
         "released under the gnu gpl version 3",
     ],
     "gpl-2.0": [
         "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license",
         "licensed under the gnu general public license version 2",
         "spdx license identifier gpl 2.0",
+        "gnu general public license version 2",
+        "gpl 2",
+        "gpl version 2",
         "released under the gnu gpl version 2",
     ],
     "lgpl": [
         "under the terms of the gnu lesser general public license as published by the free software foundation either version",
         "licensed under the gnu lesser general public license",
         "spdx license identifier lgpl",
+        "gnu lesser general public license version",
+        "lgpl 2",
+        "lgpl 2.1",
+        "lgpl 3",
+        "lgpl version",
         "released under the gnu lgpl version",
     ],
     "agpl": [
         "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license",
         "licensed under the gnu affero general public license version 3",
         "spdx license identifier agpl 3.0",
+        "gnu affero general public license version 3",
+        "agpl 3",
+        "agpl version 3",
         "released under the gnu agpl version 3",
     ],
     "bsd": [
@@ -79,12 +101,20 @@ TEMPLATES = {
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
         "released under the bsd 3 clause license",
         "spdx license identifier bsd 3 clause",
+        "bsd license",
+        "bsd 3 clause",
+        "bsd 2 clause",
+        "3 clause bsd",
+        "2 clause bsd",
         "licensed under the bsd license",
     ],
     "mpl-2.0": [
         "subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file",
         "licensed under the mozilla public license version 2.0",
         "spdx license identifier mpl 2.0",
+        "mozilla public license version 2.0",
+        "mozilla public license 2.0",
+        "mpl 2.0",
         "subject to the terms of the mozilla public license",
     ],
     "cc-by": ["licensed under a creative commons attribution 4.0 international license", "spdx license identifier cc by 4.0", "creative commons attribution license", "licensed under cc by 4.0"],
@@ -99,6 +129,7 @@ HEADS = ["licensed under the", "licensed under a", "released under the", "under
 UNKNOWN = [
     "licensed under the {} license", "licensed under the {} public license version 2.0", "released under the {} public license", "released under the {} license version 1.0", "distributed under the {} license",
     "distributed under the terms of the {} license version 3.0", "subject to the terms of the {} license", "made available under the {} public license", "provided as is under the {} license", "spdx license identifier {}",
+    "this is free and unencumbered software released into the public domain",
 ]
 NAMES = ["eclipse", "open software", "artistic", "common development and distribution", "sample corpus", "european union", "boost software", "example", "zlib", "academic free", "unlicense", "educational community"]
 OPENINGS = ["this work is", "this document is", "this file is", "copyright 2021 the authors", "the text is", "unless stated otherwise this is", "this program is free software you can redistribute it and or modify it", ""]
@@ -107,14 +138,21 @@ PROSE = [
     "the driver's license was valid for 2 years", "a license to teach was granted in version 2.0 of the rules", "general public access is free of charge", "licensed under terms to be agreed",
     "the mit campus is large", "the apache helicopter version 2.0", "attribution of the painting is public", "the rights of all are reserved for later", "the creative use of commons is common",
     "this file is large", "the text is long", "unless stated otherwise this is true", "copyright is a right of authors", "the foundation published version 3 of the report", "see the file for details",
+    "distributed under the terms of the agreement with the {}", "made under the terms of the contract with the {}", "released under the agreement of the {}", "subject to the terms of the {} treaty", "licensed under an agreement with the {}",
+    "the terms of the agreement version 2", "version 2 and version 3 of the {}", "version 3 of the {}", "the version 2.0 of {}", "the {} license plates are for sale", "the public domain software museum is free",
+    "chapter 3 and page 2", "2.1 and 3 are numbers", "part 2 or part 3", "room 3", "2", "3", "2.1",
 ]
 OUTSIDE = "unknown"
 _PUNCTUATION = re.compile(r"[^\w.]+|\.(?!\d)")
+_VERSION = re.compile(r"(?:(?<=gpl)|\b)v\.?(?=\d)")  # GPLv2, v3
+_WHOLE = re.compile(r"(?<![\d.])(\d+)(?:\.0)+(?![\d.])")  # 2.0 is 2
 _BLANK = re.compile(rb"\n[ \t\r\x0b\x0c]*\n\s*")
 
 
 def tokens(text: str) -> list[str]:
-    return _PUNCTUATION.sub(" ", text.lower()).replace("_", " ").split()
+    """Words and numbers; abbreviated versions are written out (GPLv2 and GPL-2.0 are gpl 2)."""
+    plain = _VERSION.sub(" ", text.lower()) if any(x.isdigit() for x in text) else text.lower()
+    return _WHOLE.sub(r"\1", _PUNCTUATION.sub(" ", plain).replace("_", " ")).split()
 
 
 def paragraphs(text: bytes) -> list[list[bytes]]:
@@ -125,6 +163,13 @@ def _pairs(words: list[str]) -> list[tuple[str, str]]:
     return list(zip(words, words[1:], strict=False))
 
 
+def _add_by(out: np.ndarray, owner: np.ndarray, values: np.ndarray) -> None:
+    """Add rows of values to the rows of out that owner, which is sorted, names."""
+    if len(owner):
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        out[owner[first]] += np.add.reduceat(values, first, axis=0)
+
+
 @dataclass
 class LicenceModel:
     classes: list[str]
@@ -136,6 +181,7 @@ class LicenceModel:
     slope: np.ndarray  # calibration of each class: slope and level of its score
     level: np.ndarray
     templates: list[tuple[int, frozenset[int]]] = field(default_factory=list)  # class and pairs
+    member: np.ndarray | None = None  # pairs x templates: whether the template has the pair
     head_pairs: frozenset[int] = frozenset()
     seen: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
 
@@ -164,19 +210,23 @@ class LicenceModel:
     def scores(self, found: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
         out = np.tile(self.bias, (n, 1))
         for (owner, number), weights in zip(found, (self.word_weights, self.pair_weights), strict=True):
-            for k in range(len(self.classes)):
-                out[:, k] += np.bincount(owner, weights[number, k], n)
+            _add_by(out, owner, weights[number])
         return out
 
     def probabilities(self, found: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.scores(found, n) + self.level, -60, 60)))
 
 
-def _examples(lines: list[str], part: int, seed: int) -> list[tuple[list[str], frozenset[str]]]:
+def _has_half(pairs: set[tuple[str, str]], known: list[frozenset]) -> Iterator[bool]:
+    """For each known set: whether half of it is in pairs."""
+    return (2 * len(t & pairs) >= len(t) for t in known)
+
+
+def _examples(lines: list[str], part: int, seed: int, most: int) -> list[tuple[list[str], frozenset[str]]]:
     """Stretches and their classes; part 0 to train on, part 1 with the wordings and licences that are held out."""
     pick = random.Random(seed)
     known = [frozenset(_pairs(tokens(t))) for ts in TEMPLATES.values() for t in ts]
-    plain = [w for w in map(tokens, lines) if w and all(len(t.intersection(_pairs(w))) < 0.5 * len(t) for t in known)]
+    plain = [w for w in map(tokens, lines) if w and not any(_has_half(set(_pairs(w)), known))]
     prose = [w for words in plain for w in words]
     opening, closing = ([x for i, x in enumerate(xs[:-1]) if i % 2 == part] + [""] for xs in (OPENINGS, CLOSINGS))
     notices = {f: ts[-1:] if part else ts[:-1] for f, ts in TEMPLATES.items()}
@@ -187,15 +237,16 @@ def _examples(lines: list[str], part: int, seed: int) -> list[tuple[list[str], f
         before, after = prose[at : at + split], prose[at + split : at + room]
         return [*before, *tokens(pick.choice(opening)), *words, *tokens(pick.choice(closing)), *after]
 
-    rows = [(around(tokens(ts[i % len(ts)])), frozenset([f])) for f, ts in notices.items() for i in range(60)]
+    rows = [(around(tokens(ts[i % len(ts)])), frozenset([f])) for f, ts in notices.items() for i in range(max(60, 30 * len(ts)))]
     for _ in range(300):  # stretches with two families
         a, b = pick.sample(sorted(notices), 2)
-        rows.append((around([*tokens(pick.choice(notices[a])), *pick.choice([["or"], ["and"], []]), *tokens(pick.choice(notices[b]))]), frozenset([a, b])))
+        rows.append((around([*tokens(pick.choice(notices[a])), *pick.choice([["or"], ["and"], ["or", "the"], []]), *tokens(pick.choice(notices[b]))]), frozenset([a, b])))
     names = [x for i, x in enumerate(NAMES) if i % 2 == part]
     named = lambda: pick.choice(names) if not plain or pick.random() < 0.5 else " ".join(pick.choice(plain)[: pick.randrange(1, 3)])
     rows += [(around(tokens(x.format(named()))), frozenset([OUTSIDE])) for x in UNKNOWN for _ in range(20)]
-    rows += [(around(tokens(x)), frozenset()) for x in PROSE for _ in range(10)] + [(around([]), frozenset()) for _ in range(100)]
-    return rows + [(w[i : i + STRETCH], frozenset()) for w in pick.sample(plain, min(len(plain), 2500)) for i in range(0, len(w), STRETCH)]
+    word = lambda: pick.choice(prose) if prose else ""
+    rows += [(around(tokens(x.format(word()))), frozenset()) for x in PROSE for _ in range(20)] + [(around([]), frozenset()) for _ in range(100)]
+    return rows + [(w[i : i + STRETCH], frozenset()) for w in pick.sample(plain, min(len(plain), most)) for i in range(0, len(w), STRETCH)]
 
 
 def _coded(model: LicenceModel, rows: list[tuple[list[str], frozenset[str]]]) -> tuple[list, np.ndarray]:
@@ -212,9 +263,12 @@ def _descend(model: LicenceModel, rows: list[tuple[list[str], frozenset[str]]],
     for x in held:
         x[...] = 0
     past = [np.full_like(x, 1e-8) for x in held]
+    turned = [(owner[by], number[by]) for owner, number in found for by in [np.argsort(number, kind="stable")]]
     for _ in range(rounds):
         error = gold - 1 / (1 + np.exp(-np.clip(model.scores(found, len(rows)), -60, 60)))
-        grads = [np.stack([np.bincount(number, error[owner, k], len(x)) for k in range(len(model.classes))], axis=1) for (owner, number), x in zip(found, held, strict=False)]
+        grads = [np.zeros_like(x) for x in held[:2]]
+        for g, (owner, number) in zip(grads, turned, strict=True):
+            _add_by(g, number, error[owner])
         for x, g, p in zip(held, [*grads, error.sum(axis=0)], past, strict=True):
             g = g - penalty * len(rows) * x
             p += g**2
@@ -231,15 +285,15 @@ def _curve(score: np.ndarray, gold: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.05), float(w[1])
 
 
-def train(lines: list[str], seed: int = 7, rounds: int = 200, penalty: float = 2e-5, frequent: int = 3) -> LicenceModel:
-    """lines: paragraphs of the corpus (a bounded sample) for neighbours and negative examples.
+def train(lines: list[str], seed: int = 7, rounds: int = 200, penalty: float = 2e-5, frequent: int = 3, sample_lines: int = SAMPLE_LINES) -> LicenceModel:
+    """lines: paragraphs of the corpus (a bounded sample) for neighbours and negative examples, sample_lines of them at most whole.
 
     Words and pairs that occur frequent times or more in notices, around them, or in prose about licences are features.
     """
-    rows, test = _examples(lines, 0, seed), _examples(lines, 1, seed + 1)
+    rows, test = _examples(lines, 0, seed, sample_lines), _examples(lines, 1, seed + 1, sample_lines)
     classes = [*TEMPLATES, OUTSIDE]
     texts = [tokens(t) for ts in TEMPLATES.values() for t in ts]
-    told = [tokens(x) for x in (*HEADS, *OPENINGS, *CLOSINGS, *NAMES, *(x.replace("{}", ".") for x in UNKNOWN), *PROSE)]
+    told = [tokens(x) for x in (*HEADS, *OPENINGS, *CLOSINGS, *NAMES, *(x.replace("{}", ".") for x in UNKNOWN + PROSE))]
     times = Counter(w for words, y in rows + test if y for w in set(words))
     prose = Counter(w for words, y in rows + test if not y for w in set(words))
     own = {w for words in texts + told for w in words}
@@ -253,6 +307,9 @@ def train(lines: list[str], seed: int = 7, rounds: int = 200, penalty: float = 2
     model = LicenceModel(classes, number, pairs, np.zeros((len(number) + 1, k)), np.zeros((int(pairs.max()) + 1, k)), np.zeros(k), np.ones(k), np.zeros(k))
     numbered = lambda words: frozenset(int(pairs[number[a], number[b]]) for a, b in _pairs(words))
     model.templates = [(i, numbered(tokens(t))) for i, ts in enumerate(TEMPLATES.values()) for t in ts]
+    model.member = np.zeros((len(model.pair_weights), len(model.templates)), np.int32)
+    for t, (_, wanted) in enumerate(model.templates):
+        model.member[list(wanted), t] = 1
     model.head_pairs = frozenset().union(*(numbered(tokens(x)) for x in HEADS))
     _descend(model, rows, rounds, penalty)
     found, gold = _coded(model, test)
@@ -293,15 +350,23 @@ def _places(pair: np.ndarray, k: int, wanted: frozenset[int], alike: float) -> I
 
 
 def notices(model: LicenceModel, pair: np.ndarray, templates: list[int], alike: float) -> list[Notice]:
-    """The notices of a paragraph: the best match goes first, and one whose own words mostly belong to it already is none."""
+    """The notices of a paragraph: the best match goes first, and one whose own words mostly belong to it already is none.
+
+    Matches of one family that share a word are one notice.
+    """
     found = [x for t in templates for x in _places(pair, *model.templates[t], alike)]
     taken: set[int] = set()
-    out = []
+    out, by_family = [], {}
     for x in sorted(found, key=lambda x: (-x.quality[0] * min(x.quality[1], 4), -x.quality[1], x.at)):
         own = [p for p in x.at if pair[p] not in model.head_pairs]
         if own and 2 * sum(p in taken for p in own) < len(own):
             taken.update(x.at)
-            out.append(x)
+            same = [y for y in by_family.setdefault(x.family, []) if x.at[0] <= y.at[-1] + 1 and y.at[0] <= x.at[-1] + 1]
+            if same:  # they share a word
+                same[0].at = sorted({*same[0].at, *x.at})
+            else:
+                by_family[x.family].append(x)
+                out.append(x)
     return out
 
 
@@ -326,17 +391,17 @@ def classify(model: LicenceModel, text: bytes, least: float = 0.5, alike: float
     wide = len(model.pair_weights)
     which, different = np.divmod(np.unique(owner[hit] * wide + pair[hit]), wide)
     close: dict[int, list[int]] = {}
-    for t, (_, wanted) in enumerate(model.templates):
-        has = np.zeros(wide)
-        has[list(wanted)] = 1
-        for i in np.flatnonzero(np.bincount(which, has[different], total) >= alike * len(wanted)).tolist():
-            close.setdefault(i, []).append(t)
+    if len(which):
+        first = np.flatnonzero(np.diff(which, prepend=-1))
+        enough = np.add.reduceat(model.member[different], first, axis=0) >= alike * model.member.sum(axis=0)
+        for row, t in np.argwhere(enough).tolist():
+            close.setdefault(int(which[first[row]]), []).append(t)
     taken = chance >= least
     for i in sorted({*close, *whose[taken.any(axis=1)].tolist()}):
         first, last = int(np.searchsorted(whose, i)), int(np.searchsorted(whose, i, side="right"))
         left = {j for j in range(first, last) if taken[j].any()}  # stretches that no notice explains
         for x in notices(model, pair[heads[i] : heads[i] + lengths[i]], close.get(i, []), alike):
-            near = [j for j in range(first, last) if starts[j] - heads[i] <= x.at[-1] and x.at[0] < starts[j] - heads[i] + sizes[j]]
+            near = [j for j in range(first, last) if starts[j] - heads[i] <= x.at[-1] + 1 and x.at[0] < starts[j] - heads[i] + sizes[j]]
             counts[model.classes[x.family] if taken[near, x.family].any() else OUTSIDE] += 1
             left.difference_update(near)
         counts[OUTSIDE] += sum(j - 1 not in left for j in left)  # neighbouring stretches are one

@@ -354,6 +354,54 @@ def test_no_notice_in_prose_is_dropped(spark):
     assert confirmed >= 0.9 * told
 
 
+# How licences are named in public files.
+NAMED = {
+    "Licensed under either of Apache License, Version 2.0 or MIT license at your option": {"apache-2.0", "mit"},
+    "Licensed under either of Apache License, Version 2.0 or GPLv2 at your option": {"apache-2.0", "gpl-2.0"},
+    "Dual licensed under MIT and GPLv2.": {"mit", "gpl-2.0"},
+    "You may use it under the GPLv2 or the GPLv3.": {"gpl-2.0", "gpl-3.0"},
+    "Apache-2.0 OR MIT": {"apache-2.0", "mit"},
+    "MIT/Apache-2.0": {"apache-2.0", "mit"},
+    "released under GPLv2": {"gpl-2.0"},
+    "Released under the GPLv3": {"gpl-3.0"},
+    "GPL-3.0-or-later": {"gpl-3.0"},
+    "This project is licensed under the LGPLv2.1 or later": {"lgpl"},
+    "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": {"gpl-3.0"},
+    "MIT License": {"mit"},
+    "ISC License": {"isc"},
+    "BSD 3-Clause License": {"bsd"},
+    "Mozilla Public License 2.0": {"mpl-2.0"},
+    "This is free and unencumbered software released into the public domain.": {"unknown"},
+    "distributed under the terms of the agreement with the studio": set(),
+}
+
+
+def test_dual_notices_abbreviations_and_headings(spark):
+    model = licence_model(spark)
+    for text, families in NAMED.items():
+        assert licences.classify(model, text.encode())[1] == dict.fromkeys(families, 1), text
+    assert licences.tokens("GPLv2+, GPL-3.0, v. 2.0, v1.10.0 and 10.0.1") == ["gpl", "2", "gpl", "3", "v", "2", "1.10.0", "and", "10.0.1"]
+
+
+def test_template_matches_against_a_plain_search():
+    """Each match has enough of the template close together, none share a place, and whatever stretch has enough of it is near one."""
+    pick = random.Random(5)
+    for _ in range(400):
+        wanted = frozenset(range(1, pick.randrange(2, 9)))
+        pair = np.array([pick.randrange(1, 9) if pick.random() < 0.4 else pick.choice((0, 99)) for _ in range(80)])
+        reach, found = int(1.5 * len(wanted)) + 4, list(licences._places(pair, 0, wanted, 0.75))
+        taken = [p for x in found for p in x.at]
+        assert len(taken) == len(set(taken))
+        for x in found:
+            have = {int(pair[p]) for p in x.at}
+            assert have <= wanted and len(have) == len(x.at) >= 0.75 * len(wanted) and x.at[-1] - x.at[0] <= reach
+            assert x.quality == (len(have) / len(wanted), len(have))
+        for first in range(len(pair)):
+            stretch = range(first, min(first + reach + 1, len(pair)))
+            if len({int(pair[p]) for p in stretch} & wanted) >= 0.75 * len(wanted):
+                assert set(range(first, first + 2 * reach + 1)) & set(taken)  # its own match may have gone to a better one
+
+
 # Headers as they stand in public files.
 HEADERS = {
     "gpl-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
