@@ -9,6 +9,7 @@ messages go, so those of the last batch stay until another comes. One stream at
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -26,7 +27,7 @@ class Queue:
     """The folder and its journal: files number.taken that hold a message's name, and number.acked for all up to that number."""
 
     def __init__(self, path: str):
-        self.files, self.root = fs.FileSystem.from_uri(path)
+        self.files, self.root = fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
         self.journal = f"{self.root}/{JOURNAL}"
 
     def _listed(self, folder: str) -> list[fs.FileInfo]:
