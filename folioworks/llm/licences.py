@@ -352,7 +352,8 @@ def _places(pair: np.ndarray, k: int, wanted: frozenset[int], alike: float) -> I
 def notices(model: LicenceModel, pair: np.ndarray, templates: list[int], alike: float) -> list[Notice]:
     """The notices of a paragraph: the best match goes first, and one whose own words mostly belong to it already is none.
 
-    Matches of one family that share a word are one notice.
+    Matches of one family that share a word are one notice, and so are a short name and a longer notice of its family at
+    most STEP words away.
     """
     found = [x for t in templates for x in _places(pair, *model.templates[t], alike)]
     taken: set[int] = set()
@@ -361,8 +362,9 @@ def notices(model: LicenceModel, pair: np.ndarray, templates: list[int], alike:
         own = [p for p in x.at if pair[p] not in model.head_pairs]
         if own and 2 * sum(p in taken for p in own) < len(own):
             taken.update(x.at)
-            same = [y for y in by_family.setdefault(x.family, []) if x.at[0] <= y.at[-1] + 1 and y.at[0] <= x.at[-1] + 1]
-            if same:  # they share a word
+            reach = lambda y: STEP if x.quality[1] < min(4, y.quality[1]) else 1  # noqa: B023, E731
+            same = [y for y in by_family.setdefault(x.family, []) if x.at[0] <= y.at[-1] + reach(y) and y.at[0] <= x.at[-1] + reach(y)]
+            if same:
                 same[0].at = sorted({*same[0].at, *x.at})
             else:
                 by_family[x.family].append(x)
