@@ -364,9 +364,9 @@ def scan_files(spark, sf_dir):
     """Documents stored as text files, a folder a user, and listed."""
     path = shared_folder(spark, "store")
     docs = v.table(spark, sf_dir, "documents").filter("text is not null and source is not null").select("source", "doc_id", "text")
-    docs.write.partitionBy("source", "doc_id").text(path)
+    files.store_files(docs, path, ("source", "doc_id"))
     listed = files.scan_files(spark, path).filter(F.endswith("filename", F.lit(".txt")))
-    return listed.select("user_id", F.regexp_extract("filename", "doc_id=([^/]*)/", 1).alias("doc"), "size")
+    return listed.select(files.plain_key(F.col("user_id")).alias("user_id"), F.regexp_extract("filename", "doc_id=([^/]*)/", 1).alias("doc"), "size")
 
 
 @_query("SELECT user_id, filename, status FROM latest", ("latest",))

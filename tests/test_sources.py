@@ -190,3 +190,23 @@ def test_acknowledging_half_way(tmp_path):
     q.acknowledge(3)
     q.acknowledge(3)
     assert q.acknowledged() == 3 and q.take(5) == 3 and [p.name for p in tmp_path.iterdir()] == [acked.JOURNAL]
+
+
+def test_files_are_written_and_listed_by_tasks(spark, tmp_path):
+    """No process a file and no index of all files in the driver: a scan has no file source, its rows come from tasks; names stand for themselves."""
+    rows = spark.createDataFrame([("a/b%2F", str(i), f"text {i}\n") for i in range(300)] + [(None, "x", "")], "source string, doc string, text string")
+    root = str(tmp_path / "store")
+    files.store_files(rows, root, ("source", "doc"))
+    files.store_files(rows.limit(0), root, ("source", "doc"))
+    files.store_files(spark.createDataFrame([("a/b%2F", "7", "other")], rows.schema), root, ("source", "doc"))
+    (tmp_path / "store/100% +.pdf").write_text("at the root")
+    (tmp_path / "store/_hidden").mkdir()
+    (tmp_path / "store/_hidden/a.txt").write_text("not listed")
+    (tmp_path / "store/source=n").mkdir()
+    (tmp_path / "store/source=n/.a").write_text("not listed")
+    (tmp_path / "store/source=n/empty").write_text("")
+    scanned = files.scan_files(spark, f"file:{root}")
+    assert "FileScan" not in scanned._jdf.queryExecution().toString() and not scanned.inputFiles()
+    got = {(r[0], r[1]): r[2] for r in scanned.select(files.plain_key(F.col("user_id")), "filename", "size").collect()}
+    want = {("source=a/b%2F", f"doc={i}/part.txt"): len(f"text {i}\n") + 1 for i in range(300)}
+    assert got == want | {("source=a/b%2F", "doc=7/part.txt"): 6, ("source=__HIVE_DEFAULT_PARTITION__", "doc=x/part.txt"): 1, ("100% +.pdf", "100% +.pdf"): 11}
