@@ -418,18 +418,18 @@ def scan_changes(spark, sf_dir):
     path, docs = shared_folder(spark, "listing"), v.table(spark, sf_dir, "documents").filter("doc_id is not null").select("source", F.col("doc_id").cast("string").alias("doc_id"), "lang", F.coalesce("text", F.lit("")).alias("text"))
     gone = docs.filter("source is not null").select("source", F.lit("gone").alias("doc_id"), F.lit("x").alias("lang"), F.lit("y").alias("text")).distinct()
 
-    def store(rows, mode):
-        rows.drop("lang").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("source", "doc_id").text(f"{path}/store")
+    def store(rows):
+        files.store_files(rows.drop("lang"), f"{path}/store", ("source", "doc_id"))
 
-    store(docs.filter("lang in ('en', 'fr')").unionByName(gone), "append")
+    store(docs.filter("lang in ('en', 'fr')").unionByName(gone))
     files.scan_changes(spark, f"{path}/store", f"{path}/manifest").count()
-    store(docs.filter("lang in ('de', 'fr')"), "overwrite")
+    store(docs.filter("lang in ('de', 'fr')"))
     store_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/store")
     system = store_of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for folder in system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/store/source=*/doc_id=gone")):
         system.delete(folder.getPath(), True)
-    # Files that Spark writes anew get new names: what went and what came under one key is a change of it.
-    found = files.scan_changes(spark, f"{path}/store", f"{path}/manifest").select("user_id", F.regexp_extract("filename", "doc_id=([^/]*)/", 1).alias("doc"), "change")
+    # Files that Spark's writer writes anew get new names: what went and what came under one key is a change of it.
+    found = files.scan_changes(spark, f"{path}/store", f"{path}/manifest").select(files.plain_key(F.col("user_id")).alias("user_id"), F.regexp_extract("filename", "doc_id=([^/]*)/", 1).alias("doc"), "change")
     return found.groupBy("user_id", "doc").agg(F.when(F.count_distinct("change") > 1, "changed").otherwise(F.min("change")).alias("change"))
 
 
