@@ -395,7 +395,7 @@ def load_pdf_bytes(spark, sf_dir):
     path = shared_folder(spark, "pdfs")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
     body = F.base64(F.encode(F.array_join(ordered, "\f"), "UTF-8"))
-    v.doc_pages(spark, sf_dir).groupBy("doc_id").agg(F.regexp_replace(body, r"\s", "").alias("body")).write.partitionBy("doc_id").option("extension", "pdf").csv(path)
+    files.store_files(v.doc_pages(spark, sf_dir).groupBy("doc_id").agg(F.regexp_replace(body, r"\s", "").alias("text")), path, ("doc_id",), "pdf")
     pages = convert.pdf_to_pages(files.load_pdf_bytes(spark, path), lambda: lambda content: base64.b64decode(content).decode().split("\f"))
     return pages.select(F.regexp_extract("user_id", "=(.*)", 1).cast("long").alias("doc_id"), "page", "text")
 
