@@ -213,3 +213,22 @@ def test_conversion_replay_replaces_its_batch(spark, tmp_path):
         jobs.stream_conversion(stream, str(tmp_path / "out"), str(tmp_path / check))
     rows = spark.read.parquet(str(tmp_path / "out/paragraphs")).orderBy("seq").collect()
     assert [r["text"] for r in rows] == ["a", "-- Page 2 --", "b"]
+
+
+def test_many_files_share_a_group(spark, tmp_path, monkeypatch):
+    """State is kept by buckets of files: 200 files wait in 4 entries with a timer each, and say what the batch operators say."""
+    monkeypatch.setattr(jobs, "BUCKETS", 4)
+    draw = random.Random(9)
+    rows = [("u", f"f{draw.randrange(200)}", draw.choice(["pending", "processing", "processing", "done", None]), at(i), i) for i in range(600)]
+    table = spark.createDataFrame(rows, LOG)
+    for make, want in [
+        (jobs.stream_transitions, status.status_transitions(table).select("user_id", "filename", "seq", "status")),
+        (jobs.stream_timeouts, status.stale_jobs(table, F.lit(at(19_000))).select("user_id", "filename", "seq")),
+    ]:
+        path = tmp_path / make.__name__
+        collected(spark, make(staged(spark, path / "in", [rows[:300]], LOG), late="1 hour"), path)
+        assert stored_rows(spark, path, "waiting").count() <= 4 and stored_rows(spark, path, "alarm").count() <= 4
+        end = [("end", "end", "pending", at(20_000), 999)]
+        again = staged(spark, path / "in", [rows[300:], end], LOG)
+        got = collected(spark, make(again, late="1 hour"), path)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
