@@ -310,7 +310,7 @@ def run_conversion(spark, sf_dir):
 
 @_query("SELECT doc_id, count(*) AS attempts, count(DISTINCT page) AS pages, coalesce(sum(length(text)), 0)::BIGINT AS characters, round(sum(elapsed_s), 2) AS seconds FROM page_results GROUP BY doc_id", ("page_results",))
 def job_summary(spark, sf_dir):
-    return convert.job_summary(v.page_results(spark, sf_dir))
+    return convert.job_summary(v.page_lengths(spark, sf_dir))
 
 
 @_query("SELECT doc_id, count(*) AS attempts, count(DISTINCT page) AS pages, CASE WHEN bool_and(ok) THEN 'done' ELSE 'failed' END AS status, "

@@ -277,3 +277,12 @@ def test_results_of_one_stem_do_not_multiply_files(spark):
     some = spark.createDataFrame([("u", "a.pdf"), ("u", "b.pdf")], "user_id string, filename string")
     results = spark.createDataFrame([("u", "a.docx"), ("u", "a.docx"), ("u", "a.doc")], "user_id string, filename string")
     assert sorted(map(str, catalog.match_outputs(some, results).select("filename", "output").collect())) == sorted(["Row(filename='a.pdf', output='a.doc')", "Row(filename='b.pdf', output=None)"])
+
+
+def test_summary_joins_lengths_not_texts(spark):
+    from folioworks.plans import registry
+
+    plan = registry.queries()["job_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joined = plan[: plan.index("Join")]
+    assert "characters" in joined and "text#" not in joined
+    assert "REPARTITION_BY_NUM" in joined and "ENSURE_REQUIREMENTS" not in joined  # no sums before the rows are dealt
