@@ -383,9 +383,10 @@ def read_status(spark, sf_dir):
     """Status files beside documents, a folder for each file, with white space around the text. Spark's writers end names in three letters."""
     path, latest = shared_folder(spark, "sidecars"), status.latest_status(v.status_log(spark, sf_dir))
     text = F.concat(F.lit("  "), "status", F.lit(" "))
-    latest.select("user_id", "filename", text.alias("text")).write.partitionBy("user_id", "filename").option("extension", "sta").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    files.store_files(latest.select("user_id", "filename", text.alias("text")), path, ("user_id", "filename"), "sta")
     read = files.read_status(spark, path, ".sta")
-    return read.select(F.regexp_extract("user_id", "=(.*)", 1).alias("user_id"), F.regexp_extract("filename", "filename=([^/]*)/", 1).alias("filename"), "status")
+    user, name = F.regexp_extract("user_id", "=(.*)", 1), F.regexp_extract("filename", "filename=([^/]*)/", 1)
+    return read.select(files.plain_key(user).alias("user_id"), files.plain_key(name).alias("filename"), "status")
 
 
 @_query("SELECT doc_id, page, coalesce(text, '') AS text FROM doc_pages", ("doc_pages",))

@@ -210,3 +210,44 @@ def test_files_are_written_and_listed_by_tasks(spark, tmp_path):
     got = {(r[0], r[1]): r[2] for r in scanned.select(files.plain_key(F.col("user_id")), "filename", "size").collect()}
     want = {("source=a/b%2F", f"doc={i}/part.txt"): len(f"text {i}\n") + 1 for i in range(300)}
     assert got == want | {("source=a/b%2F", "doc=7/part.txt"): 6, ("source=__HIVE_DEFAULT_PARTITION__", "doc=x/part.txt"): 1, ("100% +.pdf", "100% +.pdf"): 11}
+
+
+def test_status_files_are_stored_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """As Spark's file source reads them, but no task a few files and no index in the driver; small files are dealt over all cores, not by their bytes."""
+    rows = spark.createDataFrame([(f"u{i % 60}", f"100% +[{i}].pdf", f" \t{'done' if i % 3 else 'failed'} ") for i in range(300)], "user_id string, filename string, text string")
+    root, cores, context = tmp_path / "store", spark.sparkContext.defaultParallelism, spark.sparkContext
+    context.setJobGroup("status", "files are stored")
+    files.store_files(rows, str(root), ("user_id", "filename"), "sta")
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("status") for s in tracker.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s is not None) >= 2 * cores
+    assert (root / "user_id=u7/filename=100%25 +[7].pdf/part.sta").read_text() == " \tdone \n"
+    (root / "at root.sta").write_text(" processing\n\n")
+    (root / "user_id=u0/empty.sta").write_text("")
+    (root / "user_id=u0/_hidden.sta").write_text("x")
+    (root / "user_id=u0/other.status").write_text("x")
+    (root / "user_id=u0/bytes.sta").write_bytes(b" d\xffne ")
+    read = files.read_status(spark, f"file:{root}", ".sta")
+    assert "FileScan" not in read._jdf.queryExecution().toString() and not read.inputFiles()
+    assert read.select(F.spark_partition_id()).distinct().count() > cores
+    got = sorted(tuple(r) for r in read.collect())
+    want = [(f"user_id=u{i % 60}", f"filename=100%25 +[{i}].pdf/part", "done" if i % 3 else "failed") for i in range(300)]
+    assert got == sorted([*want, ("at root.sta", "at root", "processing"), ("user_id=u0", "bytes", "d�ne")])
+    monkeypatch.setattr(files, "_local", lambda spark, root: None)  # as in any other file system
+    assert sorted(tuple(r) for r in files.read_status(spark, str(root), ".sta").collect()) == got
+
+
+def test_status_files_of_any_file_system(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "_local", lambda spark, root: None)
+    rows = spark.createDataFrame([("u", "a.pdf", "  done ")], "user_id string, filename string, text string")
+    files.store_files(rows, str(tmp_path / "store"), ("user_id", "filename"), "sta")
+    assert [p.read_text() for p in tmp_path.glob("store/user_id=u/filename=a.pdf/part*.sta")] == ["  done \n"]
+    assert [r["status"] for r in files.read_status(spark, str(tmp_path / "store"), ".sta").collect()] == ["done"]
+
+
+def test_query_of_status_files_has_no_file_source(spark):
+    from folioworks.plans import registry
+
+    read = registry.queries()["read_status"](spark, "/root/testdata/sf0.001")
+    assert "FileScan" not in read._jdf.queryExecution().toString() and not read.inputFiles()
