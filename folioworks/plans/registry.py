@@ -380,12 +380,12 @@ def write_status(spark, sf_dir):
 
 @_query("SELECT user_id, filename, status FROM latest", ("latest",))
 def read_status(spark, sf_dir):
-    """Status files beside documents, a folder for each file, with white space around the text. Spark's writers end names in three letters."""
+    """Status files beside documents, a folder a user, with white space around the text. Spark's writers end names in three letters, and make a folder for each file."""
     path, latest = shared_folder(spark, "sidecars"), status.latest_status(v.status_log(spark, sf_dir))
     text = F.concat(F.lit("  "), "status", F.lit(" "))
-    files.store_files(latest.select("user_id", "filename", text.alias("text")), path, ("user_id", "filename"), "sta")
+    files.store_files(latest.select("user_id", "filename", text.alias("text")), path, ("user_id", "filename"), "sta", beside=True)
     read = files.read_status(spark, path, ".sta")
-    user, name = F.regexp_extract("user_id", "=(.*)", 1), F.regexp_extract("filename", "filename=([^/]*)/", 1)
+    user, name = F.regexp_extract("user_id", "=(.*)", 1), F.regexp_extract("filename", "filename=([^/]*)", 1)
     return read.select(files.plain_key(user).alias("user_id"), files.plain_key(name).alias("filename"), "status")
 
 

@@ -251,3 +251,24 @@ def test_query_of_status_files_has_no_file_source(spark):
 
     read = registry.queries()["read_status"](spark, "/root/testdata/sf0.001")
     assert "FileScan" not in read._jdf.queryExecution().toString() and not read.inputFiles()
+
+
+def test_files_beside_each_other(spark, tmp_path):
+    """Named by their last key, a folder for the keys before it; a file that comes again is replaced."""
+    rows = spark.createDataFrame([("u", "a/b.pdf", "  done "), ("u", "c.pdf", "failed"), (None, "c.pdf", "pending")], "user_id string, filename string, text string")
+    root = tmp_path / "store"
+    files.store_files(rows, str(root), ("user_id", "filename"), "sta", beside=True)
+    files.store_files(rows.filter("text = 'failed'").withColumn("text", F.lit("done")), str(root), ("user_id", "filename"), "sta", beside=True)
+    found = {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file()}
+    assert found == {"user_id=u/filename=a%2Fb.pdf.sta": "  done \n", "user_id=u/filename=c.pdf.sta": "done\n", "user_id=__HIVE_DEFAULT_PARTITION__/filename=c.pdf.sta": "pending\n"}
+    assert sorted(tuple(r) for r in files.read_status(spark, str(root), ".sta").filter("user_id = 'user_id=u'").collect()) == [("user_id=u", "filename=a%2Fb.pdf", "done"), ("user_id=u", "filename=c.pdf", "done")]
+
+
+def test_query_of_status_files_in_any_file_system(spark, monkeypatch):
+    """Spark's writer makes a folder for each file: the rows are the same."""
+    from folioworks.plans import registry
+
+    run = lambda: sorted(tuple(r) for r in registry.queries()["read_status"](spark, "/root/testdata/sf0.001").collect())
+    got = run()
+    monkeypatch.setattr(files, "_local", lambda spark, root: None)
+    assert got == run() and len(got) > 100
